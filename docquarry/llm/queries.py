@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm.byte_bpe import bpe_digest
 from docquarry.llm.common import table
+from docquarry.llm.tiff import media_features
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op10_tiff_pages": op10_tiff_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
