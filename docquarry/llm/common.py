@@ -55,6 +55,7 @@ def running(
     first_order: Column,
     amounts: dict[str, Column],
     rows_per_bucket: int = 50_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exclusive running totals over a total order without putting one group into one task.
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm.byte_bpe import bpe_digest
 from docquarry.llm.common import table
+from docquarry.llm.license_scan import license_scan, license_scan_sql
+from docquarry.llm.mixing import mix_documents, mix_sql
+from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.tiff import media_features
 
 
@@ -15,13 +18,32 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_source_mix": op5_source_mix,
+    "op6_license_scan": op6_license_scan,
+    "op7_sharding": op7_sharding,
     "op10_tiff_pages": op10_tiff_pages,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mix": mix_sql(),
+    "op6_license_scan": license_scan_sql(),
+    "op7_sharding": shard_sql(),
+}
