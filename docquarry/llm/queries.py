@@ -11,9 +11,14 @@ from docquarry.llm.common import table
 from docquarry.llm.license_scan import license_scan, license_scan_sql
 from docquarry.llm.mixing import mix_documents, mix_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
+from docquarry.llm.simhash import near_duplicates
 from docquarry.llm.tiff import media_features
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
     "op6_license_scan": op6_license_scan,
