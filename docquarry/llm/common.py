@@ -54,7 +54,7 @@ def running(
     order: list[Column],
     first_order: Column,
     amounts: dict[str, Column],
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 4_000,
     largest: int | None = None,
 ) -> DataFrame:
     """Exclusive running totals over a total order without putting one group into one task.

@@ -13,6 +13,11 @@ from docquarry.llm.mixing import mix_documents, mix_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
 from docquarry.llm.tiff import media_features
+from docquarry.llm.toxicity import toxicity_scores
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
