@@ -33,12 +33,12 @@ WINDOW = 40
 
 #: Bounds of the training sample: documents of each class, words taken for their frequency in toxic documents, and
 #: words taken by hash; the number of landmarks and the rounds in which they are chosen.
-TOXIC_DOCS, CLEAN_DOCS, FREQUENT_WORDS, HASHED_WORDS, LANDMARKS, ROUNDS = 2_000, 4_000, 12_000, 24_000, 600, 3
+TOXIC_DOCS, CLEAN_DOCS, FREQUENT_WORDS, HASHED_WORDS, LANDMARKS, ROUNDS = 2_000, 4_000, 12_000, 40_000, 400, 1
 #: Sentences of a toxic document are labelled toxic, but most of their words are harmless. A word is trained as toxic if it
 #: is in WITNESS_Z standard deviations more toxic documents than expected, and in toxic ones for this share at least; of
 #: the others, those seen in clean documents are trained as clean, and the rest, seen too rarely to tell, not at all.
 WITNESS_Z, WITNESS_SHARE = 3.0, 0.7
-RIDGE = 1e-6
+RIDGE = 1e-4
 
 LEET = str.maketrans("013457@$", "oieastas")
 NOT_LETTER = re.compile(r"[\W_]+")
@@ -79,10 +79,11 @@ def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, fl
 
 @dataclass
 class Model:
-    table: np.ndarray  # float32, a weight per subsequence
+    """A weight per subsequence, the bias, and the logistic curve through a text's two strongest margins."""
+
+    table: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -97,7 +98,8 @@ class Model:
         return out
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margins + self.offset, -40, 40)))
+        a, b, c = self.curve
+        return 1.0 / (1.0 + np.exp(-np.clip(a * margins[:, 0] + b * margins[:, 1] + c, -40, 40)))
 
 
 def tokens_of(text: str) -> set[str]:
@@ -125,7 +127,8 @@ class Scorer:
         self.model = model
         self.memo: dict[str, float] = {}
 
-    def margins(self, texts: Iterable[str]) -> list[float]:
+    def margins(self, texts: Iterable[str]) -> list[tuple[float, float]]:
+        """The strongest and the second strongest margin among the different words of each text."""
         sets = [tokens_of(t) for t in texts]
         memo = self.memo
         if len(memo) > self.MEMO:
@@ -143,7 +146,11 @@ class Scorer:
             np.maximum.at(best, owner, self.model.word_margins(pieces))
             memo.update(zip(unknown, best.tolist(), strict=True))
         floor = self.model.bias
-        return [max(map(memo.__getitem__, s), default=floor) for s in sets]
+        found = []
+        for some in sets:
+            best = sorted(map(memo.__getitem__, some))[-2:]
+            found.append((best[-1] if best else floor, best[0] if len(best) > 1 else floor))
+        return found
 
 
 def _slices(column: pa.Array, rows: int = 256, chars: int = 1 << 21) -> Iterator[list[str]]:
@@ -254,20 +261,20 @@ def _train_words(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic
     return folded.astype(np.float32), bias
 
 
-def _calibrate(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (margin, class), with smoothed targets and a small ridge."""
+def _calibrate(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """The logistic curve through (margins, class), with smoothed targets and a small ridge."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     target = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.c_[margins, np.ones(len(margins))]
-    w = np.array([1.0, 0.0])
+    w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (target - p) - 1e-4 * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-4 * np.eye(2), gradient)
+        gradient = x.T @ (target - p) - 1e-3 * w
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(3), gradient)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-7:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -297,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         share = 1.0 - 1e-9 if sizes.get(1) else 1e-9
-        return Model(np.zeros(TABLE, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(TABLE, np.float32), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
     word = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[\x00-\x20]+", " ")), " "))).alias("word")
     counted = sample.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).where("word <> '' and length(word) <= 40")
     frequent = counted.where("toxic >= 2").orderBy(F.col("toxic").desc(), "word").limit(FREQUENT_WORDS)
@@ -312,26 +319,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     words = sorted(found)
     toxic, clean = (np.array([found[w][k] for w in words]) for k in (0, 1))
     table, bias = _train_words(words, toxic, clean, sizes[1], sizes[0])
-    model = Model(table, bias, 1.0, 0.0)
+    model = Model(table, bias)
     rows = sample.select(F.col("toxic").cast("long").alias("toxic"), "text")
     measured = _margins(rows, model, "toxic").collect()
-    margins, classes = np.array([r["margin"] for r in measured]), np.array([float(r["toxic"]) for r in measured])
-    model.slope, model.offset = _calibrate(margins, classes)
+    margins, classes = np.array([(r["first"], r["second"]) for r in measured]), np.array([float(r["toxic"]) for r in measured])
+    model.curve = _calibrate(margins, classes)
     return model
 
 
 def _margins(rows: DataFrame, model: Model, key: str) -> DataFrame:
-    """(key, margin) of rows(key, text); the model's fixed-size table is broadcast."""
+    """(key, first, second) of rows(key, text): the two strongest margins. The model's fixed-size table is broadcast."""
     sent = rows.sparkSession.sparkContext.broadcast((model.table, model.bias))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value
-        scorer = Scorer(Model(table, bias, 1.0, 0.0))
+        scorer = Scorer(Model(table, bias))
         for part in parts:
             found = [m for some in _slices(part.column(1)) for m in scorer.margins(some)]
-            yield pa.record_batch([part.column(0), pa.array(found, pa.float64())], [key, "margin"])
+            columns = [pa.array([m[k] for m in found], pa.float64()) for k in (0, 1)]
+            yield pa.record_batch([part.column(0), *columns], [key, "first", "second"])
 
-    return rows.select(key, "text").mapInArrow(batches, f"{key} long, margin double")
+    return rows.select(key, "text").mapInArrow(batches, f"{key} long, first double, second double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,7 +351,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = F.lit(model.slope) * F.col("margin") + F.lit(model.offset)
+    a, b, c = model.curve
+    raw = F.lit(a) * F.col("first") + F.lit(b) * F.col("second") + F.lit(c)
     score = 1.0 / (1.0 + F.exp(-F.greatest(F.least(raw, F.lit(40.0)), F.lit(-40.0))))
     scored = _margins(rows, model, "doc_id").withColumn("score", score)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -358,7 +367,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(sent.value)
         for part in parts:
             text = part.column(part.schema.get_field_index("text"))
-            margins = np.array([m for some in _slices(text) for m in scorer.margins(some)])
+            margins = np.array([m for some in _slices(text) for m in scorer.margins(some)]).reshape(-1, 2)
             yield part.filter(pa.array(sent.value.scores(margins) < 0.5))
 
     return docs.mapInArrow(batches, docs.schema)
