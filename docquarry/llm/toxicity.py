@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import cut_lineage, spread_key
 
-ORDER, REACH, DECAY = 3, 5, 0.6
+ORDER, REACH, DECAY = 3, 5, 0.3
 CODE_BITS = 6
 TABLE = 1 << (ORDER * CODE_BITS)
 #: (second, third, weight): where the further letters of a subsequence stand from its first.
