@@ -14,6 +14,7 @@ from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
 from docquarry.llm.tiff import media_features
 from docquarry.llm.toxicity import toxicity_scores
+from docquarry.llm.vp_tree import nearest
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
+    "op9_vp_tree": op9_vp_tree,
     "op10_tiff_pages": op10_tiff_pages,
 }
 
