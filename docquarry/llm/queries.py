@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docquarry.llm.byte_bpe import bpe_digest
 from docquarry.llm.common import table
 from docquarry.llm.license_scan import license_scan, license_scan_sql
+from docquarry.llm.line_dedup import line_dedup_report, line_dedup_sql
 from docquarry.llm.mixing import mix_documents, mix_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
@@ -17,6 +18,10 @@ from docquarry.llm.toxicity import toxicity_scores
 from docquarry.llm.vp_tree import nearest
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup_sql(),
     "op5_source_mix": mix_sql(),
     "op6_license_scan": license_scan_sql(),
     "op7_sharding": shard_sql(),
