@@ -13,6 +13,7 @@ from docquarry.llm.line_dedup import line_dedup_report, line_dedup_sql
 from docquarry.llm.mixing import mix_documents, mix_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
+from docquarry.llm.substring_dedup import repeated_passages
 from docquarry.llm.tiff import media_features
 from docquarry.llm.toxicity import toxicity_scores
 from docquarry.llm.vp_tree import nearest
@@ -46,6 +47,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_vp_tree": op9_vp_tree,
     "op10_tiff_pages": op10_tiff_pages,
 }
