@@ -17,16 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that losing an executor later costs nothing.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a folder of our own is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests) a folder of our own, set for the session."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="docquarry-shared-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docquarry-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that losing an executor later costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
