@@ -103,9 +103,13 @@ def _firsts(docs: DataFrame, min_chars: int) -> DataFrame:
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, pos, h, line) for wanted(k_doc_id, keepers); a line whose hash differs (another row's) is left out."""
     named = docs.join(wanted, docs["doc_id"] == wanted["k_doc_id"])
-    split = named.select("doc_id", _lines(F.col("text")).alias("lines"), F.explode("keepers").alias("k"))
-    line = split.select("doc_id", F.col("k.pos").alias("pos"), F.col("k.h").alias("h"), _plain(F.get("lines", F.col("k.pos"))).alias("line"))
-    return line.where(F.xxhash64("line") == F.col("h"))
+    picked = _picked("keepers", lambda k, lines: F.struct(k["pos"].alias("pos"), k["h"].alias("h"), _plain(F.get(lines, k["pos"])).alias("line")))
+    return named.select("doc_id", F.inline(picked)).where(F.xxhash64("line") == F.col("h"))
+
+
+def _picked(places: str, pick) -> Column:
+    """pick(place, lines) for each of the places. The text is split once, and only what is picked leaves the row."""
+    return F.get(F.transform(F.array(_lines(F.col("text"))), lambda lines: F.transform(places, lambda k: pick(k, lines))), F.lit(0))
 
 
 def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -129,9 +133,8 @@ def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHAR
 def _verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, most: int) -> DataFrame:
     asked = ends.groupBy(F.col("e.doc_id").alias("k_doc_id")).agg(F.collect_list("e.pos").alias("places"))
     named = docs.join(asked, docs["doc_id"] == asked["k_doc_id"])
-    texts = named.select("doc_id", _lines(F.col("text")).alias("lines"), F.explode("places").alias("pos")).select(
-        "doc_id", "pos", _plain(F.get("lines", "pos")).alias("line")
-    ).where(F.col("line").isNotNull())
+    picked = _picked("places", lambda k, lines: F.struct(k.alias("pos"), _plain(F.get(lines, k)).alias("line")))
+    texts = named.select("doc_id", F.inline(picked)).where(F.col("line").isNotNull())
     a = texts.select(F.col("doc_id").alias("a_doc_id"), F.col("pos").alias("a_pos"), F.col("line").alias("a_line"))
     b = texts.select(F.col("doc_id").alias("b_doc_id"), F.col("pos").alias("b_pos"), F.col("line").alias("b_line"))
     flat = pairs.select(F.col("a.doc_id").alias("a_doc_id"), F.col("a.pos").alias("a_pos"), F.col("b.doc_id").alias("b_doc_id"), F.col("b.pos").alias("b_pos"))
@@ -143,18 +146,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, most: int) ->
 
 def _decided(docs: DataFrame, most: int, min_chars: int) -> DataFrame:
     """docs with __lines, and __kept: the places of the lines that stay, and counts of lines dropped on either ground."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    firsts = _firsts(known, min_chars)
-    near = near_line_pairs(known, most, min_chars).groupBy(F.col("b_doc_id").alias("n_doc_id")).agg(F.collect_set(F.struct(F.col("b_pos").alias("pos"), F.col("b_h").alias("h"))).alias("near"), F.count(F.lit(1)).alias("links"))
-    every = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text").cast("string"))
-    joined = every.join(firsts, F.col("__id") == F.col("k_doc_id"), "left").join(near, F.col("__id") == F.col("n_doc_id"), "left")
+    taking_part = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    known = typed.where(taking_part)
+    bare = known.select("doc_id", "text")
+    firsts = _firsts(bare, min_chars)
+    near = near_line_pairs(bare, most, min_chars).groupBy(F.col("b_doc_id").alias("n_doc_id")).agg(F.collect_set(F.struct(F.col("b_pos").alias("pos"), F.col("b_h").alias("h"))).alias("near"), F.count(F.lit(1)).alias("links"))
+    decided = known.join(firsts, F.col("doc_id") == F.col("k_doc_id"), "left").join(near, F.col("doc_id") == F.col("n_doc_id"), "left")
+    joined = decided.unionByName(typed.where(~taking_part), allowMissingColumns=True)
     empty = F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")
-    marked = joined.withColumn("__lines", _lines(F.col("__text"))).withColumn(
+    marked = joined.withColumn("__lines", _lines(F.col("text"))).withColumn(
         "__placed", F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), F.when(F.length(_plain(x)) >= min_chars, F.xxhash64(_plain(x))).alias("h")))
     )
     eligible = F.filter("__placed", lambda x: x["h"].isNotNull())
     same = F.array_except(eligible, F.coalesce("keepers", empty))
-    counted = marked.withColumn("__same", F.when(F.col("__id").isNotNull(), same).otherwise(empty)).withColumn("__near", F.coalesce(F.array_intersect("near", "__placed"), empty))
+    counted = marked.withColumn("__same", F.when(F.col("doc_id").isNotNull(), same).otherwise(empty)).withColumn("__near", F.coalesce(F.array_intersect("near", "__placed"), empty))
     return counted.withColumn("__kept", F.transform(F.array_except("__placed", F.concat("__same", "__near")), lambda x: x["pos"]))
 
 
@@ -169,7 +175,7 @@ def dedup_lines(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     doc_id or text. Rows stay even when no line of theirs does (their text is then empty). Rows that repeat doc_id and
     text are one document and keep the same lines; of equal lines in a text the first stays.
     """
-    out = _decided(docs, most, min_chars).withColumn("text", F.when(F.col("__text").isNull(), F.col("text")).otherwise(_kept_text()))
+    out = _decided(docs, most, min_chars).withColumn("text", F.when(F.col("text").isNotNull(), _kept_text()))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
@@ -184,7 +190,7 @@ def line_dedup_report(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CH
     """
     decided = _decided(docs.select("doc_id", "text"), most, min_chars)
     return decided.select(
-        F.col("__id").alias("doc_id"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
+        "doc_id", F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__kept"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.size("__same"), F.lit(0)).cast("long").alias("n_same"),
         F.size("__near").cast("long").alias("n_near"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"),
