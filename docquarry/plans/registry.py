@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.functions.dialect import DUCK, SPARK
+from docquarry.plans import catalog, fixtures
+from docquarry.plans.relations import duck_sql, statement
+
+BUILDERS = catalog.QUERIES | fixtures.QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid retrieval of every question of the batch."""
+    return queries()["retrieve_hybrid"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: lambda spark, sf_dir, b=build: statement(spark, sf_dir, b(SPARK)) for name, build in BUILDERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()}
