@@ -1,3 +1,186 @@
-"""Queries over inline blocks."""
+"""Queries over small inline blocks: tables, equations, captions, pages, damaged text, scanned words.
 
-QUERIES = {}
+The driver's documents hold none of these, so each statement brings its own rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from docquarry.functions import words as W
+from docquarry.functions.dialect import Dialect
+
+QUERIES: dict[str, Callable[[Dialect], str]] = {}
+
+
+def query(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+    QUERIES[build.__name__] = build
+    return build
+
+
+def rows(d: Dialect, columns: str, values: list[tuple]) -> str:
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            parts = [d.text(p) for p in v.split("\n")]
+            return f" || {d.newline()} || ".join(parts)
+        return str(v)
+
+    said = ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in values)
+    return f"(SELECT * FROM (VALUES {said}) AS v_({columns}))"
+
+
+TABLE = "| Name | Amount |\n|---|---:|\n" + "\n".join(f"| item{i} | {i * 10} |" for i in range(1, 11)) + "\n| a \\| b | |"
+TABLES = [(1, "Budget", TABLE), (2, "", "| A | B |\n|--|--|\n| x | y |"), (3, "", "no table")]
+
+
+def table_cells(d: Dialect) -> str:
+    """Rows of Markdown tables as arrays of cells; separator rows are left out."""
+    lines = d.explode(rows(d, "t_id, caption, body", TABLES), "t_id, caption", d.split("body", "\n" if d.name == "duck" else r"\n"), "line_no", "line")
+    stripped = d.strip("line")
+    inner = d.replace(d.replace(stripped, r"^\|+|\|+$", "''"), r"\\\|", "chr(1)")
+    cells = d.each(d.split(inner, r"\|"), "c", f"replace({d.strip('c')}, chr(1), '|')")
+    separator = f"NOT {d.any('cells', 'c', 'c <> \'\' AND NOT ' + d.matches('c', '^:?-{2,}:?$'))}"
+    return f"SELECT t_id, caption, line_no, cells FROM (SELECT t_id, caption, line_no, {cells} AS cells FROM ({lines}) l_ WHERE {stripped} LIKE '|%') c_ WHERE NOT ({separator})"
+
+
+@query
+def markdown_rows(d: Dialect) -> str:
+    return f"SELECT t_id, row_number() OVER (PARTITION BY t_id ORDER BY line_no) AS row_no, {d.join('cells', chr(39) + ';' + chr(39))} AS cells FROM ({table_cells(d)}) t_"
+
+
+@query
+def table_row_groups(d: Dialect) -> str:
+    """Groups of eight body rows as `header: value` text with a label that names the rows."""
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY line_no) - 1 AS n FROM ({table_cells(d)}) c_"
+    pair = d.join(
+        d.keep(d.each(d.steps("0", f"least({d.size('h.cells')}, {d.size('b.cells')}) - 1", "1"), "i", f"CASE WHEN {d.at('b.cells', 'CAST(i AS INT)')} <> '' THEN {d.at('h.cells', 'CAST(i AS INT)')} || ': ' || {d.at('b.cells', 'CAST(i AS INT)')} ELSE '' END"), "p", "p <> ''"),
+        "'; '",
+    )
+    body = f"SELECT b.t_id, b.caption, b.n, {d.div('b.n - 1', str(W.TABLE_ROWS))} AS grp, {pair} AS said, {d.join(d.keep('h.cells', 'c', 'c <> \'\''), chr(39) + ', ' + chr(39))} AS columns_, count(*) OVER (PARTITION BY b.t_id) AS total FROM n_ b JOIN n_ h ON b.t_id = h.t_id AND h.n = 0 WHERE b.n > 0"
+    joined = "array_join(transform(array_sort(collect_list(struct(n, said))), x -> x.said), ' | ')" if d.name == "spark" else "string_agg(said, ' | ' ORDER BY n)"
+    return (
+        f"WITH n_ AS ({numbered}), b_ AS ({body}) SELECT t_id, CAST(grp AS INT) AS grp, CASE WHEN max(caption) <> '' THEN 'Table: ' || max(caption) || '.' ELSE 'Table.' END || "
+        f"CASE WHEN max(total) > {W.TABLE_ROWS} THEN ' (rows ' || CAST(min(n) AS VARCHAR(9)) || '-' || CAST(max(n) AS VARCHAR(9)) || ' of ' || CAST(max(total) AS VARCHAR(9)) || ')' ELSE '' END || "
+        f"' Columns: ' || max(columns_) || '. ' || {joined} AS text FROM b_ GROUP BY t_id, grp"
+    )
+
+
+LINES = [(1, "E = mc^2"), (2, "\\frac{a}{b}"), (3, "The cost is 5"), (4, "y = f(x) * (a / b)"), (5, "a ≤ b ≥ c"), (6, "=="), (7, "important statement = nothing (whatever) happens (here) always")]
+
+
+@query
+def equation_filter(d: Dialect) -> str:
+    strong = f"(length(s) - length(translate(s, {d.text('∑∫√∞≈≠≤≥∂∇∈∀∃±×÷αβγδθλμπσωΔΣΩ^_{}' + chr(92) + '=')}, '')))"
+    brackets = "(length(s) - length(translate(s, '()/^_*', '')))"
+    latex = d.matches("s", r"\\(frac|sum|int|sqrt|alpha|beta|gamma|mathbb|mathbf|begin|cdot|times|left|right)|\$\$")
+    words = d.size(d.find_all("s", "[A-Za-z]{6,}"))
+    return (
+        f"SELECT line_id, CASE WHEN length(s) < 3 OR length(s) > 180 THEN FALSE WHEN {latex} THEN TRUE WHEN {words} > 2 THEN FALSE "
+        f"WHEN {strong} >= 2 AND {strong} > 0.08 * length(s) THEN TRUE ELSE s LIKE '%=%' AND {brackets} >= 3 AND length(s) <= 120 END AS equation FROM {rows(d, 'line_id, s', LINES)} l_"
+    )
+
+
+FORMULAS = [(1, "what is the formula F = m a?"), (2, "E = m c ^ 2"), (3, "what is revenue"), (4, "x = y")]
+EQUATIONS = [(7, 0, "F = m a"), (7, 3, "E=mc^2 + k"), (9, 1, "f =ma")]
+
+
+@query
+def formula_match(d: Dialect) -> str:
+    kept = d.keep(d.split("replace(question, '?', ' ')", r"\s+"), "t", f"length(t) > 0 AND NOT {d.matches('t', '^\\p{L}{2,}$')}")
+    asked = f"SELECT q_id, {d.join(kept, chr(39) + ' ' + chr(39))} AS formula FROM {rows(d, 'q_id, question', FORMULAS)} q_"
+    plain = lambda c: f"lower({d.replace(c, r'\s+', chr(39) * 2)})"
+    return (
+        f"SELECT q_id, formula, doc_id, idx FROM (SELECT q.q_id, q.formula, e.doc_id, e.idx, row_number() OVER (PARTITION BY q.q_id ORDER BY e.doc_id, e.idx) AS r FROM ({asked}) q "
+        f"LEFT JOIN {rows(d, 'doc_id, idx, raw', EQUATIONS)} e ON position({plain('q.formula')} IN {plain('e.raw')}) > 0 WHERE q.formula LIKE '%=%' AND length({plain('q.formula')}) >= 3) m_ WHERE r = 1"
+    )
+
+
+BLOCKS = [(1, 0, "text", 0, "Intro"), (1, 1, "image", 0, None), (1, 2, "text", 0, "Figure 1: a house"), (1, 3, "text", 1, "Table 2. Costs"), (1, 4, "table", 1, None), (1, 5, "text", 1, "After"), (2, 0, "image", 0, None), (2, 1, "text", 1, "Figure 9 elsewhere")]
+
+
+@query
+def caption_attachment(d: Dialect) -> str:
+    """Each figure or table with the neighbouring text that names it, where no two claim the same text."""
+    figure = r"(?i)^\s*(figure|fig\.?|chart|diagram|graph|image|photo|चित्र|नक्सा|ग्राफ)\s*[\dIVXivx]+[\.\:\-–)]?"
+    tab = r"(?i)^\s*(table|तालिका)\s*[\dIVXivx]+[\.\:\-–)]?"
+    near = lambda fn: f"CASE WHEN {fn}(type) OVER w = 'text' AND {fn}(page) OVER w = page THEN {fn}(body) OVER w END"
+    fits = lambda c, r: f"CASE WHEN length({c}) <= 250 AND {d.matches(c, r)} THEN {c} END"
+    return (
+        f"SELECT doc_id, idx, type, CASE WHEN type = 'image' THEN coalesce({fits('below', figure)}, {fits('above', figure)}) ELSE coalesce({fits('above', tab)}, {fits('below', tab)}) END AS caption "
+        f"FROM (SELECT *, {near('lead')} AS below, {near('lag')} AS above FROM {rows(d, 'doc_id, idx, type, page, body', BLOCKS)} b_ WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) n_ WHERE type <> 'text'"
+    )
+
+
+@query
+def text_runs(d: Dialect) -> str:
+    """Runs of text blocks on one page, broken by anything else."""
+    starts = "SELECT *, CASE WHEN type = lag(type) OVER w AND page = lag(page) OVER w AND type = 'text' THEN 0 ELSE 1 END AS opens FROM {0} b_ WINDOW w AS (PARTITION BY doc_id ORDER BY idx)"
+    runs = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM ({starts.format(rows(d, 'doc_id, idx, type, page, body', BLOCKS))}) o_"
+    return f"SELECT doc_id, CAST(run AS INT) AS run, min(idx) AS first_block, count(*) AS blocks FROM ({runs}) r_ WHERE type = 'text' GROUP BY doc_id, run"
+
+
+PAGES = [(1, p) for p in (0, 1, 2, 4, 8, 9)] + [(2, 5)]
+
+
+@query
+def page_ranges(d: Dialect) -> str:
+    said = "CASE WHEN min(page) = max(page) THEN CAST(min(page) + 1 AS VARCHAR(9)) ELSE CAST(min(page) + 1 AS VARCHAR(9)) || '-' || CAST(max(page) + 1 AS VARCHAR(9)) END"
+    islands = f"SELECT doc_id, min(page) AS p, {said} AS said FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS island FROM {rows(d, 'doc_id, page', PAGES)} p_) i_ GROUP BY doc_id, island"
+    joined = "array_join(transform(array_sort(collect_list(struct(p, said))), x -> x.said), ', ')" if d.name == "spark" else "string_agg(said, ', ' ORDER BY p)"
+    return f"SELECT doc_id, {joined} AS pages FROM ({islands}) s_ GROUP BY doc_id"
+
+
+@query
+def damaged_text(d: Dialect) -> str:
+    """Devanagari with too few halants for its consonants."""
+    texts = [(1, "कखगघ" * 12), (2, "क्ख्ग" * 20), (3, "कख"), (4, "plain")]
+    consonants = d.size(d.find_all("s", "[\\x{0915}-\\x{0939}\\x{0958}-\\x{095F}]"))
+    halants = "(length(s) - length(replace(s, '्', '')))"
+    return f"SELECT t_id, {consonants} >= 40 AND {halants} < 0.015 * {consonants} AS damaged FROM {rows(d, 't_id, s', texts)} t_"
+
+
+@query
+def damaged_match(d: Dialect) -> str:
+    """Whether a token can be a question's word that lost letters: a subsequence of it, long enough."""
+    pairs = [(1, "लेखापरीक्षणको", "लेखापरीणको"), (2, "नेपाल", "भारत"), (3, "abc", "ab"), (4, "विवरण", "वरण")]
+    bare = lambda c: f"replace({c}, 'ि', '')"
+    wild = "'%' || array_join(split(t, ''), '%') || '%'" if d.name == "spark" else "'%' || array_to_string(string_split(t, ''), '%') || '%'"
+    rule = f"q = t OR (length(q) >= 4 AND length(t) >= 3 AND q LIKE {wild} AND ((left(q, 1) = left(t, 1) AND length(t) >= 0.35 * length(q)) OR (length(t) >= 4 AND length(t) >= 0.6 * length(q))))"
+    script = lambda c: d.matches(c, "[\\x{0900}-\\x{097F}]")
+    return f"SELECT p_id, {script('q')} AND {script('t')} AND ({rule}) AS matched FROM (SELECT p_id, {bare('q0')} AS q, {bare('t0')} AS t FROM {rows(d, 'p_id, q0, t0', pairs)} p_) b_"
+
+
+WORDS = [(1, 1, 1, 10, 50, "Hello"), (1, 1, 2, 12, 60, "world"), (1, 2, 1, 40, 90, "Second"), (1, 2, 2, 41, -1, "noise"), (2, 1, 1, 5, 99, "First")]
+
+
+@query
+def scanned_paragraphs(d: Dialect) -> str:
+    """Recognised words, grouped into paragraphs with their place on the page."""
+    joined = "array_join(transform(array_sort(collect_list(struct(n, word))), x -> x.word), ' ')" if d.name == "spark" else "string_agg(word, ' ' ORDER BY n)"
+    return f"SELECT block, par, min(top_) AS top_, {joined} AS text FROM {rows(d, 'block, par, n, top_, conf, word', WORDS)} w_ WHERE conf >= 0 AND word <> '' GROUP BY block, par"
+
+
+BOXES = [(1, 0, 0, 10, 10), (2, 20, 20, 80, 90)]
+GLYPHS = [(1, 2, 2, 4, 4), (2, 30, 30, 40, 50), (3, 100, 100, 110, 110), (4, 9, 9, 13, 13)]
+
+
+@query
+def outside_boxes(d: Dialect) -> str:
+    """Page elements whose centre lies in no table box."""
+    inside = "(g.x0 + g.x1) / 2.0 BETWEEN b.bx0 AND b.bx1 AND (g.y0 + g.y1) / 2.0 BETWEEN b.by0 AND b.by1"
+    return f"SELECT g.g_id FROM {rows(d, 'g_id, x0, y0, x1, y1', GLYPHS)} g LEFT JOIN {rows(d, 'b_id, bx0, by0, bx1, by1', BOXES)} b ON {inside} WHERE b.b_id IS NULL"
+
+
+@query
+def modal_answers(d: Dialect) -> str:
+    made = [(1, "table", 0, 2, "Budget", "| A |", ""), (2, "equation", 3, 5, "", "E=mc^2", ""), (3, "image", 0, 1, "A house", "", "red"), (4, "image", 0, 1, "", "", "")]
+    nl = f"{d.newline()} || {d.newline()}"
+    page = "CASE WHEN pages > 1 THEN ' (page ' || CAST(page + 1 AS VARCHAR(9)) || ')' ELSE '' END"
+    return (
+        f"SELECT m_id, CASE type WHEN 'table' THEN '**Table**' || {page} || CASE WHEN caption <> '' THEN ': ' || caption ELSE '' END || {nl} || raw "
+        f"WHEN 'equation' THEN '**Equation**' || {page} || {nl} || '```' || {d.newline()} || raw || {d.newline()} || '```' "
+        f"ELSE '**Figure**' || {page} || CASE WHEN caption <> '' THEN {nl} || caption ELSE '' END || CASE WHEN description <> '' THEN {nl} || description ELSE '' END || "
+        f"CASE WHEN caption = '' AND description = '' THEN {nl} || 'chunk' ELSE '' END END AS answer FROM {rows(d, 'm_id, type, page, pages, caption, raw, description', made)} a_"
+    )
