@@ -86,6 +86,14 @@ class Dialect:
     def fold(self, items: str, init: str, acc: str, var: str, body: str, kind: str) -> str:
         return f"list_reduce(list_transform({items}, lambda x_: {{'out': NULL::VARCHAR[], 'cur': [x_], 'n': 0}}), lambda {acc}, y_: {body.replace('$' + var, 'y_.cur[1]')}, {init})"
 
+    def choose(self, items: str, test: str) -> str:
+        """A greedy choice in order: $x joins the chosen $c if the test holds."""
+        body = test.replace("$x", "y_[1]").replace("$c", "acc_")
+        return f"list_reduce(list_transform({items}, lambda x_: [x_]), lambda acc_, y_: CASE WHEN {body} THEN list_concat(acc_, y_) ELSE acc_ END, list_slice({items}, 1, 0))"
+
+    def struct(self, *fields: str) -> str:
+        return "{" + ", ".join(f"'{f}': {f}" for f in fields) + "}"
+
     def find_all(self, text: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({text}, {self.text(pattern)}, {group})"
 
@@ -272,6 +280,13 @@ class SparkDialect(Dialect):
     def matches(self, text: str, pattern: str) -> str:
         return f"rlike({text}, {self.text(pattern)})"
 
+    def choose(self, items: str, test: str) -> str:
+        body = test.replace("$x", "x_").replace("$c", "acc_")
+        return f"aggregate({items}, slice({items}, 1, 0), (acc_, x_) -> CASE WHEN {body} THEN concat(acc_, array(x_)) ELSE acc_ END)"
+
+    def struct(self, *fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + ")"
+
     def md5_bucket(self, text: str, n: int) -> str:
         return f"(CAST(conv(substr(md5({text}), 1, 8), 16, 10) AS BIGINT) % {n})"
 

@@ -95,12 +95,31 @@ def conversation_terms(d: Dialect) -> str:
 
 @query
 def distinctive_words(d: Dialect) -> str:
-    skip = quoted([*W.GENERIC, *W.SUMMARY])
-    digits = d.matches("t.token", "^[0-9]+$")
-    return (
-        "SELECT doc_id, idx, token, CAST(r AS INT) AS place FROM (SELECT t.doc_id, t.idx, t.token, row_number() OVER (PARTITION BY t.doc_id, t.idx ORDER BY f.df, length(t.token) DESC, t.token) AS r "
-        f"FROM @item_tokens@ t JOIN (SELECT token, count(*) AS df FROM @item_tokens@ GROUP BY token) f ON t.token = f.token WHERE length(t.token) >= 4 AND t.token NOT IN ({skip}) AND NOT {digits}) w_ WHERE r <= 3"
-    )
+    return "SELECT doc_id, idx, token, CAST(r AS INT) AS place FROM @distinctive@"
+
+
+@query
+def ambiguity_options(d: Dialect) -> str:
+    return "SELECT qid, CAST(place_no AS INT) AS place_no, doc_id, idx FROM @ambiguous@"
+
+
+@query
+def topic_options(d: Dialect) -> str:
+    """Four topics of the corpus: even spacing within documents, one depth after the other, no query twice."""
+    n = f"least({W.OPTIONS}, n)"
+    at = f"CAST(floor(CASE WHEN {n} <= 1 THEN 0 ELSE CAST(k AS DOUBLE) * (n - 1) / ({n} - 1) END) AS INT)"
+    picks = d.explode("(SELECT doc_id, count(*) AS n FROM @items@ GROUP BY doc_id) c_", "doc_id, n", d.steps("0", n + " - 1", "1"), "p", "k")
+    words = "array_join(transform(array_sort(collect_list(struct(w.r, w.token))), x -> x.token), ' ')" if d.name == "spark" else "string_agg(w.token, ' ' ORDER BY w.r)"
+    said = f"SELECT p.depth, p.doc_id, p.idx, {words} AS query FROM (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS depth FROM (SELECT DISTINCT doc_id, {at} AS idx FROM ({picks}) k_) d_) p JOIN @distinctive@ w ON p.doc_id = w.doc_id AND p.idx = w.idx GROUP BY p.depth, p.doc_id, p.idx"
+    first = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY depth, doc_id) AS nth FROM ({said}) s_"
+    return f"SELECT doc_id, idx, query FROM ({first}) f_ WHERE nth = 1 ORDER BY depth, doc_id LIMIT {W.OPTIONS}"
+
+
+@query
+def first_profile_order(d: Dialect) -> str:
+    """The earlier profile: hybrid score with an added boost for the kind of item asked for."""
+    score = "hybrid + CASE WHEN asked_kind THEN CAST(0.06 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+    return f"SELECT qid, doc_id, idx, CAST(row_number() OVER (PARTITION BY qid ORDER BY round({score}, 9) DESC, doc_id, idx) AS INT) AS place FROM @hits@"
 
 
 @query

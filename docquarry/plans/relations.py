@@ -373,3 +373,31 @@ def decisions(d: Dialect) -> str:
         f"CASE WHEN {d.matches('q.question', '[\\x{0900}-\\x{097F}]')} THEN 'ne' ELSE 'en' END AS lang, g.confidence "
         f"FROM @questions@ q JOIN (SELECT qid, {formula} AS formula FROM @questions@) f ON q.qid = f.qid JOIN @gate@ g ON q.qid = g.qid"
     )
+
+
+@relation
+def ambiguous(d: Dialect) -> str:
+    """Different places that answer a short question about equally well: (qid, place_no, doc_id, idx), two to four each."""
+    line = "OVER (PARTITION BY h.qid ORDER BY h.hybrid DESC, h.doc_id, h.idx)"
+    ranked = (
+        f"SELECT h.qid, h.doc_id, h.idx, h.hybrid, h.coverage, coalesce(h.section, CAST(h.page AS VARCHAR(9))) AS spot, row_number() {line} AS r, first_value(h.hybrid) {line} AS best_h, first_value(h.coverage) {line} AS best_c "
+        f"FROM @hits@ h JOIN @questions@ q ON h.qid = q.qid WHERE {d.size('q.terms')} BETWEEN 1 AND {W.AMBIGUOUS_TERMS}"
+    )
+    close = f"SELECT * FROM ({ranked}) r_ WHERE best_c > 0 AND hybrid >= best_h * {W.AMBIGUOUS_RATIO} AND coverage >= best_c"
+    listed = f"SELECT c.qid, {d.collect(d.struct('r', 'doc_id', 'idx', 'spot', 'v', 'norm2'), 'r')} AS every FROM (SELECT k.qid, k.r, k.doc_id, k.idx, k.spot, v.v, v.norm2 FROM ({close}) k JOIN @vecs@ v ON k.doc_id = v.doc_id AND k.idx = v.idx) c GROUP BY c.qid"
+    same = "$x.doc_id = o.doc_id AND ($x.spot = o.spot OR abs($x.idx - o.idx) <= 1)"
+    alike = f"CAST({dot(d, '$x.v', 'o.v')} AS DOUBLE) > 0.95 * sqrt(CAST($x.norm2 AS DOUBLE)) * sqrt(CAST(o.norm2 AS DOUBLE))"
+    chosen = d.choose("every", f"{d.size('$c')} < {W.OPTIONS} AND NOT {d.any('$c', 'o', f'({same}) OR ({alike})')}")
+    exploded = d.explode(f"(SELECT qid, {chosen} AS chosen FROM ({listed}) l_) c_", "qid, chosen", "chosen", "place_no", "o")
+    return f"SELECT qid, place_no, o.doc_id AS doc_id, o.idx AS idx FROM ({exploded}) e_ WHERE {d.size('chosen')} >= 2"
+
+
+@relation
+def distinctive(d: Dialect) -> str:
+    """The three rarest telling words of an item, longer ones first among equals."""
+    skip = quoted([*W.GENERIC, *W.SUMMARY])
+    digits = d.matches("t.token", "^[0-9]+$")
+    return (
+        "SELECT doc_id, idx, token, r FROM (SELECT t.doc_id, t.idx, t.token, row_number() OVER (PARTITION BY t.doc_id, t.idx ORDER BY f.df, length(t.token) DESC, t.token) AS r "
+        f"FROM @item_tokens@ t JOIN (SELECT token, count(*) AS df FROM @item_tokens@ GROUP BY token) f ON t.token = f.token WHERE length(t.token) >= 4 AND t.token NOT IN ({skip}) AND NOT {digits}) w_ WHERE r <= 3"
+    )
