@@ -39,6 +39,8 @@ TOXIC_DOCS, CLEAN_DOCS, FREQUENT_WORDS, HASHED_WORDS, LANDMARKS, ROUNDS = 2_000,
 #: the others, those seen in clean documents are trained as clean, and the rest, seen too rarely to tell, not at all.
 WITNESS_Z, WITNESS_SHARE = 3.0, 0.7
 RIDGE = 1e-4
+#: Words whose features are worked on at a time in training.
+SLICE = 4096
 
 LEET = str.maketrans("013457@$", "oieastas")
 NOT_LETTER = re.compile(r"[\W_]+")
@@ -203,14 +205,22 @@ def _svm(kernel: np.ndarray, landmarks: np.ndarray, signs: np.ndarray, weights:
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     keep = values > values.max(initial=0) * 1e-6
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    features = np.c_[kernel @ whiten, np.ones(len(kernel), np.float32)]
-    w = np.zeros(features.shape[1], np.float32)
-    penalty = np.eye(len(w)) * RIDGE * weights.sum()
+    m = whiten.shape[1]
+    features = np.ones((len(kernel), m + 1), np.float32)
+    for at in range(0, len(kernel), SLICE):
+        features[at : at + SLICE, :m] = kernel[at : at + SLICE] @ whiten
+    w = np.zeros(m + 1, np.float32)
+    penalty = np.eye(m + 1) * RIDGE * weights.sum()
     penalty[-1, -1] = 1e-6
     for _ in range(15):
         held = np.flatnonzero(signs * (features @ w) < 1)
-        x, c = features[held], weights[held].astype(np.float32)
-        new = np.linalg.solve(penalty + x.T @ (x * c[:, None]), x.T @ (c * signs[held].astype(np.float32))).astype(np.float32)
+        hessian, pull = penalty.copy(), np.zeros(m + 1)
+        for at in range(0, len(held), SLICE):  # a slice at a time, as the driver's memory is scarce
+            some = held[at : at + SLICE]
+            x, c = features[some], weights[some].astype(np.float32)
+            hessian += x.T @ (x * c[:, None])
+            pull += x.T @ (c * signs[some].astype(np.float32))
+        new = np.linalg.solve(hessian, pull).astype(np.float32)
         done = np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max())
         w = new
         if done:
