@@ -147,7 +147,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, most: int) ->
 def _decided(docs: DataFrame, most: int, min_chars: int) -> DataFrame:
     """docs with __lines, and __kept: the places of the lines that stay, and counts of lines dropped on either ground."""
     taking_part = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    typed, kinds = docs, dict(docs.dtypes)
+    for name, kind in (("doc_id", "bigint"), ("text", "string")):
+        if kinds[name] != kind:  # a cast without effect would keep Spark from reusing the shuffled texts
+            typed = typed.withColumn(name, F.col(name).cast(kind))
     known = typed.where(taking_part)
     bare = known.select("doc_id", "text")
     firsts = _firsts(bare, min_chars)
