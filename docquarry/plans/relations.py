@@ -103,8 +103,11 @@ def item_tokens(d: Dialect) -> str:
 
 
 def vector(d: Dialect, key: str, relation_name: str) -> str:
-    counted = ", ".join(f"CAST(sum(CASE WHEN bucket = {b} THEN 1 ELSE 0 END) AS INT)" for b in range(DIM))
-    return f"SELECT {key}, {d.array(counted)} AS v FROM (SELECT {key}, {d.md5_bucket('token', DIM)} AS bucket FROM {relation_name}) b_ GROUP BY {key}"
+    counted = ", ".join(f"CAST(sum(CASE WHEN bucket = {b} THEN n ELSE 0 END) AS INT)" for b in range(DIM))
+    # counted by bucket first, or the optimizer would put the digest of a token into each of the DIM sums
+    buckets = f"SELECT {key}, {d.md5_bucket('token', DIM)} AS bucket FROM {relation_name}"
+    each = f"SELECT {key}, bucket, count(*) AS n FROM ({buckets}) b_ GROUP BY {key}, bucket"
+    return f"SELECT {key}, {d.array(counted)} AS v FROM ({each.replace('spot AS sat', 'sat')}) c_ GROUP BY {key}"
 
 
 def dot(d: Dialect, a: str, b: str) -> str:
