@@ -4,7 +4,11 @@ A line goes if the same line, or one within MOST edits of it, came before it; "b
 Lines within MOST edits are found by cutting every line into MOST + 1 segments: one of them must stand unchanged in the
 other line, at a place that the edits left and right of it allow. So each line writes its segments to an index under
 (segment number, its own length, characters) and probes the index with the few substrings of its own that could be a
-segment of a line up to MOST characters shorter. Pairs that meet are verified by banded bit-parallel edit distance.
+segment of a line up to MOST characters shorter. Of lines that share a segment (versions of one line in many near
+copies, say) most are still far apart. So lines that share a segment with another one are found by semi joins first, which
+make no pairs; each is marked with the letters it holds an odd number of times. An edit changes two of these parities at
+most, so lines with more changes do not meet. Pairs that meet are verified by banded
+bit-parallel edit distance.
 
 Texts are shuffled once, by doc_id; which lines come first, the keys and the pairs travel as hashes and places.
 """
@@ -18,6 +22,8 @@ MOST = 2
 MIN_CHARS = 20
 #: Characters trimmed from both ends of a line before it is compared; line ends themselves are \n.
 BLANKS = " \t\r\x0b\x0c"
+#: Bits of a line's mark: classes of letters (code point modulo CLASSES), and lengths told apart.
+CLASSES, LENGTHS = 28, 8
 
 
 def edit_distance(a: str, b: str, most: int = MOST) -> Column:
@@ -92,6 +98,25 @@ def _probe_keys(line: Column, n: Column, most: int) -> list[Column]:
     return keys
 
 
+def _mark(most: int) -> Column:
+    """Parities of the counts of letters, in CLASSES bits, and above them the length modulo LENGTHS (more than `most`)."""
+    if most >= LENGTHS:
+        raise ValueError(f"most must be under {LENGTHS}")
+    parities = f"aggregate(split(line, ''), 0, (s, c) -> s ^ shiftleft(1, ascii(c) % {CLASSES}))"
+    return F.expr(f"{parities} | shiftleft(n % {LENGTHS}, {CLASSES})")
+
+
+def _may_be_near(most: int) -> Column:
+    """Whether two lines that share a key can be within `most` edits; of equal lengths one order is enough.
+
+    Lengths that differ by gap take gap insertions, of one parity each; the other edits change two at most.
+    """
+    gap = F.pmod(F.shiftright("p_mark", CLASSES) - F.shiftright("mark", CLASSES), F.lit(LENGTHS))
+    changed = F.bit_count(F.col("mark").bitwiseXOR(F.col("p_mark")).bitwiseAND(F.lit((1 << CLASSES) - 1)))
+    earlier = (F.col("doc_id") < F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("pos") < F.col("p_pos")))
+    return (changed <= 2 * most - gap) & ((gap > 0) | earlier)
+
+
 def _firsts(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, keepers array<struct<pos, h>>): for each document the lines that no earlier line equals."""
     occurrences = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "pos", _plain(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
@@ -118,18 +143,30 @@ def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHAR
     firsts = _firsts(docs, min_chars)
     lines = _texts_of(docs, firsts)
     measured = lines.withColumn("n", F.length("line"))
-    place = ["doc_id", "pos"]
     line, n = F.col("line"), F.col("n")
-    index = measured.select(*place, F.explode(F.array(*_index_keys(line, n, most))).alias("key"))
-    probe = measured.select(F.col("doc_id").alias("p_doc_id"), F.col("pos").alias("p_pos"), F.explode(F.array(*_probe_keys(line, n, most))).alias("key"))
+    index = measured.select("doc_id", "pos", F.explode(F.array(*_index_keys(line, n, most))).alias("key"))
+    probe = measured.select(F.col("doc_id").alias("p_doc_id"), F.col("pos").alias("p_pos"), F.explode(F.array(*_probe_keys(line, n, most))).alias("p_key"))
+    shared = F.col("key") == F.col("p_key")
     other = (F.col("doc_id") != F.col("p_doc_id")) | (F.col("pos") != F.col("p_pos"))
-    met = index.join(probe, "key").where(other)
+    sought = index.join(probe, shared & other, "left_semi")
+    seeking = probe.join(sought.select("key").distinct().hint("shuffle_hash"), shared, "left_semi")
+    theirs = _marked(docs, seeking.select(F.col("p_doc_id").alias("doc_id"), F.col("p_pos").alias("pos"), F.col("p_key").alias("key")), most)
+    theirs = theirs.select("key", F.col("doc_id").alias("p_doc_id"), F.col("pos").alias("p_pos"), F.col("mark").alias("p_mark"))
+    met = _marked(docs, sought, most).join(theirs, "key").where(_may_be_near(most))
     mine, theirs = F.struct("doc_id", "pos"), F.struct(F.col("p_doc_id").alias("doc_id"), F.col("p_pos").alias("pos"))
     pairs = met.select(F.least(mine, theirs).alias("a"), F.greatest(mine, theirs).alias("b")).distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
     return _verified(docs, pairs, ends, most)
 
 
+def _marked(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """rows(doc_id, pos, key) with the mark of the line at that place; texts are asked once for a place."""
+    asked = rows.groupBy("doc_id", "pos").agg(F.collect_set("key").alias("keys")).groupBy(F.col("doc_id").alias("k_doc_id")).agg(F.collect_list(F.struct("pos", "keys")).alias("places"))
+    picked = _picked("places", lambda k, lines: F.struct(k["pos"].alias("pos"), k["keys"].alias("keys"), _plain(F.get(lines, k["pos"])).alias("line")))
+    named = docs.join(asked, docs["doc_id"] == asked["k_doc_id"]).select("doc_id", F.inline(picked)).where(F.col("line").isNotNull())
+    return named.withColumn("n", F.length("line")).withColumn("mark", _mark(most)).select("doc_id", "pos", "mark", F.explode("keys").alias("key"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, most: int) -> DataFrame:
     asked = ends.groupBy(F.col("e.doc_id").alias("k_doc_id")).agg(F.collect_list("e.pos").alias("places"))
     named = docs.join(asked, docs["doc_id"] == asked["k_doc_id"])
