@@ -145,7 +145,8 @@ def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHAR
     measured = lines.withColumn("n", F.length("line"))
     line, n = F.col("line"), F.col("n")
     index = measured.select("doc_id", "pos", F.explode(F.array(*_index_keys(line, n, most))).alias("key"))
-    probe = measured.select(F.col("doc_id").alias("p_doc_id"), F.col("pos").alias("p_pos"), F.explode(F.array(*_probe_keys(line, n, most))).alias("p_key"))
+    renamed = measured.withColumnsRenamed({"doc_id": "p_doc_id", "pos": "p_pos"})  # before the explode, else a semi join moves below it and shuffles anew
+    probe = renamed.select("p_doc_id", "p_pos", F.explode(F.array(*_probe_keys(line, n, most))).alias("p_key"))
     shared = F.col("key") == F.col("p_key")
     other = (F.col("doc_id") != F.col("p_doc_id")) | (F.col("pos") != F.col("p_pos"))
     sought = index.join(probe, shared & other, "left_semi")
