@@ -193,6 +193,14 @@ def test_repeated_passages(spark):
     assert found[2].n_words >= 57 and found[2].similarity >= 0.9
 
 
+def test_passages_with_unrelated_words_between(spark):
+    r = random.Random(14)
+    one, two = words(r, 60), words(r, 60)
+    texts = [f"{words(r, 30)} {one} {words(r, 100)} {two} {words(r, 30)}", f"{words(r, 40)} {one} {words(r, 100)} {two} {words(r, 40)}"]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.start, x.end, x.other_id, x.other_start, x.other_end) for x in found) == [(1, 40, 100, 0, 30, 90), (1, 200, 260, 0, 190, 250)]
+
+
 def test_chain_prefers_order():
     x = np.array([0, 10, 20, 30, 40]), np.array([100, 110, 5, 130, 140])
     best = substring_dedup.chain(*x)[0]
