@@ -201,6 +201,30 @@ def test_passages_with_unrelated_words_between(spark):
     assert sorted((x.doc_id, x.start, x.end, x.other_id, x.other_start, x.other_end) for x in found) == [(1, 40, 100, 0, 30, 90), (1, 200, 260, 0, 190, 250)]
 
 
+def test_every_exact_run_is_covered(spark):
+    """Partial first copies, each too short to be reported, a repeated phrase, and random cuts, against brute force."""
+    r = random.Random(24)
+    passage, phrase, pool = words(r, 100).split(), words(r, 7), words(r, 400).split()
+    texts = [f"{words(r, 30)} {' '.join(passage[i : i + 25])} {words(r, 30)}" for i in range(0, 100, 25)]
+    texts += [f"{words(r, 40)} {' '.join(passage)} {words(r, 30)}" for _ in range(3)]
+    texts += [f"{words(r, 20)} {' '.join([phrase] * 12)} {words(r, n)}" for n in (30, 40)] + ["same " * n for n in (60, 3000)]
+    for _ in range(40):
+        at, n = r.randrange(340), r.randrange(40, 61)
+        texts.append(f"{words(r, r.randrange(30))} {' '.join(pool[at : at + n])} {words(r, 20)}")
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    split, held, missed = [t.split() for t in texts], set(), []
+    told = [{w for x in found if x.doc_id == i for w in range(x.start, x.end)} for i in range(len(texts))]
+    for i, t in enumerate(split):
+        runs = [tuple(t[k : k + 50]) for k in range(len(t) - 49)]
+        missed += [(i, k) for k, run in enumerate(runs) if run in held and not set(range(k, k + 50)) <= told[i]]
+        held.update(runs)
+    assert missed == [] and sum(x.doc_id == 10 for x in found) <= 100
+    for x in found:
+        assert x.other_id < x.doc_id and x.similarity >= 0.8
+        if x.similarity == 1.0:
+            assert split[x.doc_id][x.start : x.end] == split[x.other_id][x.other_start : x.other_end]
+
+
 def test_chain_prefers_order():
     x = np.array([0, 10, 20, 30, 40]), np.array([100, 110, 5, 130, 140])
     best = substring_dedup.chain(*x)[0]
