@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. The first and the last need a trained machine and a merge table, so no single SQL statement gives run()'s
-rows; tests/llm holds it against a plain restatement.
+rows. tests/llm checks the stages' columns and ids only; their decisions are not held against a plain restatement.
 """
 
 from __future__ import annotations
