@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-A text is read as sentences of words; runs of single letters ("i d i o t") are joined and punctuation inside a word is
+A text is read as single words, not as sentences; runs of single letters ("i d i o t") are joined and punctuation inside a word is
 dropped. The kernel of two words sums, over the subsequences of ORDER letters that both hold within REACH letters, the
 product of DECAY to the letters skipped, so gaps and inserted letters only damp a match. It is divided by a positive
 function of each word's length, which keeps it a kernel. Landmark words span the Nyström features, a squared-hinge
