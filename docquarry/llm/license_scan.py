@@ -1,16 +1,21 @@
 """Licence scans by diagonal voting.
 
-All rolling word k-grams of a text are joined, by hash, to the k-gram positions of a fixed set of templates. A match of
-text position p with template position t votes for the diagonal p - t. Votes are gathered as a bit mask of template
-positions per (text, template, diagonal); neighbouring diagonals (a word put in or left out) merge into one span; a span
-counts if it covers enough of the template. The templates are literals of this module, so the joined side has a fixed size.
+All rolling word pairs of a text are joined, by hash and then by their words, to the pairs of a fixed set of templates. A
+match of text position p with template position t votes for the diagonal p - t; votes are gathered as a bit mask of
+template positions per (text, template, diagonal). Diagonals at most DRIFT apart merge into one span, never a longer
+chain of them, so a notice may hold DRIFT words that were put in or left out and its words keep their order. A span is
+verified before it counts: the words under its mask must be COVER of the template's, and the phrase that tells the
+template from its relatives must stand in it unbroken.
+
+Texts are read once; pairs that start with a word of no template leave before anything is shuffled. The templates are
+literals of this module, so the broadcast side has a fixed size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import ascii_lower
@@ -19,141 +24,153 @@ from docquarry.llm.common import ascii_lower
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Usual notices, in the words of LICENSE_WORD; at most 64 words each.
+#: Usual notices in the words of LICENSE_WORD (at most 60 each), their labels, and the phrase that must stand unbroken.
 NOTICES = (
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("licensed under cc by 4 0", "cc-by-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("this work is licensed under the gnu general public license version 2", "gpl-2.0"),
-    ("licensed under the gnu lesser general public license", "lgpl"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("licensed under the mozilla public license version 2 0", "mpl-2.0"),
-    ("this work is dedicated to the public domain", "public-domain"),
+    ("released under the mit license", "mit", "mit license"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "free of charge"),
+    ("licensed under the apache license version 2 0", "apache-2.0", "apache license"),
+    ("licensed under cc by 4 0", "cc-by-4.0", "cc by 4"),
+    ("licensed under cc by sa 4 0", "cc-by-sa-4.0", "cc by sa 4"),
+    ("licensed under cc by nd 4 0", "cc-by-nd-4.0", "cc by nd 4"),
+    ("licensed under cc by nc 4 0", "cc-by-nc-4.0", "cc by nc 4"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa-4.0", "cc by nc sa 4"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd-4.0", "cc by nc nd 4"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0", "attribution 4 0"),
+    ("this work is licensed under the gnu general public license version 3", "gpl-3.0", "gnu general public license version 3"),
+    ("this work is licensed under the gnu general public license version 2", "gpl-2.0", "gnu general public license version 2"),
+    ("licensed under the gnu lesser general public license", "lgpl", "gnu lesser general public license"),
+    ("licensed under the gnu affero general public license", "agpl", "gnu affero general public license"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "source and binary forms"),
+    ("licensed under the mozilla public license version 2 0", "mpl-2.0", "mozilla public license"),
+    ("this work is dedicated to the public domain", "public-domain", "the public domain"),
 )
 GRAM = 2
-#: The share of a template's words that a span must cover, and how far apart diagonals may lie to be neighbours.
+#: The share of a template's words that a span must cover, and how far apart the diagonals of one span may lie.
 COVER, DRIFT = 0.8, 2
 
 
-def template_rows() -> list[tuple[int, str, bool, int, int, str, str]]:
-    """(template, label, base, words, position, first word, second word) for each k-gram of each template."""
+def templates() -> list[tuple[str, str, bool, int]]:
+    """(phrase, label, base, mask of the pairs that must stand on one diagonal): the whole of a base phrase."""
+    out = [(phrase, label, True, (1 << len(phrase.split()) - 1) - 1) for phrase, label in BASE]
+    for phrase, label, telling in NOTICES:
+        words, part = phrase.split(), telling.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+        out.append((phrase, label, False, ((1 << len(part) - 1) - 1) << at))
+    return out
+
+
+def template_rows() -> list[tuple[int, str, bool, int, int, int, str, str]]:
+    """(template, label, base, words, must, position, first word, second word) for each pair of each template."""
     rows = []
-    for number, (phrase, label) in enumerate([*BASE, *NOTICES]):
+    for number, (phrase, label, base, must) in enumerate(templates()):
         words = phrase.split()
-        for at in range(len(words) - GRAM + 1):
-            rows.append((number, label, number < len(BASE), len(words), at, words[at], words[at + 1]))
+        rows += [(number, label, base, len(words), must, at, words[at], words[at + 1]) for at in range(len(words) - GRAM + 1)]
     return rows
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    schema = "template int, label string, base boolean, t_words int, t_at int, t_first string, t_second string"
+    schema = "template int, label string, base boolean, t_words int, must long, t_at int, t_first string, t_second string"
     return spark.createDataFrame(template_rows(), schema).withColumn("gram", F.xxhash64("t_first", "t_second"))
 
 
-def _words(docs: DataFrame) -> DataFrame:
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, pairs): the text's pairs of words, with their places, that begin with a template's word."""
     lowered = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.md5(lowered.cast("binary")).alias("text_key"),
-        F.regexp_extract_all(lowered, F.lit(LICENSE_WORD), 0).alias("words"),
-    )
+    openers = sorted({row[6] for row in template_rows()})
+
+    def read(words: Column) -> Column:
+        pair = lambda w, i: F.struct(i.cast("int").alias("at"), w.alias("first"), F.get(words, i + 1).alias("second"))
+        kept = F.filter(F.transform(words, lambda w, i: F.when(w.isin(openers), pair(w, i))), lambda p: p.isNotNull() & p["second"].isNotNull())
+        return F.struct(F.size(words).cast("long").alias("n_words"), kept.alias("pairs"))
+
+    # bound by a lambda, so that the words are taken out of the text once
+    told = F.get(F.transform(F.array(F.regexp_extract_all(lowered, F.lit(LICENSE_WORD), 0)), read), F.lit(0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), told.alias("told")).select("doc_id", "told.n_words", "told.pairs")
+
+
+def _spans_of(votes: Column) -> Column:
+    """Verified spans among a text's votes, an array of structs in the order of (template, diagonal).
+
+    A span opens at each diagonal and takes in those up to DRIFT after it. A base phrase is one diagonal that holds it whole.
+    """
+
+    def opened(x: Column, i: Column) -> Column:
+        parts = [(F.lit(True), x)]
+        for step in range(1, DRIFT + 1):
+            y = F.get(votes, i + step)
+            parts.append((F.coalesce(~x["base"] & (y["template"] == x["template"]) & (y["diagonal"] - x["diagonal"] <= DRIFT), F.lit(False)), y))
+        masks = [F.when(near, y["mask"]).otherwise(F.lit(0).cast("long")) for near, y in parts]
+        mask = reduce(lambda a, b: a.bitwiseOR(b), masks)
+        told = reduce(lambda a, b: a | b, [m.bitwiseAND(x["must"]) == x["must"] for m in masks])
+        first = F.least(*[F.when(near, y["diagonal"] + F.length(F.bin(y["mask"].bitwiseAND(-y["mask"]))) - 1) for near, y in parts])
+        last = F.greatest(*[F.when(near, y["diagonal"] + F.length(F.bin(y["mask"])) + (GRAM - 1)) for near, y in parts])
+        cover = F.bit_count(mask.bitwiseOR(F.shiftleft(mask, 1))) / x["t_words"]
+        return F.struct(
+            x["template"].alias("template"), x["label"].alias("label"), x["base"].alias("base"), told.alias("told"),
+            first.cast("long").alias("start"), last.cast("long").alias("end"), cover.alias("cover"),
+        )
+
+    return F.filter(F.transform(votes, opened), lambda s: s["told"] & (s["cover"] >= COVER))
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """Spans by distinct text: text_key, template, label, base, start, end (words, end exclusive), cover.
+    """(doc_id, n_words, copies, spans): one row for rows of docs with equal doc_id and pairs; copies is their number.
 
-    For a base phrase a span is one place where its words stand consecutively, so cover is 1. For a notice it is a
-    group of neighbouring diagonals that together cover at least COVER of its words.
+    spans is an array of (template, label, base, told, start, end, cover) in words, end exclusive. For a base phrase a
+    span is a place where its words stand consecutively; for a notice, neighbouring diagonals that hold enough of it.
     """
-    words = _words(docs)
-    grams = words.select(
-        "text_key",
-        F.posexplode(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))).alias("at", "pair"),
-    ).select("text_key", "at", F.col("pair").getField("words").alias("first"), F.col("pair").getField("next").alias("second"))
-    votes = (
-        grams.withColumn("gram", F.xxhash64("first", "second"))
-        .join(F.broadcast(_templates(docs.sparkSession)), "gram")
-        .where((F.col("first") == F.col("t_first")) & (F.col("second") == F.col("t_second")))
-    )
-    diagonals = votes.groupBy("text_key", "template", "label", "base", "t_words", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
+    key = ["doc_id", "n_words", "pairs"]
+    rows = _scanned(docs).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    named = F.broadcast(_templates(docs.sparkSession))
+    pair = F.explode_outer("pairs").alias("pair")
+    votes = rows.select(*key, "copies", pair).withColumn("v_gram", F.xxhash64("pair.first", "pair.second"))
+    same = (F.col("v_gram") == F.col("gram")) & (F.col("pair.first") == F.col("t_first")) & (F.col("pair.second") == F.col("t_second"))
+    about = ["template", "label", "base", "t_words", "must"]
+    diagonals = votes.join(named, same, "left").groupBy(*key, "copies", *about, (F.col("pair.at") - F.col("t_at")).alias("diagonal")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_at"))).alias("mask")
     )
-    places = diagonals.where(F.col("base") & (F.bit_count("mask") == F.col("t_words") - F.lit(GRAM - 1))).select(
-        "text_key", "template", "label", "base",
-        F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("t_words")).cast("long").alias("end"), F.lit(1.0).alias("cover"),
-    )
-    by_template = Window.partitionBy("text_key", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(by_template)
-    merged = (
-        diagonals.where(~F.col("base"))
-        .withColumn("opens", F.when(gap <= DRIFT, 0).otherwise(1))
-        .withColumn("group", F.sum("opens").over(by_template))
-        .groupBy("text_key", "template", "label", "base", "t_words", "group")
-        .agg(
-            F.bit_or("mask").alias("mask"),
-            F.min(F.expr("diagonal + bit_count((mask & -mask) - 1)")).cast("long").alias("start"),
-            F.max(F.expr(f"diagonal + {GRAM} + length(bin(mask)) - 1")).cast("long").alias("end"),
-        )
-        .withColumn("cover", F.expr("bit_count(mask | shiftleft(mask, 1))") / F.col("t_words"))
-        .where(F.col("cover") >= COVER)
-        .select("text_key", "template", "label", "base", "start", "end", "cover")
-    )
-    return places.unionByName(merged)
+    struct = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "label", "base", "t_words", "must", "mask"))
+    gathered = diagonals.groupBy(*key, "copies").agg(F.array_sort(F.collect_list(struct)).alias("votes"))
+    spans = F.get(F.transform(F.array("votes"), _spans_of), F.lit(0))
+    return gathered.select("doc_id", "n_words", "copies", spans.alias("spans"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the best cover of any template (1 for a base phrase), 0 without a span. A null or empty text has no words
-    and no spans: labels are empty strings, first_word and last_word null. Equal texts share their spans, so repeated
-    rows cost only their rows; a null doc_id stays. Extra columns are ignored; an empty table gives an empty result.
+    and no spans: labels are empty strings, first_word and last_word null. Repeated rows and rows without a doc_id stay.
+    Extra columns are ignored; an empty table gives an empty result.
     """
-    by_text = license_spans(docs).groupBy("text_key").agg(
-        F.count_if("base").alias("n_base"),
-        F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
-        F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("cover").alias("score"),
-    )
-    rows = _words(docs).select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
-    return rows.join(by_text, "text_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    told = license_spans(docs).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined("spans").alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"), "copies",
     )
+    once = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return told.withColumn("copy", once).drop("copies", "copy")
 
 
 def license_scan_sql() -> str:
-    """The same result stated for DuckDB."""
-    values = ", ".join(
-        f"({n}, '{label}', {str(base).lower()}, {words}, {at}, '{a}', '{b}')" for n, label, base, words, at, a, b in template_rows()
-    )
-    covered = "mask | (mask << 1)"
+    """The same result stated for DuckDB: pairs against the templates' pairs, spans by a self join of the diagonals."""
+    values = ", ".join(f"({n}, '{label}', {str(base).lower()}, {words}, {must}, {at}, '{a}', '{b}')" for n, label, base, words, must, at, a, b in template_rows())
     return f"""
-WITH t(template, label, base, t_words, t_at, a, b) AS (VALUES {values}),
+WITH t(template, label, base, t_words, must, t_at, a, b) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS w FROM documents),
 g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
-v AS (SELECT rid, template, label, base, t_words, pos - t_at AS diagonal, bit_or(1::BIGINT << t_at) AS mask
+v AS (SELECT rid, template, label, base, t_words, must, pos - t_at AS diagonal, bit_or(1::BIGINT << t_at) AS mask
       FROM g JOIN t USING (a, b) GROUP BY ALL),
-places AS (SELECT rid, label, base, diagonal AS start, 1.0::DOUBLE AS cover FROM v
-           WHERE base AND bit_count(mask) = t_words - {GRAM - 1}),
-opened AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER p <= {DRIFT} THEN 0 ELSE 1 END AS opens
-           FROM v WHERE NOT base WINDOW p AS (PARTITION BY rid, template ORDER BY diagonal)),
-grouped AS (SELECT *, sum(opens) OVER (PARTITION BY rid, template ORDER BY diagonal) AS grp FROM opened),
-merged AS (SELECT rid, template, label, base, t_words, grp, bit_or(mask) AS mask FROM grouped GROUP BY ALL),
-spans AS (SELECT rid, label, base, start, cover FROM places UNION ALL
-          SELECT rid, label, base, NULL, bit_count({covered})::DOUBLE / t_words FROM merged
-          WHERE bit_count({covered})::DOUBLE / t_words >= {COVER}),
+u AS (SELECT x.rid, x.label, x.base, x.diagonal, x.t_words, bit_or(y.mask) AS mask, bool_or(y.mask & x.must = x.must) AS told
+      FROM v x JOIN v y ON x.rid = y.rid AND x.template = y.template AND y.diagonal - x.diagonal BETWEEN 0 AND CASE WHEN x.base THEN 0 ELSE {DRIFT} END
+      GROUP BY x.rid, x.template, x.label, x.base, x.diagonal, x.t_words),
+spans AS (SELECT rid, label, base, diagonal AS start, bit_count(mask | (mask << 1))::DOUBLE / t_words AS cover FROM u WHERE told),
 s AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
-      array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM spans GROUP BY rid)
+      array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM spans WHERE cover >= {COVER} GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
   last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   coalesce(score, 0.0)::DOUBLE AS score

@@ -96,6 +96,28 @@ def test_licences(spark):
     assert {x.doc_id: x.labels for x in license_scan.license_scan(docs).collect()}[2] == "mit"
 
 
+def test_licence_labels(spark):
+    """Every notice gives its own label alone; near misses and phrases spread out in junk give none of them."""
+    notices = {label for _, label, _ in license_scan.NOTICES}
+    texts, expected = [], []
+    for phrase, label, telling in license_scan.NOTICES:
+        words_ = phrase.split()
+        texts += [f"x y {phrase} z", " ".join(words_[:2] + ["really"] + words_[2:]), " ".join(w for pair in zip(words_[::2], words_[1::2]) for w in (*pair, "junk", "more", "junk"))]
+        expected += [{label}, {label}, set()]
+        missing = telling.split()[0]
+        at = len(phrase[: phrase.index(telling)].split())
+        assert words_[at] == missing
+        texts.append(" ".join([*words_[:at], "foo", *words_[at + 1 :]]))
+        expected.append(set())
+    texts += ["licensed under cc by sa 4 0", "This work is licensed under the GNU Lesser General Public License version 3", "licensed under the GNU Affero General Public License version 3", "x " * 40 + "cc by " * 300]
+    expected += [{"cc-by-sa-4.0"}, {"lgpl"}, {"agpl"}, set()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: set(x.labels.split(",")) & notices for x in license_scan.license_scan(docs).collect()}
+    assert [(t, found[i]) for i, t in enumerate(texts)] == list(zip(texts, expected, strict=True))
+    spans = {x.doc_id: x.spans for x in license_scan.license_spans(docs).collect()}
+    assert {(s.start, s.end) for s in spans[0]} == {(2, 7)} and len(spans[len(texts) - 1]) == 300
+
+
 def test_shards_hold_the_law(docs, rows):
     found = sharding.shard_documents(docs, 7).collect()
     assert len(found) == len(rows)
