@@ -1,19 +1,23 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine over sentences.
 
-A text is read as single words, not as sentences; runs of single letters ("i d i o t") are joined and punctuation inside a word is
-dropped. The kernel of two words sums, over the subsequences of ORDER letters that both hold within REACH letters, the
-product of DECAY to the letters skipped, so gaps and inserted letters only damp a match. It is divided by a positive
-function of each word's length, which keeps it a kernel. Landmark words span the Nyström features, a squared-hinge
-support vector machine is trained on them, and a text scores by its strongest word, calibrated to 0..1.
+A text is cut into sentences. The kernel of two sentences sums, over the subsequences of ORDER letters that both hold
+within REACH letters (word edges count as letters), the product of DECAY to the letters skipped, so gaps and inserted
+letters only damp a match; it is divided by a positive function of each sentence's length, which keeps it a kernel.
+Before that, letters put for others (0 for o) are restored, punctuation inside words goes, and runs of single letters
+("i d i o t") are joined. Landmark sentences span the Nyström features, on which a squared-hinge machine is trained.
 
-Since the kernel is a product of explicit subsequence counts, the trained sum over landmarks folds into one weight per
-subsequence: scoring a word is a lookup of its few subsequences in a table of fixed size (TABLE floats).
+Labels are of documents. A toxic document is a bag of sentences of which one at least is toxic, so training goes in
+rounds: the document's strongest sentence so far stands for it, all sentences of clean documents are clean, and those that
+are put most wrongly come into the next round. A text scores by its two strongest sentences, calibrated to 0..1.
+
+The kernel is a product of explicit subsequence counts, so the trained sum over landmarks folds into one weight per
+subsequence: scoring looks up the subsequences of a text in a table of fixed size (TABLE floats). The machine is fitted in
+one executor task on a bounded sample; the driver gets the table and two numbers per sampled document.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,60 +27,100 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import cut_lineage, spread_key
 
-ORDER, REACH, DECAY = 3, 5, 0.3
-CODE_BITS = 6
+ORDER, REACH, DECAY = 4, 6, 0.5
+CODE_BITS = 5
 TABLE = 1 << (ORDER * CODE_BITS)
-#: (second, third, weight): where the further letters of a subsequence stand from its first.
-STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, REACH) for a in range(1, b)]
-#: Longer words are read through windows of WINDOW letters that overlap by REACH.
-WINDOW = 40
-
-#: Bounds of the training sample: documents of each class, words taken for their frequency in toxic documents, and
-#: words taken by hash; the number of landmarks and the rounds in which they are chosen.
-TOXIC_DOCS, CLEAN_DOCS, FREQUENT_WORDS, HASHED_WORDS, LANDMARKS, ROUNDS = 2_000, 4_000, 12_000, 40_000, 400, 1
-#: Sentences of a toxic document are labelled toxic, but most of their words are harmless. A word is trained as toxic if it
-#: is in WITNESS_Z standard deviations more toxic documents than expected, and in toxic ones for this share at least; of
-#: the others, those seen in clean documents are trained as clean, and the rest, seen too rarely to tell, not at all.
-WITNESS_Z, WITNESS_SHARE = 3.0, 0.7
-RIDGE = 1e-4
-#: Words whose features are worked on at a time in training.
-SLICE = 4096
-
-LEET = str.maketrans("013457@$", "oieastas")
-NOT_LETTER = re.compile(r"[\W_]+")
-
-
-def plain_word(token: str) -> str:
-    return NOT_LETTER.sub("", token.translate(LEET))
-
-
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of letter codes per word, with edge marks 27 and 28 around it and 0 behind; and the lengths with edges."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    width = int(lengths.max(initial=2)) + REACH
-    out = np.zeros((len(words), width), np.int32)
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    letters = np.where((points >= 97) & (points <= 122), points - 96, 29 + points % 35).astype(np.int32)
-    inner = np.arange(width)[None, :]
-    out[(inner >= 1) & (inner < lengths[:, None] - 1)] = letters
-    out[:, 0] = 27
-    out[np.arange(len(words)), lengths - 1] = 28
-    return out, lengths
+#: (second, third, fourth): where the further letters of a subsequence stand from its first.
+STEPS = [(a, b, c) for c in range(3, REACH) for b in range(2, c) for a in range(1, b)]
+#: A sentence without an end is cut after so many words.
+SENTENCE_WORDS = 12
+#: Kernels are divided by the root of each length, but by no less than that of SHORT letters.
+SHORT = 8.0
+
+#: Bounds of the training sample: documents of each class and sentences of each, evenly spaced; of the documents every
+#: CALIBRATE-th calibrates the machine and the others train it. Landmarks, sentences of clean documents in a round, rounds.
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_SENTENCES, CLEAN_SENTENCES, CALIBRATE = 2_000, 4_000, 200, 24, 5
+LANDMARKS, CLEAN_TRAINED, ROUNDS, RIDGE = 300, 12_000, 3, 1e-4
+#: Characters of text worked on at a time.
+SLICE = 1 << 19
+
+SPACE, OTHER, END, DROP = 27, 28, 254, 255
+
+
+def _classes() -> np.ndarray:
+    """Codes of characters: a-z 1 to 26 (leet signs with them), white space, four classes of other letters, ends, the rest."""
+    known = [chr(i) for i in range(1 << 16)]
+    out = np.array([OTHER + i % 4 if c.isalnum() else SPACE if c.isspace() else DROP for i, c in enumerate(known)], np.uint8)
+    out[97:123] = np.arange(1, 27)
+    for sign, letter in zip("013457@$", "oieastas", strict=True):
+        out[ord(sign)] = ord(letter) - 96
+    for sign in ".!?\n":
+        out[ord(sign)] = END
+    return out
+
+
+CLASSES = _classes()
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, lengths, owners) of the sentences of texts: from starts[i], a word edge, lengths[i] codes, a word
+    edge; then zeros, so that no subsequence reaches from one sentence into another. owners[i] is the text's number."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = CLASSES[np.minimum(points, len(CLASSES) - 1)]
+    after = np.append(code[1:], END)
+    inside = (code == END) & (points != 10) & (after != SPACE) & (after != END)  # a dot within a word
+    at = np.flatnonzero((code != DROP) & ~inside)
+    code = code[at]
+    code = np.where(code == END, 0, code)
+    before = np.append(0, code[:-1])
+    kept = (code != SPACE) | ((before != SPACE) & (before != 0))
+    at, code = at[kept], code[kept]
+    letter = (code > 0) & (code != SPACE)
+    alone = letter & ~np.append(False, letter[:-1]) & ~np.append(letter[1:], False)
+    link = np.zeros(len(code), bool)
+    link[1:-1] = (code[1:-1] == SPACE) & alone[:-2] & alone[2:]
+    spelled = np.zeros_like(link)
+    spelled[2:] |= link[:-2]
+    spelled[:-2] |= link[2:]
+    at, code = at[~(link & spelled)], code[~(link & spelled)]
+    spaces = np.cumsum(code == SPACE)
+    since = spaces - np.maximum.accumulate(np.where(code == 0, spaces, 0))
+    code = np.where((code == SPACE) & (since % SENTENCE_WORDS == 0), 0, code)
+    ends = np.flatnonzero(code == 0)
+    lengths = np.diff(np.append(-1, ends)) - 1
+    wide = np.where(code == 0, REACH + 2, 1)
+    placed = np.cumsum(wide) - wide
+    codes = np.repeat(code, wide)
+    codes[placed[ends]] = codes[placed[ends] + REACH + 1] = SPACE
+    codes = np.append(SPACE, codes).astype(np.int32)
+    starts = np.append(0, placed[ends] + REACH + 2)[:-1]
+    first = at[np.append(0, ends[:-1] + 1)]
+    heads = np.cumsum([0, *[len(t) + 1 for t in lowered]])[:-1]
+    owners = np.searchsorted(heads, first, side="right") - 1
+    real = lengths > 0
+    return codes, starts[real], lengths[real], owners[real]
+
+
+def _numbers(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """For each step: the subsequence number at every place, and the letters skipped."""
+    n = len(codes)
+    padded = np.append(codes, np.zeros(REACH, np.int32))
+    head, second, third = codes << (3 * CODE_BITS), padded << (2 * CODE_BITS), padded << CODE_BITS
+    for a, b, c in STEPS:
+        yield head | second[a : a + n] | third[b : b + n] | padded[c : c + n], c - (ORDER - 1)
 
 
 def _scale(lengths: np.ndarray) -> np.ndarray:
-    """The positive function of the length that the kernel is divided by: root of the sum of squared weights."""
-    total = sum(np.maximum(lengths - b, 0) * w * w for _, b, w in STEPS)
-    return np.sqrt(np.maximum(total, 1.0))
+    return np.sqrt(np.maximum(lengths, SHORT))
 
 
-def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each step: subsequence numbers (0 where there is none) in a row per word, and the weight."""
-    codes, lengths = _codes(words)
-    width = codes.shape[1] - REACH
-    for a, b, weight in STEPS:
-        number = codes[:, :width] << (2 * CODE_BITS) | codes[:, a : a + width] << CODE_BITS | codes[:, b : b + width]
-        yield np.where(codes[:, b : b + width] > 0, number, 0), lengths, weight
+def _complete(table: np.ndarray) -> np.ndarray:
+    """The table without weights for what isn't a subsequence of ORDER letters."""
+    by_letter = table.reshape((1 << CODE_BITS,) * ORDER)
+    for axis in range(ORDER):
+        by_letter[(slice(None),) * axis + (0,)] = 0
+    return by_letter.reshape(-1)
 
 
 @dataclass
@@ -87,116 +131,115 @@ class Model:
     bias: float
     curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
-    def word_margins(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            chosen = [words[i] for i in some]
-            total: np.ndarray | float = 0.0
-            for numbers, lengths, weight in _subsequences(chosen):
-                total = total + weight * self.table[numbers].sum(axis=1, dtype=np.float64)
-            out[some] = total / _scale(lengths) + self.bias
-        return out
+    def sentence_margins(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0)
+        sums = np.zeros((REACH - ORDER + 1, len(codes)), np.float32)
+        for numbers, skipped in _numbers(codes):
+            sums[skipped] += self.table[numbers]
+        each = sums.T @ (DECAY ** np.arange(len(sums))).astype(np.float32)
+        return np.add.reduceat(each, starts, dtype=np.float64) / _scale(lengths) + self.bias
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
         return 1.0 / (1.0 + np.exp(-np.clip(a * margins[:, 0] + b * margins[:, 1] + c, -40, 40)))
 
 
-def tokens_of(text: str) -> set[str]:
-    """The distinct tokens of a text, and its runs of three and more single ASCII letters or digits, joined."""
-    tokens = text.lower().split()
-    found = set(tokens)
-    if sum(map((1).__eq__, map(len, tokens))) >= 3:
-        run: list[str] = []
-        for token in [*tokens, ""]:
-            if len(token) == 1 and token.isascii() and (token.isalnum() or token in "@$"):
-                run.append(token)
-                continue
-            if len(run) >= 3:
-                found.add("".join(run))
-            run = []
-    return found
-
-
-class Scorer:
-    """Strongest margins of texts. Margins of tokens are remembered, MEMO at most."""
-
-    MEMO = 250_000
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.memo: dict[str, float] = {}
-
-    def margins(self, texts: Iterable[str]) -> list[tuple[float, float]]:
-        """The strongest and the second strongest margin among the different words of each text."""
-        sets = [tokens_of(t) for t in texts]
-        memo = self.memo
-        if len(memo) > self.MEMO:
-            memo.clear()
-        unknown = list(set().union(*sets).difference(memo))
-        if unknown:
-            pieces: list[str] = []
-            owner: list[int] = []
-            for n, token in enumerate(unknown):
-                word = plain_word(token)
-                for at in range(0, max(1, len(word) - REACH), WINDOW - REACH):
-                    pieces.append(word[at : at + WINDOW])
-                    owner.append(n)
-            best = np.full(len(unknown), -np.inf)
-            np.maximum.at(best, owner, self.model.word_margins(pieces))
-            memo.update(zip(unknown, best.tolist(), strict=True))
-        floor = self.model.bias
-        found = []
-        for some in sets:
-            best = sorted(map(memo.__getitem__, some))[-2:]
-            found.append((best[-1] if best else floor, best[0] if len(best) > 1 else floor))
-        return found
-
-
-def _slices(column: pa.Array, rows: int = 256, chars: int = 1 << 21) -> Iterator[list[str]]:
-    some: list[str] = []
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of SLICE characters at most; a piece ends with a line, else a word, where there is one."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = max(text.rfind("\n", at, at + SLICE), at) or at
+        end = end if end > at else text.rfind(" ", at, at + SLICE)
+        end = end + 1 if end > at else at + SLICE
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _top_two(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """The largest and the second largest value of each of n owners; minus infinity where there is none."""
+    out = np.full((n, 2), -np.inf)
+    order = np.lexsort((values, owners))
+    values, owners = values[order], owners[order]
+    last = np.flatnonzero(np.append(owners[1:] != owners[:-1], True)) if len(owners) else np.zeros(0, np.int64)
+    out[owners[last], 0] = values[last]
+    second = last[(last > 0) & (owners[last - 1] == owners[last])]
+    out[owners[second], 1] = values[second - 1]
+    return out
+
+
+def text_margins(model: Model, column: pa.Array) -> np.ndarray:
+    """The strongest and the second strongest margin among the sentences of each text; the bias where there is none.
+
+    A bounded number of characters is worked on at a time, however long a text is.
+    """
+    found: list[np.ndarray] = [np.zeros(0)]
+    whose: list[np.ndarray] = [np.zeros(0, np.int64)]
+    held: list[str] = []
+    numbers: list[int] = []
+
+    def settle() -> None:
+        codes, starts, lengths, owners = coded(held)
+        best = _top_two(model.sentence_margins(codes, starts, lengths), owners, len(held))
+        found.append(best.reshape(-1))
+        whose.append(np.repeat(np.asarray(numbers, np.int64), 2))
+        held.clear()
+        numbers.clear()
+
     size = 0
-    for value in column:
-        some.append(value.as_py() or "")
-        size += len(some[-1])
-        if len(some) >= rows or size >= chars:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-class _Landmarks:
-    """Kernel columns of landmark words, and the subsequences by which they match."""
-
-    def __init__(self, chosen: list[str]) -> None:
-        m = len(chosen)
-        parts = list(_subsequences(chosen))
-        active = np.unique(np.concatenate([n.ravel() for n, _, _ in parts]))
-        self.active = active[active > 0]
-        self.rows = np.zeros(TABLE, np.int32)
-        self.rows[self.active] = np.arange(1, len(self.active) + 1)
-        self.table = np.zeros((len(self.active) + 1, m), np.float32)
-        for numbers, _, weight in parts:
-            for column in range(numbers.shape[1]):
-                np.add.at(self.table, (self.rows[numbers[:, column]], np.arange(m)), weight)
-        self.table[0] = 0
-        self.table /= _scale(parts[0][1])[None, :].astype(np.float32)
-
-    def kernel(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.table.shape[1]), np.float32)
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            for numbers, lengths, weight in _subsequences(some):
-                hits = self.rows[numbers]
-                who, _ = np.nonzero(hits)
-                if len(who):
-                    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                    out[at + who[starts]] += weight * np.add.reduceat(self.table[hits[hits > 0]], starts, axis=0)
-            out[at : at + len(some)] /= _scale(lengths)[:, None].astype(np.float32)
-        return out
+    for number, value in enumerate(column):
+        for piece in _pieces(value.as_py() or ""):
+            held.append(piece)
+            numbers.append(number)
+            size += len(piece)
+            if size >= SLICE:
+                settle()
+                size = 0
+    if held:
+        settle()
+    values, owners = np.concatenate(found), np.concatenate(whose)
+    real = np.isfinite(values)
+    out = _top_two(values[real], owners[real], len(column))
+    return np.where(np.isfinite(out), out, model.bias)
+
+
+def _kernel(model_rows: np.ndarray, columns: np.ndarray, sentences: list[np.ndarray]) -> np.ndarray:
+    """Kernels of sentences (their codes with edges) with the landmarks whose weights by subsequence are columns."""
+    out = np.zeros((len(sentences), columns.shape[1]), np.float32)
+    gap = np.zeros(REACH, np.int32)
+    for at in range(0, len(sentences), 64):
+        some = sentences[at : at + 64]
+        codes = np.concatenate([x for s in some for x in (s, gap)])
+        whose = np.repeat(np.arange(len(some)), [len(s) + REACH for s in some])
+        rows, owners, weights = [], [], []
+        for numbers, skipped in _numbers(codes):
+            hit = np.flatnonzero(model_rows[numbers])
+            rows.append(model_rows[numbers[hit]])
+            owners.append(whose[hit])
+            weights.append(np.full(len(hit), DECAY**skipped, np.float32))
+        row, owner, weight = np.concatenate(rows), np.concatenate(owners), np.concatenate(weights)
+        order = np.argsort(owner, kind="stable")
+        row, owner, weight = row[order], owner[order], weight[order]
+        if len(row):
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            out[at + owner[heads]] = np.add.reduceat(columns[row] * weight[:, None], heads, axis=0)
+    return out / _scale(np.array([len(s) - 2 for s in sentences], np.int64))[:, None].astype(np.float32)
+
+
+def _landmarks(chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences of the landmarks, their row in the table of columns (0: none), and that table."""
+    listed = [(np.concatenate([n for n, _ in parts]), np.concatenate([np.full(len(n), DECAY**k, np.float32) for n, k in parts])) for parts in (list(_numbers(s)) for s in chosen)]
+    real = _complete(np.ones(TABLE, bool))
+    active = np.unique(np.concatenate([n for n, _ in listed]))
+    active = active[real[active]]
+    rows = np.zeros(TABLE, np.int32)
+    rows[active] = np.arange(1, len(active) + 1)
+    columns = np.zeros((len(active) + 1, len(chosen)), np.float32)
+    for m, (numbers, weights) in enumerate(listed):
+        columns[:, m] = np.bincount(rows[numbers], weights, len(columns)) / _scale(np.array(len(chosen[m]) - 2))
+    columns[0] = 0
+    return active, rows, columns
 
 
 def _svm(kernel: np.ndarray, landmarks: np.ndarray, signs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -205,22 +248,14 @@ def _svm(kernel: np.ndarray, landmarks: np.ndarray, signs: np.ndarray, weights:
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     keep = values > values.max(initial=0) * 1e-6
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    m = whiten.shape[1]
-    features = np.ones((len(kernel), m + 1), np.float32)
-    for at in range(0, len(kernel), SLICE):
-        features[at : at + SLICE, :m] = kernel[at : at + SLICE] @ whiten
-    w = np.zeros(m + 1, np.float32)
-    penalty = np.eye(m + 1) * RIDGE * weights.sum()
+    features = np.append(kernel @ whiten, np.ones((len(kernel), 1), np.float32), axis=1)
+    w = np.zeros(features.shape[1])
+    penalty = np.eye(len(w)) * RIDGE * weights.sum()
     penalty[-1, -1] = 1e-6
     for _ in range(15):
-        held = np.flatnonzero(signs * (features @ w) < 1)
-        hessian, pull = penalty.copy(), np.zeros(m + 1)
-        for at in range(0, len(held), SLICE):  # a slice at a time, as the driver's memory is scarce
-            some = held[at : at + SLICE]
-            x, c = features[some], weights[some].astype(np.float32)
-            hessian += x.T @ (x * c[:, None])
-            pull += x.T @ (c * signs[some].astype(np.float32))
-        new = np.linalg.solve(hessian, pull).astype(np.float32)
+        held = signs * (features @ w) < 1
+        x, c = features[held], weights[held].astype(np.float32)
+        new = np.linalg.solve(x.T @ (x * c[:, None]) + penalty, x.T @ (c * signs[held].astype(np.float32)))
         done = np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max())
         w = new
         if done:
@@ -228,50 +263,49 @@ def _svm(kernel: np.ndarray, landmarks: np.ndarray, signs: np.ndarray, weights:
     return whiten.astype(np.float64) @ w[:-1], float(w[-1])
 
 
-def _train_words(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, float]:
-    """The folded table and the bias, from words with the number of toxic and of clean documents that hold them.
+def fit(sentences: list[np.ndarray], docs: np.ndarray, toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
+    """The folded table and the bias, from sentences (codes with edges), their document's number and its label (bool).
 
-    Landmarks come in ROUNDS rounds: first the most telling words and an even spread of the others, then each time the
-    words on either side that the machine so far puts most wrongly.
+    At first a sentence's strength is the log odds of its subsequences that stand in clearly more toxic documents.
     """
-    share = n_toxic / (n_toxic + n_clean)
-    expected = (toxic + clean) * share
-    witness = ((toxic - expected) / np.sqrt(expected + 1) >= WITNESS_Z) & (toxic >= WITNESS_SHARE * (toxic + clean))
-    signs = np.where(witness, 1.0, -1.0)
-    weights = np.where(witness, np.sqrt(toxic), np.where(clean > 0, np.log1p(clean), 0.0))
-    if witness.any():
-        weights[witness] *= np.sqrt(weights[~witness].sum() / weights[witness].sum())
-    each = LANDMARKS // ROUNDS // 2
-    telling = np.flatnonzero(witness)[np.argsort(-toxic[witness], kind="stable")][:each]
-    others = np.setdiff1d(np.arange(len(words)), telling)
-    spread = others[np.linspace(0, len(others) - 1, min(len(others), each)).astype(int)] if len(others) else others
-    landmarks = np.concatenate([telling, spread])
-    sets = [_Landmarks([words[i] for i in landmarks])]
-    kernel = sets[0].kernel(words)
-    for turn in range(ROUNDS):
-        beta, bias = _svm(kernel, landmarks, signs, weights)
-        if turn == ROUNDS - 1:
-            break
-        wrong = (1 - signs * (kernel.astype(np.float64) @ beta + bias)) * weights
-        wrong[landmarks] = -np.inf
-        worst = [side[np.argsort(-wrong[side], kind="stable")][:each] for side in (np.flatnonzero(witness), np.flatnonzero(~witness))]
-        added = np.concatenate(worst)
-        added = added[np.isfinite(wrong[added])]
-        if not len(added):
-            break
-        landmarks = np.concatenate([landmarks, added])
-        sets.append(_Landmarks([words[i] for i in added]))
-        kernel = np.c_[kernel, sets[-1].kernel(words)]
-    folded = np.zeros(TABLE)
-    at = 0
-    for some in sets:
-        m = some.table.shape[1]
-        folded[some.active] += some.table[1:].astype(np.float64) @ beta[at : at + m]
-        at += m
-    return folded.astype(np.float32), bias
-
-
-def _calibrate(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    rng = np.random.default_rng(seed)
+    lengths = np.array([len(s) - 2 for s in sentences], np.int64)
+    gap = np.zeros(REACH, np.int32)
+    codes = np.concatenate([x for s in sentences for x in (s, gap)])
+    starts = np.cumsum([0, *[len(s) + REACH for s in sentences]])[:-1]
+    plain = next(n for n, skipped in _numbers(codes) if skipped == 0).astype(np.int64)
+    held = np.unique(np.repeat(docs.astype(np.int64), lengths + 2 + REACH) << (ORDER * CODE_BITS) | plain)
+    of_toxic = np.isin(held >> (ORDER * CODE_BITS), np.unique(docs[toxic]))
+    a, b = (np.bincount(held[side] & (TABLE - 1), minlength=TABLE) for side in (of_toxic, ~of_toxic))
+    n1, n0 = len(np.unique(docs[toxic])), len(np.unique(docs[~toxic]))
+    telling = (a / n1 - b / n0) / np.sqrt((a + b + 1) / (n1 + n0) / min(n1, n0)) > 3
+    table = _complete(np.where(telling, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), 0).astype(np.float32))
+    bias, clean = 0.0, np.flatnonzero(~toxic)
+    for _ in range(ROUNDS):
+        model = Model(table, bias)
+        margins = np.concatenate([
+            model.sentence_margins(codes[starts[i] : starts[j - 1] + lengths[j - 1] + 2 + REACH], starts[i:j] - starts[i], lengths[i:j])
+            for i in range(0, len(starts), 4096) for j in (min(i + 4096, len(starts)),)
+        ])
+        order = np.lexsort((-margins, docs))
+        best = order[np.append(True, docs[order][1:] != docs[order][:-1])]
+        witness = best[toxic[best]]
+        hard = clean[np.argsort(-margins[clean], kind="stable")[: CLEAN_TRAINED // 2]]
+        spread = rng.choice(clean, min(len(clean), CLEAN_TRAINED // 2), replace=False)
+        strong = witness[np.argsort(-margins[witness], kind="stable")[: -(-len(witness) * 3 // 4)]]
+        some = lambda rows, n: rng.choice(rows, min(len(rows), n), replace=False)
+        taken = np.unique(np.concatenate([witness, hard, spread]))
+        marks = np.unique(np.concatenate([some(strong, LANDMARKS * 2 // 3), some(hard[: 3 * LANDMARKS], LANDMARKS // 6), some(spread, LANDMARKS // 6)]))
+        active, rows, columns = _landmarks([sentences[i] for i in marks])
+        signs = np.where(toxic[taken], 1.0, -1.0)
+        weights = np.where(signs > 0, 0.5 * (signs < 0).sum() / (signs > 0).sum(), 1.0)
+        beta, bias = _svm(_kernel(rows, columns, [sentences[i] for i in taken]), np.searchsorted(taken, marks), signs, weights)
+        table = np.zeros(TABLE, np.float32)
+        table[active] = columns[1:] @ beta.astype(np.float32)
+    return table, bias
+
+
+def _calibrate(margins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
     """The logistic curve through (margins, class), with smoothed targets and a small ridge."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     target = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -279,8 +313,8 @@ def _calibrate(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float, fl
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (target - p) - 1e-3 * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(3), gradient)
+        gradient = x.T @ (weights * (target - p)) - 1e-3 * w
+        step = np.linalg.solve((x * (weights * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-3 * np.eye(3), gradient)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-7:
             break
@@ -291,49 +325,70 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of at most TOXIC_DOCS and CLEAN_DOCS labelled documents that aren't held out, by hash of the id."""
-    known = (
+def _known(labels: DataFrame) -> DataFrame:
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("l_doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .withColumn("key", spread_key(F.col("l_doc_id"), "toxicity:"))
     )
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, key, text) of at most TOXIC_DOCS and CLEAN_DOCS labelled documents that aren't held out, by hash of the id."""
+    known = _known(labels).withColumn("key", spread_key(F.col("l_doc_id"), "toxicity:"))
     chosen = known.where("toxic = 1").orderBy("key").limit(TOXIC_DOCS).unionByName(known.where("toxic = 0").orderBy("key").limit(CLEAN_DOCS))
     rows = docs.select(F.col("doc_id").cast("long").alias("l_doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen.drop("key")), "l_doc_id").select("toxic", "text")
+    return rows.join(F.broadcast(chosen), "l_doc_id").select("toxic", "key", "text")
+
+
+def _sampled_sentences(sample: DataFrame) -> DataFrame:
+    """(toxic, key, number, codes) of evenly spaced sentences of each document; numbers make the order of rows reproducible."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for label, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                made = [codes[a : a + n + 2] for piece in _pieces(text.as_py()) for codes, starts, lengths, _ in (coded([piece]),) for a, n in zip(starts, lengths, strict=True)]
+                most = TOXIC_SENTENCES if label else CLEAN_SENTENCES
+                picked = sorted(set(np.linspace(0, len(made) - 1, min(len(made), most)).astype(int).tolist())) if made else []
+                yield pa.record_batch(
+                    [pa.array([label] * len(picked), pa.int32()), pa.array([key] * len(picked), pa.string()), pa.array(picked, pa.int64()), pa.array([made[i].astype(np.uint8).tobytes() for i in picked], pa.binary())],
+                    ["toxic", "key", "number", "codes"],
+                )
+
+    return sample.select("toxic", "key", "text").mapInArrow(batches, "toxic int, key string, number long, codes binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from documents and their labels(doc_id, toxic). Rows with held_out(doc_id) never take part.
 
-    The driver gets word counts (FREQUENT_WORDS + HASHED_WORDS rows at most) and one margin per sampled document.
-    Without documents of both classes the model gives every text the share of toxic ones (0 without any label).
+    Without sentences of documents of both classes every text gets the share of toxic ones (0 without any label).
     """
-    sample = cut_lineage(_sample(docs, labels))
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        share = 1.0 - 1e-9 if sizes.get(1) else 1e-9
+    sample = cut_lineage(_sample(docs, labels).withColumn("fold", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % CALIBRATE))
+    sentences = _sampled_sentences(sample.where("fold <> 0"))
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(parts)).sort_by([("key", "ascending"), ("number", "ascending"), ("codes", "ascending")])
+        toxic = rows.column("toxic").to_numpy() == 1
+        if not toxic.any() or toxic.all():
+            return
+        numbered = np.unique(rows.column("key").to_numpy(zero_copy_only=False).astype("U32"), return_inverse=True)[1]
+        table, bias = fit([np.frombuffer(x, np.uint8).astype(np.int32) for x in rows.column("codes").to_pylist()], numbered, toxic)
+        yield pa.record_batch([pa.array([table.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+
+    learned = sentences.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    sizes = {r["toxic"]: r["n"] for r in _known(labels).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not learned:
+        share = min(max(sizes.get(1, 0) / max(sum(sizes.values()), 1), 1e-9), 1 - 1e-9)
         return Model(np.zeros(TABLE, np.float32), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
-    word = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[\x00-\x20]+", " ")), " "))).alias("word")
-    counted = sample.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).where("word <> '' and length(word) <= 40")
-    frequent = counted.where("toxic >= 2").orderBy(F.col("toxic").desc(), "word").limit(FREQUENT_WORDS)
-    hashed = counted.orderBy(F.xxhash64("word"), "word").limit(HASHED_WORDS)
-    counts = {r["word"]: (r["toxic"], r["clean"]) for part in (frequent, hashed) for r in part.collect()}
-    found: dict[str, list[float]] = {}
-    for raw, (a, b) in counts.items():
-        total = found.setdefault(plain_word(raw), [0.0, 0.0])
-        total[0] += a
-        total[1] += b
-    found.pop("", None)
-    words = sorted(found)
-    toxic, clean = (np.array([found[w][k] for w in words]) for k in (0, 1))
-    table, bias = _train_words(words, toxic, clean, sizes[1], sizes[0])
-    model = Model(table, bias)
-    rows = sample.select(F.col("toxic").cast("long").alias("toxic"), "text")
-    measured = _margins(rows, model, "toxic").collect()
-    margins, classes = np.array([(r["first"], r["second"]) for r in measured]), np.array([float(r["toxic"]) for r in measured])
-    model.curve = _calibrate(margins, classes)
+    model = Model(np.frombuffer(learned[0]["weights"], np.float32).copy(), learned[0]["bias"])
+    rows = sample.select((F.col("toxic") + 2 * (F.col("fold") == 0).cast("int")).cast("long").alias("mark"), "text")
+    measured = np.array([(r["mark"], r["first"], r["second"]) for r in _margins(rows, model, "mark").collect()])
+    apart = measured[measured[:, 0] >= 2]
+    if min((apart[:, 0] == 3).sum(), (apart[:, 0] == 2).sum()) >= 20:  # documents that didn't train, if they are enough
+        measured = apart
+    classes = measured[:, 0] % 2
+    share = np.where(classes == 1, sizes[1] / max(classes.sum(), 1), sizes[0] / max((1 - classes).sum(), 1))
+    model.curve = _calibrate(measured[:, 1:], classes, share / share.mean())
     return model
 
 
@@ -343,11 +398,9 @@ def _margins(rows: DataFrame, model: Model, key: str) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value
-        scorer = Scorer(Model(table, bias))
         for part in parts:
-            found = [m for some in _slices(part.column(1)) for m in scorer.margins(some)]
-            columns = [pa.array([m[k] for m in found], pa.float64()) for k in (0, 1)]
-            yield pa.record_batch([part.column(0), *columns], [key, "first", "second"])
+            found = text_margins(Model(table, bias), part.column(1))
+            yield pa.record_batch([part.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], [key, "first", "second"])
 
     return rows.select(key, "text").mapInArrow(batches, f"{key} long, first double, second double")
 
@@ -355,7 +408,7 @@ def _margins(rows: DataFrame, model: Model, key: str) -> DataFrame:
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0..1), predicted (1 if score >= 0.5) for every row of docs, one narrow pass.
 
-    Null and empty texts score as a text without any striking word. A null doc_id has held_out false. Labels that are
+    Null and empty texts score as a text without any striking sentence. A null doc_id has held_out false. Labels that are
     null, not 0 or 1, or for unknown documents are ignored; of several labels for a document the larger holds.
     Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
     """
@@ -369,15 +422,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with their columns; the text decides, row by row."""
+    """The rows of docs that aren't predicted toxic, with their columns; the text decides, row by row.
+
+    Null and empty texts are judged like any other, as texts without a striking sentence; extra columns come through.
+    """
     model = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
         for part in parts:
-            text = part.column(part.schema.get_field_index("text"))
-            margins = np.array([m for some in _slices(text) for m in scorer.margins(some)]).reshape(-1, 2)
-            yield part.filter(pa.array(sent.value.scores(margins) < 0.5))
+            found = text_margins(sent.value, part.column(part.schema.get_field_index("text")))
+            yield part.filter(pa.array(sent.value.scores(found) < 0.5))
 
     return docs.mapInArrow(batches, docs.schema)

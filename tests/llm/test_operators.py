@@ -289,6 +289,5 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     held = [i for i in range(600) if found[i].held_out]
     assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
     assert np.mean([found[i].predicted == int(i % 5 == 1) for i in held]) >= 0.97
-    assert [found[i].predicted for i in (9000, 9001, 9003, 9004, 9005)] == [1, 1, 0, 0, 0]
-    assert found[9002].score > 10 * found[9003].score
+    assert [found[i].predicted for i in (9000, 9001, 9002, 9003, 9004, 9005)] == [1, 1, 1, 0, 0, 0]
     assert all(0 <= x.score <= 1 and not math.isnan(x.score) for x in found.values())
