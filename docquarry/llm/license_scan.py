@@ -7,7 +7,7 @@ chain of them, so a notice may hold DRIFT words that were put in or left out and
 verified before it counts: the words under its mask must be COVER of the template's, and the phrase that tells the
 template from its relatives must stand in it unbroken.
 
-Texts are read once; pairs that start with a word of no template leave before anything is shuffled. The templates are
+Texts are read once; pairs whose words are in no template leave before anything is shuffled. The templates are
 literals of this module, so the broadcast side has a fixed size.
 """
 
@@ -74,13 +74,13 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, pairs): the text's pairs of words, with their places, that begin with a template's word."""
+    """(doc_id, n_words, pairs): the text's pairs of words, with their places, whose words begin and end pairs of templates."""
     lowered = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    openers = sorted({row[6] for row in template_rows()})
+    openers, followers = (sorted({row[k] for row in template_rows()}) for k in (6, 7))
 
     def read(words: Column) -> Column:
         pair = lambda w, i: F.struct(i.cast("int").alias("at"), w.alias("first"), F.get(words, i + 1).alias("second"))
-        kept = F.filter(F.transform(words, lambda w, i: F.when(w.isin(openers), pair(w, i))), lambda p: p.isNotNull() & p["second"].isNotNull())
+        kept = F.filter(F.transform(words, lambda w, i: F.when(w.isin(openers), pair(w, i))), lambda p: p.isNotNull() & p["second"].isin(followers))
         return F.struct(F.size(words).cast("long").alias("n_words"), kept.alias("pairs"))
 
     # bound by a lambda, so that the words are taken out of the text once

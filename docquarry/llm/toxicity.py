@@ -32,8 +32,8 @@ CODE_BITS = 5
 TABLE = 1 << (ORDER * CODE_BITS)
 #: (second, third, fourth): where the further letters of a subsequence stand from its first.
 STEPS = [(a, b, c) for c in range(3, REACH) for b in range(2, c) for a in range(1, b)]
-#: A sentence without an end is cut after so many words.
-SENTENCE_WORDS = 12
+#: Sentences are read as clauses of so many words at most; an insult of several words may fall on both sides of a cut.
+SENTENCE_WORDS = 5
 #: Kernels are divided by the root of each length, but by no less than that of SHORT letters.
 SHORT = 8.0
 
