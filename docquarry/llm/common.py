@@ -18,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests) a folder of our own, set for the session."""
+    """The session's spark.checkpoint.dir. Only where that is unset and all runs in one machine (tests), a folder of our own.
+
+    RuntimeError on a cluster without the setting: a folder of the driver's machine would be lost to the executors.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="docquarry-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -66,11 +71,11 @@ def running(
     Adds, for each name in amounts, the sum of that amount over the rows that precede in the order `first_order`, then
     `order`, separately within the columns `within`. `first_order` is a double in [0, 1) that spreads rows evenly (a
     shuffle key or a rank fraction). Rows are cut into ranges of it, so that a range holds about rows_per_bucket rows
-    at most however hot a group is; totals of ranges are prefix-summed in a small table, and a window then runs inside
+    at most however hot a group is (largest: the rows of the largest group, counted here if it isn't given); totals of ranges are prefix-summed in a small table, and a window then runs inside
     one range at a time. All rows stay.
     """
-    sizes = df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"))
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
     cells = max(1, -(-largest // rows_per_bucket))
     bucketed = df.withColumn("__b", F.least(F.floor(first_order * cells), F.lit(cells - 1)).cast("long"))
     for name, amount in amounts.items():
@@ -97,6 +102,23 @@ def running(
     return out.select(*df.columns, *amounts)
 
 
+#: Keys that hold more than a HEAVY-th of all rows are joined apart; there are fewer than HEAVY of them.
+HEAVY = 1_000
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with facts on key, where facts has one row per key and, as n, how many of rows have that key.
+
+    Keys that hold more than a HEAVY-th of all rows are broadcast (fewer than HEAVY rows of facts, by counting), so the rows
+    of a hot key stay where they are and no task gets them all; the others meet in an ordinary join. rows is read twice.
+    """
+    facts = cut_lineage(facts)
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(facts.where(F.col(n) * HEAVY > total).drop(n))
+    light = facts.where(F.col(n) * HEAVY <= total).drop(n)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def key_fraction(hex_key: Column) -> Column:
     """The first 52 bits of a hex key as a double in [0, 1)."""
     return F.conv(F.substring(hex_key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

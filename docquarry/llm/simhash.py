@@ -1,13 +1,14 @@
 """SimHash near-dedup with pivot distance tables.
 
 Fingerprints of 64 bits link where at most MOST bits differ. For every distinct fingerprint the Hamming distances to a
-fixed set of reference fingerprints (pivots) are tabled; by the triangle inequality a pair whose tables differ by more
-than MOST anywhere cannot link and is discarded, and the survivors are verified bit by bit.
-
-Distances to pivots of random 64-bit words lie close to 32, so tables alone would leave every pair to be looked at.
-Which pairs meet is therefore settled by the same inequality in the strictest case: with the bits cut into BLOCKS
-blocks, a linked pair has distance zero in at least BLOCKS - MOST of them, so it meets in a join on two equal blocks.
-Each link is kept in the first such meeting only.
+fixed set of reference fingerprints (pivots) are tabled. By the triangle inequality a linked pair's tables differ by MOST
+at most everywhere, so pairs meet only in one cell of the tables: a fingerprint is entered under the cells of its
+distances to KEYED pivots, cells being 2 * MOST + 1 wide, and asks for its own cell and the neighbour within MOST. The
+other coordinates then discard pairs, and the survivors are verified bit by bit.
+
+Distances to pivots of random 64-bit words lie close to 32, so cells alone would be few and full. With the bits cut
+into BLOCKS blocks a linked pair is equal in at least BLOCKS - MOST of them; so a meeting is also keyed by two equal
+blocks (a block is a coordinate of distance zero), and each link is kept in the first such meeting only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import cut_lineage
+from docquarry.llm.common import attach, cut_lineage
 from docquarry.llm.components import connected_components
 
 # Fixed values of the contract: words in a shingle, the hash's seed, and the bits by which linked fingerprints may differ.
@@ -29,6 +30,9 @@ SHINGLE, SEED, MOST = 4, 42, 4
 BITS = 64
 BLOCKS = MOST + 2
 PIVOTS = 18
+#: Pivots whose distances are keys of the meeting; the others filter the pairs that meet.
+KEYED = 2
+CELL = 2 * MOST + 1
 
 
 def _fingerprint(text: str) -> int:
@@ -96,21 +100,33 @@ def _within(a: Column, b: Column) -> Column:
     return F.greatest(*gaps) <= MOST
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of different fingerprints in distinct(fp) with at most MOST differing bits, once."""
+def _met(distinct: DataFrame, keyed: int) -> DataFrame:
+    """Pairs a < b of rows that meet: two equal blocks, and neighbouring cells of the distances to `keyed` pivots."""
     masks = block_masks()
-    tables = _tables(F.col("fp"))
-    meetings = [
-        F.struct(F.lit(n).alias("pair"), F.lit(j).alias("last"), F.col("fp").bitwiseAND(F.lit(_signed((masks[i] | masks[j]) & (1 << BITS) - 1))).alias("shared"))
-        for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
-    ]
-    keyed = distinct.select("fp", *[t.alias(f"t{k}") for k, t in enumerate(tables)], F.inline(F.array(*meetings)))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    tables = [t.alias(f"t{k}") for k, t in enumerate(_tables(F.col("fp")))]
+    away = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) for p in pivots()[:keyed]]
+    cell = lambda d: F.floor((d + MOST) / CELL).cast("int")
+    own = F.array(F.array(*[cell(d) for d in away]).cast("array<int>"))
+    asked = reduce(lambda found, d: F.flatten(F.transform(found, lambda c: F.array(*[F.array_append(c, cell(d + by)) for by in (-MOST, MOST)]))), away, F.array(F.array().cast("array<int>")))
+
+    def side(cells: Column, name: str) -> DataFrame:
+        blocks = F.array(*[
+            F.struct(F.lit(n).alias("pair"), F.lit(j).alias("last"), F.col("fp").bitwiseAND(F.lit(_signed((masks[i] | masks[j]) & (1 << BITS) - 1))).alias("shared"))
+            for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
+        ])
+        spread = distinct.select("fp", *tables, F.explode(F.array_distinct(cells)).alias("cells")).select("*", F.inline(blocks))
+        return spread.select("fp", *[f"t{k}" for k in range(len(tables))], "last", F.xxhash64("pair", "shared", "cells").alias("meeting")).alias(name)
+
+    a, b = side(own, "a"), side(asked, "b")
+    return a.join(b, (F.col("a.meeting") == F.col("b.meeting")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.fp") < F.col("b.fp")))
+
+
+def fingerprint_links(distinct: DataFrame, keyed: int = KEYED) -> DataFrame:
+    """(a, b), a < b: every pair of different fingerprints in distinct(fp) with at most MOST differing bits, once."""
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    earlier = reduce(lambda x, y: x + y, [F.when((differ.bitwiseAND(F.lit(m)) == 0) & (F.lit(k) < F.col("a.last")), 1).otherwise(0) for k, m in enumerate(masks)])
-    near = reduce(lambda x, y: x & y, [_within(F.col(f"a.t{k}"), F.col(f"b.t{k}")) for k in range(len(tables))])
-    meets = (F.col("a.pair") == F.col("b.pair")) & (F.col("a.shared") == F.col("b.shared")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, meets & near & (F.bit_count(differ) <= MOST) & (earlier == 1)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    earlier = reduce(lambda x, y: x + y, [F.when((differ.bitwiseAND(F.lit(m)) == 0) & (F.lit(k) < F.col("a.last")), 1).otherwise(0) for k, m in enumerate(block_masks())])
+    near = reduce(lambda x, y: x & y, [_within(F.col(f"a.t{k}"), F.col(f"b.t{k}")) for k in range(-(-PIVOTS // PER_LONG))])
+    return _met(distinct, keyed).where(near).where((F.bit_count(differ) <= MOST) & (earlier == 1)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,12 +138,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows stay; an empty table gives an empty result.
     """
     marked = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = connected_components(fingerprint_links(classes.select("fp")))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "component_id", "n")
+    return attach(marked, by_fp, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

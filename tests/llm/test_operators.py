@@ -167,6 +167,25 @@ def test_simhash_components(docs, rows):
     assert one and {d for d, _ in at[0]} >= {63, 64}
 
 
+def test_pivots_decide_who_meets(spark):
+    """Cells of pivot distances discard pairs before they meet, and lose no link, against all pairs."""
+    r = random.Random(6)
+    prints = {r.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for n in (1, 2, 3, 4, 5, 9):
+            prints.add(p ^ sum(1 << b for b in r.sample(range(64), n)))
+    dense = r.getrandbits(64)
+    prints |= {dense ^ sum(1 << b for b in r.sample(range(12), r.randrange(12))) for _ in range(60)}
+    prints |= {dense & (1 << 22) - 1 | r.getrandbits(42) << 22 for _ in range(400)}  # share two blocks, no more
+    listed = sorted(simhash._signed(p) for p in prints)
+    distinct = spark.createDataFrame([(p,) for p in listed], "fp long").cache()
+    expected = {(a, b) for i, a in enumerate(listed) for b in listed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    found = [(x.a, x.b) for x in simhash.fingerprint_links(distinct).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    with_pivots, without = simhash._met(distinct, simhash.KEYED).count(), simhash._met(distinct, 0).count()
+    assert with_pivots < 0.9 * without
+
+
 def test_simhash_by_the_letter():
     import xxhash
 
