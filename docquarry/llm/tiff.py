@@ -25,6 +25,8 @@ TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST_FREE = 256, 257, 258
 CODES_BEFORE_CLEAR = 3836
+#: Pages of more bytes than this are reported as faults; a stored byte can't stand for more than GROWTH bytes in any scheme.
+MOST_PAGE_BYTES, GROWTH = 1 << 30, 4096
 
 
 def _code_widths() -> np.ndarray:
@@ -183,7 +185,7 @@ def decode_block(data: bytes, compression: int, size: int) -> bytes:
     elif compression == LZW:
         raw = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(data)
+        raw = zlib.decompressobj().decompress(data, size)
     else:
         raise ValueError(f"compression {compression} isn't supported")
     if len(raw) < size:
@@ -238,7 +240,7 @@ def pages(data: bytes) -> Iterator[Page]:
             tags, following = _directory(data, at, order)
             yield _page(data, tags, len(seen) - 1, order)
             at = following
-    except (struct.error, KeyError, IndexError, zlib.error) as fault:
+    except (struct.error, KeyError, IndexError, OverflowError, zlib.error) as fault:
         raise ValueError(f"damaged TIFF file: {fault!r}") from fault
 
 
@@ -250,14 +252,20 @@ def _page(data: bytes, tags: dict[int, list[int]], number: int, order: str) -> P
         raise ValueError(f"{samples} samples of {bits} bits in this layout aren't supported")
     dtype = np.dtype(f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in tags
+    if min(width, height, samples) < 1 or width * height * samples * dtype.itemsize > min(MOST_PAGE_BYTES, GROWTH * len(data)):
+        raise ValueError(f"a page of {width} x {height} x {samples} can't be in a file of {len(data)} bytes, or is too large")
     pixels = np.empty((height, width, samples), dtype.newbyteorder("="))
     if tiled:
         tall, wide = tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]
+        if min(tall, wide) < 1 or tall * wide * samples * dtype.itemsize > min(MOST_PAGE_BYTES, GROWTH * len(data)):
+            raise ValueError(f"tiles of {wide} x {tall} can't be in this file")
         across = -(-width // wide)
         offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        if len(offsets) != across * -(-height // tall):
+            raise ValueError(f"{len(offsets)} tiles don't make a page of {width} x {height}")
         places = [(r * tall, c * wide, tall, wide) for r in range(-(-height // tall)) for c in range(across)]
     else:
-        tall = min(tags.get(ROWS_PER_STRIP, [height])[0], height)
+        tall = min(max(tags.get(ROWS_PER_STRIP, [height])[0], 1), height)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
         places = [(r, 0, min(tall, height - r), width) for r in range(0, height, tall)]
     for (top, left, rows, columns), offset, n in zip(places, offsets, counts, strict=True):
