@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import key_fraction, running, spread_key
+from docquarry.llm.common import cut_lineage, key_fraction, running, spread_key
 
 
 def interleave(
@@ -58,7 +58,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
     )
-    return interleave(rows, n_shards, ties=("text_crc32", "size")).select(
+    return interleave(cut_lineage(rows), n_shards, ties=("text_crc32", "size")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
