@@ -192,16 +192,17 @@ def _decided(docs: DataFrame, most: int, min_chars: int) -> DataFrame:
     known = typed.where(taking_part)
     bare = known.select("doc_id", "text")
     firsts = _firsts(bare, min_chars)
-    near = near_line_pairs(bare, most, min_chars).groupBy(F.col("b_doc_id").alias("n_doc_id")).agg(F.collect_set(F.struct(F.col("b_pos").alias("pos"), F.col("b_h").alias("h"))).alias("near"), F.count(F.lit(1)).alias("links"))
-    decided = known.join(firsts, F.col("doc_id") == F.col("k_doc_id"), "left").join(near, F.col("doc_id") == F.col("n_doc_id"), "left")
+    near = near_line_pairs(bare, most, min_chars).groupBy(F.col("b_doc_id").alias("__n_doc_id")).agg(F.collect_set(F.struct(F.col("b_pos").alias("pos"), F.col("b_h").alias("h"))).alias("__near_found"), F.count(F.lit(1)).alias("__links"))
+    named = firsts.select(F.col("k_doc_id").alias("__k_doc_id"), F.col("keepers").alias("__keepers"))
+    decided = known.join(named, F.col("doc_id") == F.col("__k_doc_id"), "left").join(near, F.col("doc_id") == F.col("__n_doc_id"), "left")
     joined = decided.unionByName(typed.where(~taking_part), allowMissingColumns=True)
     empty = F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")
     marked = joined.withColumn("__lines", _lines(F.col("text"))).withColumn(
         "__placed", F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), F.when(F.length(_plain(x)) >= min_chars, F.xxhash64(_plain(x))).alias("h")))
     )
     eligible = F.filter("__placed", lambda x: x["h"].isNotNull())
-    same = F.array_except(eligible, F.coalesce("keepers", empty))
-    counted = marked.withColumn("__same", F.when(F.col("doc_id").isNotNull(), same).otherwise(empty)).withColumn("__near", F.coalesce(F.array_intersect("near", "__placed"), empty))
+    same = F.array_except(eligible, F.coalesce("__keepers", empty))
+    counted = marked.withColumn("__same", F.when(F.col("doc_id").isNotNull(), same).otherwise(empty)).withColumn("__near", F.coalesce(F.array_intersect("__near_found", "__placed"), empty))
     return counted.withColumn("__kept", F.transform(F.array_except("__placed", F.concat("__same", "__near")), lambda x: x["pos"]))
 
 
@@ -233,7 +234,7 @@ def line_dedup_report(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CH
     return decided.select(
         "doc_id", F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__kept"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.size("__same"), F.lit(0)).cast("long").alias("n_same"),
-        F.size("__near").cast("long").alias("n_near"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.size("__near").cast("long").alias("n_near"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"),
         F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"),
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import WORD_PATTERN, key_fraction, running, spread_key, word_count
+from docquarry.llm.common import SPACE_CLASS, WORD_PATTERN, cut_lineage, key_fraction, running, spread_key, word_count
 
 # Fixed values of the contract: weights by turns, the total's share of all words, and how often a word may be taken.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -101,47 +101,52 @@ def mix_pieces(rows: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = (),
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs.
+    """doc_id, size, source_size, target, taken, first_slot for each row of docs.
+
+    taken is the words of the blocks' pieces that slots of the schedule take; first_slot is the first such slot.
 
     size counts the words of the text (null: 0); a null source is a source of its own, last in order. Rows without
     words take none. Repeated rows are rows of their own. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    rows = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
     taken = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0))
     return (
         mix_pieces(rows, ties=("size",))
         .groupBy("source", "ordinal", "doc_id", "size", "source_size", "target")
-        .agg(taken.cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(taken.cast("long").alias("taken"), F.min("slot").cast("long").alias("first_slot"))
+        .select("doc_id", "size", "source_size", "target", "taken", "first_slot")
     )
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents with the columns of docs, a row for each document and pass that the mix takes words of.
+    """The mixed documents with the columns of docs, a row for each document and pass that the mix takes words of, sorted by
+    the slot that takes the first of them: any stretch of the result is close to the target mixture.
 
-    Whole documents keep their text; the one document of a source at which its quota ends keeps its first words.
-    n_chars follows the text. Rows with equal doc_id, source and text are taken together.
+    Whole documents keep their text; the one document of a source at which its quota ends keeps its first words, with the
+    white space before and between them. n_chars follows where there is such a column. Rows with equal doc_id, source and
+    text are taken together. A null source is a source of its own, a null text has no words and isn't taken.
     """
     text = F.col("text").cast("string")
-    plan_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_key"))
+    own = F.md5(F.to_json(F.struct(F.col("doc_id").cast("long").alias("a"), F.col("source").cast("string").alias("b"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("c"))).cast("binary"))
+    keyed = docs.withColumn("__mix_key", own)
+    plan_rows = cut_lineage(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), "__mix_key"))
     takes = (
-        mix_pieces(plan_rows, ties=("text_key",))
+        mix_pieces(plan_rows, ties=("__mix_key",))
         .where(F.col("to_word") > F.col("from_word"))
-        .groupBy("source", "ordinal", "doc_id", "text_key", "size", "pass")
-        .agg(F.max("to_word").alias("words"))
-        .select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_doc_id"), "text_key", "size", "words")
+        .groupBy("ordinal", "pass", "__mix_key", "size")
+        .agg(F.max("to_word").alias("__mix_words"), F.min("slot").alias("__mix_slot"))
+        .select(F.col("__mix_key").alias("__mix_taken"), F.col("size").alias("__mix_size"), "__mix_words", "__mix_slot")
     )
-    whole = docs.withColumn("text_key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    single = whole.dropDuplicates(["doc_id", "source", "text_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source"))
-    mixed = single.join(takes.withColumnRenamed("text_key", "t_key"), same & (F.col("text_key") == F.col("t_key")))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0), 1, F.col("words").cast("int")), " ")
-    mixed = mixed.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    mixed = keyed.dropDuplicates(["__mix_key"]).join(takes, F.col("__mix_key") == F.col("__mix_taken"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{SPACE_CLASS}*{WORD_PATTERN}"), 0), 1, F.col("__mix_words").cast("int")), "")
+    mixed = mixed.withColumn("text", F.when(F.col("__mix_words") < F.col("__mix_size"), part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.orderBy("__mix_slot", "__mix_key").select(*docs.columns)
 
 
 def mix_sql() -> str:
-    """The result of mix_documents stated for DuckDB; the taken words in closed form."""
+    """The result of mix_documents stated for DuckDB: the taken words in closed form, the slots by walking the schedule."""
     weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size FROM documents),
@@ -150,11 +155,19 @@ s1 AS (SELECT *, ({weights})[(turn % {len(WEIGHTS)}) + 1] AS weight FROM s0),
 s2 AS (SELECT *, ((SELECT sum(source_size) FROM s1)::DOUBLE * {SHARE}::DOUBLE - {PASSES} * coalesce(sum(source_size) OVER b, 0)::DOUBLE)
           / ((SELECT sum(weight) FROM s1) - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level FROM s1
        WINDOW b AS (ORDER BY source_size::DOUBLE / weight::DOUBLE, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT source, source_size, least(source_size * {float(PASSES)}::DOUBLE, (SELECT max(level) FROM s2) * weight) AS target FROM s2),
-l AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+s3 AS (SELECT source, turn, source_size, least(source_size * {float(PASSES)}::DOUBLE, (SELECT max(level) FROM s2) * weight) AS target FROM s2),
+n AS (SELECT turn, round(target)::BIGINT AS quota, ceil(round(target) / {BLOCK_WORDS})::BIGINT AS blocks FROM s3 WHERE round(target) > 0),
+c AS (SELECT turn, blocks, (sum(blocks) OVER w)::DOUBLE / (SELECT sum(blocks) FROM n)::DOUBLE AS high,
+        (sum(blocks) OVER w - blocks)::DOUBLE / (SELECT sum(blocks) FROM n)::DOUBLE AS low, (SELECT sum(blocks) FROM n)::BIGINT AS total FROM n WINDOW w AS (ORDER BY turn)),
+p AS (SELECT i AS slot, (i::DOUBLE * {GOLDEN}::DOUBLE) % 1.0::DOUBLE AS x FROM (SELECT unnest(range((SELECT max(total) FROM c))) AS i)),
+r AS (SELECT slot, turn, row_number() OVER (PARTITION BY turn ORDER BY slot) - 1 AS block, blocks FROM p JOIN c ON x >= low AND x < high),
+k AS (SELECT turn, block, slot FROM r WHERE block < blocks UNION ALL
+      SELECT turn, block, total + block * 1000003 + turn FROM (SELECT turn, total, unnest(range(blocks)) AS block FROM c) WHERE (turn, block) NOT IN (SELECT (turn, block) FROM r)),
+l AS (SELECT doc_id, size, source_size, target, turn, round(target)::BIGINT AS quota,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat('mix:', coalesce(doc_id::VARCHAR, 'null'))), size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size))::BIGINT AS taken
-FROM l"""
+  (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size))::BIGINT AS taken,
+  CASE WHEN size > 0 AND start < quota THEN k.slot END::BIGINT AS first_slot
+FROM l LEFT JOIN k ON k.turn = l.turn AND k.block = l.start // {BLOCK_WORDS}"""

@@ -367,7 +367,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sentences = _sampled_sentences(sample.where("fold <> 0"))
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(parts)).sort_by([("key", "ascending"), ("number", "ascending"), ("codes", "ascending")])
+        held = list(parts)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("key", "ascending"), ("number", "ascending"), ("codes", "ascending")])
         toxic = rows.column("toxic").to_numpy() == 1
         if not toxic.any() or toxic.all():
             return
@@ -425,8 +428,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their columns; the text decides, row by row.
 
     Null and empty texts are judged like any other, as texts without a striking sentence; extra columns come through.
+    Where the labels don't hold both classes there is nothing to judge by, and all rows stay.
     """
     model = train(docs, labels)
+    if not model.table.any():
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
