@@ -59,7 +59,10 @@ def test_bpe_agrees_with_tiktoken(docs, rows):
     bpe = byte_bpe.tokenizer(path, pattern)
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
     expected = sorted((str(i), len(known.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
-    assert sorted((str(x.doc_id), x.n_tokens, x.decoded_sha256) for x in byte_bpe.bpe_digest(docs).collect()) == expected
+    found = byte_bpe.bpe_digest(docs).collect()
+    assert sorted((str(x.doc_id), x.n_tokens, x.decoded_sha256) for x in found) == expected
+    digests = sorted((str(i), hashlib.sha256(" ".join(map(str, known.encode_ordinary(t or ""))).encode()).hexdigest()) for i, t, *_ in rows)
+    assert sorted((str(x.doc_id), x.ids_sha256) for x in found) == digests
     r = random.Random(1)
     for _ in range(300):
         text = "".join(r.choice("aab  \n\t.1é'sţ\x1c\x85 😀") for _ in range(r.randrange(60)))
@@ -87,6 +90,61 @@ def test_damaged_tiff_is_a_row(spark):
     assert found[1] is None and found[2] and found[4] and 3 not in found
 
 
+def foreign_tiff(order, pixels, rows_per_strip, tags=()):
+    """A file of one page as another writer would make it: strips in front of the directory, any byte order, any depth."""
+    import struct
+
+    height, width, samples = pixels.shape
+    bits = pixels.dtype.itemsize * 8
+    body = [pixels[r : r + rows_per_strip].astype(pixels.dtype.newbyteorder(order)).tobytes() for r in range(0, height, rows_per_strip)]
+    offsets = [8 + sum(map(len, body[:i])) for i in range(len(body))]
+    at = 8 + sum(map(len, body))
+    lists = struct.pack(f"{order}{len(body)}I", *offsets) + struct.pack(f"{order}{len(body)}I", *map(len, body)) + struct.pack(f"{order}{samples}H", *[bits] * samples)
+    short = lambda v: struct.pack(order + "HH", v, 0)
+    long_ = lambda v: struct.pack(order + "I", v)
+    n = len(body)
+    several = lambda k, inside: long_(k) if n > 1 else inside
+    fields = {
+        256: (4, 1, long_(width)), 257: (4, 1, long_(height)), 258: (3, samples, short(bits) if samples == 1 else struct.pack(order + "2H", bits, bits) if samples == 2 else long_(at + 8 * n)),
+        259: (3, 1, short(1)), 273: (4, n, several(at, long_(offsets[0]))), 277: (3, 1, short(samples)), 278: (3, 1, short(rows_per_strip)), 279: (4, n, several(at + 4 * n, long_(len(body[0])))),
+    } | dict(tags)
+    directory = struct.pack(order + "H", len(fields)) + b"".join(struct.pack(order + "HHI", t, kind, k) + v for t, (kind, k, v) in sorted(fields.items())) + bytes(4)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at + len(lists))
+    return head + b"".join(body) + lists + directory
+
+
+def test_foreign_and_hostile_tiffs(spark):
+    import struct
+
+    r = np.random.default_rng(4)
+    for order in "<>":
+        for dtype in (np.uint8, np.uint16, np.uint32):
+            for samples in (1, 2, 3):
+                image = r.integers(0, 200, (21, 13, samples)).astype(dtype)
+                for strip in (5, 21, 40):
+                    (page,) = tiff.pages(foreign_tiff(order, image, strip))
+                    assert page.pixels.dtype == dtype and (page.pixels == image).all()
+    image = r.integers(0, 200, (8, 8, 1)).astype(np.uint8)
+    long_ = lambda v: (4, 1, struct.pack("<I", v))
+    hostile = [{322: long_(a), 323: long_(b), 324: long_(8), 325: long_(64)} for a in (0, 8, 2**32 - 1) for b in (0, 2**32 - 1)]
+    hostile += [{256: long_(2**32 - 1)}, {256: long_(2**32 - 1), 257: long_(2**32 - 1)}, {257: long_(0)}, {278: long_(0)}, {277: (3, 1, bytes(4))}, {258: (3, 2**31, bytes(4))}]
+    files = [(i, bytearray(foreign_tiff("<", image, 8, h.items()))) for i, h in enumerate(hostile)]
+    found = tiff.tiff_pages(spark.createDataFrame(files, "doc_id long, media binary")).collect()
+    assert {x.doc_id for x in found} == set(range(len(hostile)))
+    assert {x.doc_id for x in found if not x.error} <= {9}  # rows per strip of 0 is read as 1, and then lacks strips
+
+
+def test_media_digests(docs, rows):
+    """The columns of the query, recomputed from the stored bytes."""
+    texts = {i: t for i, t, *_ in rows}
+    for x in tiff.media_features(docs).collect():
+        payload = tiff.pad((texts[x.doc_id] or "").encode())
+        media = tiff.payload_to_tiff(payload)
+        told = dict(p.split("=") for p in x.feature.split(";"))
+        assert (x.payload_bytes, x.tail_crc32, x.media_bytes, x.media_sha256) == (len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        assert (int(told["sum"]), int(told["rows"])) == (sum(payload), len(payload) // 96) and [int(b) for b in told["bins"].split(",")] == [sum(v >> 4 == b for v in payload) for b in range(16)]
+
+
 def test_licences(spark):
     texts = ["CC-BY and cc by; All Rights Reserved", "the GNU General Public License", "Released under the new MIT License.", "", None, "cc"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
@@ -142,6 +200,43 @@ def test_mix_meets_its_targets(docs, rows):
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.mix_documents(docs).collect()), key=str)
 
 
+def test_mix_follows_the_schedule(spark):
+    """Each prefix of the mixed order is close to the target shares, and cut texts keep their white space."""
+    r = random.Random(9)
+    made = [(i, "  " + words(r, r.randrange(30, 90)).replace(" ", " \n", 3), "abc"[i % 7 % 3], 0, "size", "slot") for i in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long, size string, slot string").repartition(4)
+    rows = mixing.mix_documents(docs).collect()
+    share = {}
+    for source, target in {(made[x.doc_id][2], x.target) for x in rows}:
+        share[source] = target / sum(t for _, t in {(made[x.doc_id][2], x.target) for x in rows})
+    taken = sorted((x.first_slot, made[x.doc_id][2], x.taken) for x in rows if x.taken)
+    out = mixing.apply_mix(docs)
+    mixed = [(x.source, len(x.text.split())) for x in out.collect()]
+    assert out.columns == docs.columns and sum(n for _, n in mixed) == sum(x.taken for x in rows)
+    for n in (60, 150, 300, len(mixed)):
+        total = sum(w for _, w in mixed[:n])
+        for source, part in share.items():
+            assert abs(sum(w for s, w in mixed[:n] if s == source) - part * total) <= 3 * mixing.BLOCK_WORDS + 90, (n, source)
+    assert len({s for s, _, _ in taken}) > 20
+    texts = {i: t for i, t, *_ in made}
+    assert all(texts[x.doc_id].startswith(x.text) and len(x.text) == x.n_chars for x in out.collect())
+
+
+def test_stages_take_clashing_columns(spark, rows):
+    """Extra columns with the names that the stages use inside, nulls, repeated rows, long texts and an empty table."""
+    extra = "near links keepers words size slot pass key text_key n line h root first score".split()
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, SCHEMA).drop("size", "shard").select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: toxicity.drop_toxic(d, labels), line_dedup.dedup_lines, simhash.keep_one_of_each, mixing.apply_mix):
+        for some in (docs, docs.limit(0)):
+            out = stage(some)
+            assert out.columns == docs.columns
+            kept = out.collect()
+            assert all(x[c] == i for x in kept for i, c in enumerate(extra)) and bool(kept) == (some is docs)
+
+
 def test_simhash_components(docs, rows):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(rows)
@@ -293,6 +388,25 @@ def test_nearest(spark, factor):
     assert got[100] == [101, 102, 103, 104, 105]
 
 
+def test_nearest_ties(spark):
+    """More vectors than a leaf holds that differ by scale alone tie, and the smallest ids are taken."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(900, 8))
+    v[300:600] = v[300] * 2.0 ** (np.arange(300) - 150)[:, None]
+    table = [(i, [float(z) for z in x]) for i, x in enumerate(v)]
+    found = vp_tree.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>"), factor=1.0, shard_rows=400, query_rows=3).collect()
+    got = {}
+    for x in sorted(found, key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert set(got) == set(range(0, 900, 50))
+    for q, hits in got.items():
+        exact = v @ v[q] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[q])
+        kth = np.sort(np.delete(exact, q))[-5]
+        assert len(hits) == 5 and all(s >= kth - 1e-12 for _, s in hits)
+        if 300 <= q < 600:
+            assert {i for i, _ in hits} == set([i for i in range(300, 306) if i != q][:5])
+
+
 def test_toxicity_learns_and_tolerates_gaps(spark):
     r = random.Random(8)
     made, marks = [], []
