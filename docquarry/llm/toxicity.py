@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ SHORT = 8.0
 
 #: Bounds of the training sample: documents of each class and sentences of each, evenly spaced; of the documents every
 #: CALIBRATE-th calibrates the machine and the others train it. Landmarks, sentences of clean documents in a round, rounds.
-TOXIC_DOCS, CLEAN_DOCS, TOXIC_SENTENCES, CLEAN_SENTENCES, CALIBRATE = 2_000, 4_000, 200, 24, 5
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_SENTENCES, CLEAN_SENTENCES, CALIBRATE = 2_000, 4_000, 120, 24, 5
 LANDMARKS, CLEAN_TRAINED, ROUNDS, RIDGE = 300, 12_000, 3, 1e-4
 #: Characters of text worked on at a time.
 SLICE = 1 << 19
@@ -263,30 +264,30 @@ def _svm(kernel: np.ndarray, landmarks: np.ndarray, signs: np.ndarray, weights:
     return whiten.astype(np.float64) @ w[:-1], float(w[-1])
 
 
-def fit(sentences: list[np.ndarray], docs: np.ndarray, toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
-    """The folded table and the bias, from sentences (codes with edges), their document's number and its label (bool).
+def fit(codes: np.ndarray, lengths: np.ndarray, docs: np.ndarray, toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
+    """The folded table and the bias, from sentences: their codes (bytes, with edges, a gap of zeros behind each), lengths,
+    document's number (ascending) and label (bool).
 
-    At first a sentence's strength is the log odds of its subsequences that stand in clearly more toxic documents.
+    At first a sentence's strength is the log odds of its subsequences that stand in clearly more toxic documents. Arrays over
+    all sentences are bytes or one number each; whatever is wider is made for some sentences at a time.
     """
     rng = np.random.default_rng(seed)
-    lengths = np.array([len(s) - 2 for s in sentences], np.int64)
-    gap = np.zeros(REACH, np.int32)
-    codes = np.concatenate([x for s in sentences for x in (s, gap)])
-    starts = np.cumsum([0, *[len(s) + REACH for s in sentences]])[:-1]
-    plain = next(n for n, skipped in _numbers(codes) if skipped == 0).astype(np.int64)
-    held = np.unique(np.repeat(docs.astype(np.int64), lengths + 2 + REACH) << (ORDER * CODE_BITS) | plain)
-    of_toxic = np.isin(held >> (ORDER * CODE_BITS), np.unique(docs[toxic]))
-    a, b = (np.bincount(held[side] & (TABLE - 1), minlength=TABLE) for side in (of_toxic, ~of_toxic))
-    n1, n0 = len(np.unique(docs[toxic])), len(np.unique(docs[~toxic]))
+    starts = np.cumsum(np.append(0, lengths + 2 + REACH))
+    sentence = lambda i: codes[starts[i] : starts[i] + lengths[i] + 2].astype(np.int32)
+    heads = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs))
+    counts = np.zeros((2, TABLE), np.int32)  # documents of either label that hold a subsequence without gaps
+    for i, j in zip(heads, heads[1:], strict=False):
+        numbers = next(n for n, skipped in _numbers(codes[starts[i] : starts[j]].astype(np.int32)) if skipped == 0)
+        counts[int(toxic[i]), np.unique(numbers)] += 1
+    b, a = counts
+    n1, n0 = int(toxic[heads[:-1]].sum()), int((~toxic[heads[:-1]]).sum())
     telling = (a / n1 - b / n0) / np.sqrt((a + b + 1) / (n1 + n0) / min(n1, n0)) > 3
     table = _complete(np.where(telling, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), 0).astype(np.float32))
     bias, clean = 0.0, np.flatnonzero(~toxic)
     for _ in range(ROUNDS):
         model = Model(table, bias)
-        margins = np.concatenate([
-            model.sentence_margins(codes[starts[i] : starts[j - 1] + lengths[j - 1] + 2 + REACH], starts[i:j] - starts[i], lengths[i:j])
-            for i in range(0, len(starts), 4096) for j in (min(i + 4096, len(starts)),)
-        ])
+        chunks = [(i, min(i + 4096, len(lengths))) for i in range(0, len(lengths), 4096)]
+        margins = np.concatenate([model.sentence_margins(codes[starts[i] : starts[j]].astype(np.int32), starts[i:j] - starts[i], lengths[i:j]) for i, j in chunks])
         order = np.lexsort((-margins, docs))
         best = order[np.append(True, docs[order][1:] != docs[order][:-1])]
         witness = best[toxic[best]]
@@ -296,10 +297,10 @@ def fit(sentences: list[np.ndarray], docs: np.ndarray, toxic: np.ndarray, seed:
         some = lambda rows, n: rng.choice(rows, min(len(rows), n), replace=False)
         taken = np.unique(np.concatenate([witness, hard, spread]))
         marks = np.unique(np.concatenate([some(strong, LANDMARKS * 2 // 3), some(hard[: 3 * LANDMARKS], LANDMARKS // 6), some(spread, LANDMARKS // 6)]))
-        active, rows, columns = _landmarks([sentences[i] for i in marks])
+        active, rows, columns = _landmarks([sentence(i) for i in marks])
         signs = np.where(toxic[taken], 1.0, -1.0)
         weights = np.where(signs > 0, 0.5 * (signs < 0).sum() / (signs > 0).sum(), 1.0)
-        beta, bias = _svm(_kernel(rows, columns, [sentences[i] for i in taken]), np.searchsorted(taken, marks), signs, weights)
+        beta, bias = _svm(_kernel(rows, columns, [sentence(i) for i in taken]), np.searchsorted(taken, marks), signs, weights)
         table = np.zeros(TABLE, np.float32)
         table[active] = columns[1:] @ beta.astype(np.float32)
     return table, bias
@@ -374,8 +375,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         toxic = rows.column("toxic").to_numpy() == 1
         if not toxic.any() or toxic.all():
             return
-        numbered = np.unique(rows.column("key").to_numpy(zero_copy_only=False).astype("U32"), return_inverse=True)[1]
-        table, bias = fit([np.frombuffer(x, np.uint8).astype(np.int32) for x in rows.column("codes").to_pylist()], numbered, toxic)
+        numbered = rows.column("key").combine_chunks().dictionary_encode().indices.to_numpy()  # sorted, so ascending
+        lengths = pc.binary_length(rows.column("codes")).to_numpy().astype(np.int64) - 2
+        gap = bytes(REACH)
+        codes = np.frombuffer(gap.join([*rows.column("codes").to_pylist(), b""]), np.uint8)
+        del held, rows
+        table, bias = fit(codes, lengths, numbered, toxic)
         yield pa.record_batch([pa.array([table.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
     learned = sentences.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
