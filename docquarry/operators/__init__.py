@@ -1 +1 @@
-"""Part of docquarry."""
+"""Operators that a statement alone does not express well in Spark."""

@@ -28,9 +28,9 @@ _simple("token_df", "SELECT token, count(*) AS df FROM @item_tokens@ GROUP BY to
 _simple("item_counts", "SELECT doc_id, type, count(*) AS n FROM @items@ GROUP BY doc_id, type")
 _simple("document_pages", "SELECT doc_id, max(page) + 1 AS pages FROM @items@ GROUP BY doc_id")
 _simple("document_list", "SELECT doc_id, filename, length(content) AS size, row_number() OVER (ORDER BY doc_id DESC) AS place, count(*) OVER () AS total FROM @docs@")
-_simple("document_content", "SELECT doc_id, filename, content FROM @docs@ WHERE doc_id % 10 = 3")
+_simple("document_content", "SELECT doc_id, filename, content FROM @docs@")
 _simple("item_projection", "SELECT doc_id, idx, type, page, left(chunk, 300) AS text FROM @items@")
-_simple("knn_top50", "SELECT qid, doc_id, idx, round(dense, 6) AS dense, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, idx) AS r FROM @scores@) a_ WHERE r <= 50")
+_simple("knn_top50", "SELECT qid, doc_id, idx, round(dense, 6) AS dense, CAST(r AS INT) AS r FROM @top_dense@")
 _simple("z_score", "SELECT qid, n_items, round(top, 6) AS top, round(z, 6) AS z FROM @spread@")
 _simple("keyword_overlap", "SELECT qid, doc_id, idx, overlap FROM @shared_words@")
 _simple("candidates", "SELECT qid, doc_id, idx FROM @candidates@")
@@ -53,9 +53,9 @@ _simple("evidence", "SELECT qid, CAST(place AS INT) AS place, doc_id, idx, filen
 _simple("best_sentences", "SELECT qid, place, sentence FROM @best_sentences@")
 _simple("decision_route", "SELECT qid, route, lang, confidence FROM @decisions@")
 _simple("answer_sources", "SELECT qid, filename, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INT) AS place FROM (SELECT qid, filename, min(place) AS first FROM @evidence@ GROUP BY qid, filename) s_")
-_simple("is_nepali", "SELECT count(*) AS documents, sum(CASE WHEN content LIKE '%।%' THEN 1 ELSE 0 END) AS with_danda FROM @docs@")
 _simple("missing_vectors", "SELECT i.doc_id, i.idx FROM @items@ i LEFT JOIN @vecs@ v ON i.doc_id = v.doc_id AND i.idx = v.idx WHERE v.doc_id IS NULL")
-_simple("delete_document", "SELECT doc_id, count(*) AS n FROM @items@ WHERE doc_id NOT IN (3, 5, 8) GROUP BY doc_id")
+_simple("delete_document", "SELECT i.doc_id, count(*) AS n FROM @items@ i LEFT JOIN (SELECT DISTINCT doc_id FROM @labels@ WHERE quality = 0) g ON i.doc_id = g.doc_id WHERE g.doc_id IS NULL GROUP BY i.doc_id")
+_simple("delete_all", "SELECT (SELECT count(*) FROM @docs@) AS deleted, count(*) AS remaining FROM @docs@ WHERE FALSE")
 
 for _mode in ("naive", "local", "global", "hybrid"):
     QUERIES[f"retrieve_{_mode}"] = lambda d, m=_mode: f"SELECT qid, doc_id, idx, via, round(fused, 6) AS fused, CAST(pos AS INT) AS pos FROM ({retrieved(d, m)}) r_"
@@ -64,7 +64,13 @@ for _mode in ("naive", "local", "global", "hybrid"):
 @query
 def dedup_sha256(d: Dialect) -> str:
     digest = "sha2(content, 256)" if d.name == "spark" else "sha256(content)"
-    return f"SELECT doc_id, digest, first_id, first_id <> doc_id AS duplicate FROM (SELECT doc_id, {digest} AS digest, min(doc_id) OVER (PARTITION BY {digest}) AS first_id FROM @docs@) s_"
+    each = f"SELECT doc_id, {digest} AS digest FROM @docs@"
+    return f"SELECT e.doc_id, e.digest, f.first_id, f.first_id <> e.doc_id AS duplicate FROM ({each}) e JOIN (SELECT digest, min(doc_id) AS first_id FROM ({each}) d_ GROUP BY digest) f ON e.digest = f.digest"
+
+
+@query
+def is_nepali(d: Dialect) -> str:
+    return f"SELECT doc_id, {d.matches('content', '[\\x{0900}-\\x{097F}]')} AS nepali FROM @docs@"
 
 
 @query

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions import words as W
 from docquarry.functions.dialect import CAPITALS, DUCK, SPARK, Dialect, quoted
+from docquarry.operators import dense_scan
 
 DIM = 64
 RELATIONS: dict[str, Callable[[Dialect], str]] = {}
-#: Relations that a deployment stores (the index of the corpus): kept between uses in a session, on disk if need be.
+#: Relations that a deployment stores (the index of the corpus): made once for a folder of tables and kept in the session, on
+#: disk if need be, until release() is called.
 STORED = {
-    "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "scores", "shared_words", "hits", "vector_order", "entity_tf",
+    "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "top_dense", "spread", "shared_words", "hits", "vector_order", "entity_tf",
     "mentions", "cooccur", "struct_edges", "question_entities", "local_scores", "global_scores", "hybrid_hits", "hybrid_rows", "sentence_rows",
 }
 REFERENCE = re.compile(r"@(\w+)@")
@@ -32,24 +34,36 @@ def relation(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return build
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str, _made: dict[str, DataFrame] | None = None) -> DataFrame:
+_KEPT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def release() -> None:
+    """Forgets the kept relations, so that the next use reads the tables anew."""
+    for made in _KEPT.values():
+        for df in made.values():
+            df.unpersist()
+    _KEPT.clear()
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The relation as a DataFrame."""
-    made = {} if _made is None else _made
+    made = _KEPT.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    if name not in RELATIONS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in made:
-        if name not in RELATIONS:
-            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        scan = dense_scan.SCANS.get(name)
+        if scan is None:
+            df = statement(spark, sf_dir, RELATIONS[name](SPARK))
         else:
-            made[name] = statement(spark, sf_dir, RELATIONS[name](SPARK), made)
-            if name in STORED:
-                made[name] = made[name].persist(StorageLevel.MEMORY_AND_DISK)
+            df = scan(frame(spark, sf_dir, "vecs"), frame(spark, sf_dir, "question_vecs"), W.CANDIDATES)
+        made[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if name in STORED else df
     return made[name]
 
 
-def statement(spark: SparkSession, sf_dir: str, sql: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
-    made = {} if made is None else made
+def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     mark = uuid.uuid4().hex[:12]
     for name in sorted(set(REFERENCE.findall(sql))):
-        frame(spark, sf_dir, name, made).createOrReplaceTempView(f"{name}_{mark}")
+        frame(spark, sf_dir, name).createOrReplaceTempView(f"{name}_{mark}")
     out = spark.sql(REFERENCE.sub(lambda m: f"{m[1]}_{mark}", sql))
     for name in set(REFERENCE.findall(sql)):
         spark.catalog.dropTempView(f"{name}_{mark}")
@@ -107,7 +121,7 @@ def vector(d: Dialect, key: str, relation_name: str) -> str:
     # counted by bucket first, or the optimizer would put the digest of a token into each of the DIM sums
     buckets = f"SELECT {key}, {d.md5_bucket('token', DIM)} AS bucket FROM {relation_name}"
     each = f"SELECT {key}, bucket, count(*) AS n FROM ({buckets}) b_ GROUP BY {key}, bucket"
-    return f"SELECT {key}, {d.array(counted)} AS v FROM ({each.replace('spot AS sat', 'sat')}) c_ GROUP BY {key}"
+    return f"SELECT {key}, {d.array(counted)} AS v FROM ({each}) c_ GROUP BY {key}"
 
 
 def dot(d: Dialect, a: str, b: str) -> str:
@@ -138,20 +152,26 @@ def question_vecs(d: Dialect) -> str:
     return f"SELECT qid, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid', f'({exploded}) t_')}) n_"
 
 
+def cosine(d: Dialect, q: str, i: str) -> str:
+    return f"CAST({dot(d, f'{q}.qv', f'{i}.v')} AS DOUBLE) / (sqrt(CAST({q}.qnorm2 AS DOUBLE)) * sqrt(CAST({i}.norm2 AS DOUBLE)))"
+
+
+def _scores(d: Dialect) -> str:
+    return f"SELECT q.qid, i.doc_id, i.idx, {cosine(d, 'q', 'i')} AS dense FROM @vecs@ i CROSS JOIN @question_vecs@ q"
+
+
 @relation
-def scores(d: Dialect) -> str:
-    """Every question against every item: the reference's exhaustive scan, as one product of question and item vectors."""
-    return (
-        f"SELECT qid, doc_id, idx, CAST({dot(d, 'qv', 'v')} AS DOUBLE) / (sqrt(CAST(qnorm2 AS DOUBLE)) * sqrt(CAST(norm2 AS DOUBLE))) AS dense "
-        "FROM @vecs@ CROSS JOIN @question_vecs@"
-    )
+def top_dense(d: Dialect) -> str:
+    """The nearest items of each question, of an exhaustive scan. In Spark: docquarry.operators.dense_scan."""
+    return f"SELECT qid, doc_id, idx, dense, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, idx) AS r FROM ({_scores(d)}) s_) a_ WHERE r <= {W.CANDIDATES}"
 
 
 @relation
 def spread(d: Dialect) -> str:
+    """The z value of the best score among all scores of a question. In Spark: docquarry.operators.dense_scan."""
     return (
         "SELECT qid, count(*) AS n_items, max(dense) AS top, CASE WHEN count(*) >= 10 AND stddev_pop(dense) > 1e-6 "
-        "THEN (max(dense) - avg(dense)) / stddev_pop(dense) END AS z FROM @scores@ GROUP BY qid"
+        f"THEN (max(dense) - avg(dense)) / stddev_pop(dense) END AS z FROM ({_scores(d)}) s_ GROUP BY qid"
     )
 
 
@@ -167,7 +187,7 @@ def shared_words(d: Dialect) -> str:
 @relation
 def candidates(d: Dialect) -> str:
     return (
-        f"SELECT qid, doc_id, idx FROM (SELECT qid, doc_id, idx, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, idx) AS r FROM @scores@) a WHERE r <= {W.CANDIDATES} "
+        "SELECT qid, doc_id, idx FROM @top_dense@ "
         f"UNION SELECT qid, doc_id, idx FROM (SELECT qid, doc_id, idx, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, doc_id, idx) AS r FROM @shared_words@) b WHERE r <= {W.CANDIDATES // 2}"
     )
 
@@ -176,9 +196,9 @@ def made_hits(d: Dialect, keys: str) -> str:
     cover = d.coverage("q.terms", "i.words")
     kinds = " OR ".join(f"(q.asks_{k} AND i.type = '{k}')" for k in ("image", "table", "equation"))
     return (
-        f"SELECT c.qid, c.doc_id, c.idx, i.filename, i.type, i.page, i.section, i.chunk, coalesce(s.dense, 0.0) AS dense, {cover} AS coverage, ({kinds}) AS asked_kind "
+        f"SELECT c.qid, c.doc_id, c.idx, i.filename, i.type, i.page, i.section, i.chunk, coalesce({cosine(d, 'w', 'v')}, 0.0) AS dense, {cover} AS coverage, ({kinds}) AS asked_kind "
         f"FROM {keys} c JOIN @item_words@ i ON c.doc_id = i.doc_id AND c.idx = i.idx JOIN @questions@ q ON c.qid = q.qid "
-        f"LEFT JOIN @scores@ s ON c.qid = s.qid AND c.doc_id = s.doc_id AND c.idx = s.idx"
+        f"LEFT JOIN @question_vecs@ w ON c.qid = w.qid LEFT JOIN @vecs@ v ON c.doc_id = v.doc_id AND c.idx = v.idx"
     )
 
 
@@ -341,7 +361,7 @@ def sentence_rows(d: Dialect) -> str:
 
 @relation
 def sentence_vecs(d: Dialect) -> str:
-    exploded = d.explode("@sentence_rows@", "qid, hit, spot AS sat", "words", "k", "token")
+    exploded = d.explode("(SELECT qid, hit, spot AS sat, words FROM @sentence_rows@) r_", "qid, hit, sat", "words", "k", "token")
     return f"SELECT qid, hit, sat, v, CAST({dot(d, 'v', 'v')} AS BIGINT) AS norm2 FROM ({vector(d, 'qid, hit, sat', f'({exploded}) t_')}) n_"
 
 
