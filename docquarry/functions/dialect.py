@@ -64,6 +64,10 @@ class Dialect:
     def sort(self, items: str) -> str:
         return f"list_sort({items})"
 
+    def total(self, items: str) -> str:
+        """The sum of an array of long integers."""
+        return f"CAST(list_sum({items}) AS BIGINT)"
+
     def part(self, items: str, start: str) -> str:
         """From the item at start (from 0) to the end."""
         return f"list_slice({items}, {start} + 1, len({items}))"
@@ -247,6 +251,9 @@ class SparkDialect(Dialect):
     def sort(self, items: str) -> str:
         return f"array_sort({items})"
 
+    def total(self, items: str) -> str:
+        return f"aggregate({items}, 0L, (s_, x_) -> s_ + x_)"
+
     def part(self, items: str, start: str) -> str:
         return f"slice({items}, {start} + 1, size({items}))"
 

@@ -11,17 +11,17 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions import words as W
 from docquarry.functions.dialect import CAPITALS, DUCK, SPARK, Dialect, quoted
 from docquarry.operators import dense_scan
+from docquarry.sources import store
 
 DIM = 64
 RELATIONS: dict[str, Callable[[Dialect], str]] = {}
-#: Relations that a deployment stores (the index of the corpus): made once for a folder of tables and kept in the session, on
-#: disk if need be, until release() is called.
+#: Relations that a deployment stores (the index of the corpus): written once for a folder of tables and read from then on,
+#: until release() is called. A query that needs one plans over its files and not over all that led to it.
 STORED = {
     "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "top_dense", "spread", "shared_words", "hits", "vector_order", "entity_tf",
     "mentions", "cooccur", "struct_edges", "question_entities", "local_scores", "global_scores", "hybrid_hits", "hybrid_rows", "sentence_rows",
@@ -35,28 +35,36 @@ def relation(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
 
 
 _KEPT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def release() -> None:
-    """Forgets the kept relations, so that the next use reads the tables anew."""
-    for made in _KEPT.values():
-        for df in made.values():
-            df.unpersist()
+    """Forgets the stored relations, so that the next use reads the tables anew."""
     _KEPT.clear()
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The relation as a DataFrame."""
-    made = _KEPT.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    application = spark.sparkContext.applicationId
+    made = _KEPT.setdefault((application, sf_dir), {})
     if name not in RELATIONS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        # a table in fewer splits than cores is dealt out before the work on its texts; larger ones stay as they are
+        return read.repartition(cores) if name == "documents" and read.rdd.getNumPartitions() < cores else read
     if name not in made:
         scan = dense_scan.SCANS.get(name)
         if scan is None:
             df = statement(spark, sf_dir, RELATIONS[name](SPARK))
         else:
             df = scan(frame(spark, sf_dir, "vecs"), frame(spark, sf_dir, "question_vecs"), W.CANDIDATES)
-        made[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if name in STORED else df
+        if name in STORED:
+            if application not in _FOLDERS:
+                _FOLDERS[application] = store.working_folder(spark)
+            path = f"{_FOLDERS[application]}/{uuid.uuid4().hex}/{name}"
+            df.write.parquet(path)
+            df = spark.read.parquet(path)
+        made[name] = df
     return made[name]
 
 
@@ -116,23 +124,20 @@ def item_tokens(d: Dialect) -> str:
     return d.explode("@item_words@", "doc_id, idx", "words", "spot", "token")
 
 
-def vector(d: Dialect, key: str, relation_name: str) -> str:
-    counted = ", ".join(f"CAST(sum(CASE WHEN bucket = {b} THEN n ELSE 0 END) AS INT)" for b in range(DIM))
-    # counted by bucket first, or the optimizer would put the digest of a token into each of the DIM sums
-    buckets = f"SELECT {key}, {d.md5_bucket('token', DIM)} AS bucket FROM {relation_name}"
-    each = f"SELECT {key}, bucket, count(*) AS n FROM ({buckets}) b_ GROUP BY {key}, bucket"
-    return f"SELECT {key}, {d.array(counted)} AS v FROM ({each}) c_ GROUP BY {key}"
+def vector(d: Dialect, key: str, relation_name: str, words: str = "words") -> str:
+    """(key, v): how many of a row's words fall into each of DIM buckets by digest; rows without words have no vector."""
+    buckets = d.array(d.each(words, "t", d.md5_bucket("t", DIM)))  # bound by a lambda, so that digests are taken once
+    counted = d.each(buckets, "k", d.each(d.steps("0", str(DIM - 1), "1"), "b", f"CAST({d.size(d.keep('k', 'x', 'x = b'))} AS INT)"))
+    return f"SELECT {key}, {d.at(counted, '0')} AS v FROM {relation_name} WHERE {d.size(words)} > 0"
 
 
 def dot(d: Dialect, a: str, b: str) -> str:
-    """Unrolled, so that it is generated code in Spark and not a lambda per element."""
-    off = 0 if d.name == "spark" else 1
-    return "(" + " + ".join(f"{a}[{i + off}] * {b}[{i + off}]" for i in range(DIM)) + ")"
+    return d.total(d.each(d.steps("0", str(DIM - 1), "1"), "z", f"CAST({d.at(a, 'CAST(z AS INT)')} AS BIGINT) * {d.at(b, 'CAST(z AS INT)')}"))
 
 
 @relation
 def vecs(d: Dialect) -> str:
-    return f"SELECT doc_id, idx, v, CAST({dot(d, 'v', 'v')} AS BIGINT) AS norm2 FROM ({vector(d, 'doc_id, idx', '@item_tokens@')}) n_"
+    return f"SELECT doc_id, idx, v, CAST({dot(d, 'v', 'v')} AS BIGINT) AS norm2 FROM ({vector(d, 'doc_id, idx', '@item_words@')}) n_"
 
 
 # --- questions ---
@@ -148,8 +153,7 @@ def questions(d: Dialect) -> str:
 
 @relation
 def question_vecs(d: Dialect) -> str:
-    exploded = d.explode("@questions@", "qid", "words", "spot", "token")
-    return f"SELECT qid, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid', f'({exploded}) t_')}) n_"
+    return f"SELECT qid, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid', '@questions@')}) n_"
 
 
 def cosine(d: Dialect, q: str, i: str) -> str:
@@ -361,8 +365,7 @@ def sentence_rows(d: Dialect) -> str:
 
 @relation
 def sentence_vecs(d: Dialect) -> str:
-    exploded = d.explode("(SELECT qid, hit, spot AS sat, words FROM @sentence_rows@) r_", "qid, hit, sat", "words", "k", "token")
-    return f"SELECT qid, hit, sat, v, CAST({dot(d, 'v', 'v')} AS BIGINT) AS norm2 FROM ({vector(d, 'qid, hit, sat', f'({exploded}) t_')}) n_"
+    return f"SELECT qid, hit, sat, v, CAST({dot(d, 'v', 'v')} AS BIGINT) AS norm2 FROM ({vector(d, 'qid, hit, spot AS sat', '@sentence_rows@')}) n_"
 
 
 @relation

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,19 @@ def add_new(current_docs: DataFrame, arriving: DataFrame, digest: str = "sha256"
 def without_documents(df: DataFrame, gone: DataFrame) -> DataFrame:
     """A table without the rows of the documents in gone(doc_id)."""
     return df.join(gone, "doc_id", "left_anti")
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or, in one machine only, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="docquarry-store-")
+    return f"{named}/relations-{uuid.uuid4().hex}"
+
+
+def delete_all(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Makes an empty table the current version, with the columns it had; older versions stay readable by their path."""
+    save(current(spark, root, name).limit(0), root, name)
+    return current(spark, root, name)
