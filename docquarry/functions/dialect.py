@@ -11,6 +11,10 @@ from docquarry.functions import words as W
 TOKEN = r"[\p{L}\p{N}_\x{0900}-\x{097F}]+"
 CAPITALS = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9\-]{2,}(?:\s+[A-Z][A-Za-z0-9\-]{2,})*)"
 
+# Signs and commands that mark mathematics.
+MATH = "∑∫√∞≈≠≤≥∂∇∈∀∃±×÷αβγδθλμπσωΔΣΩ^_{}" + chr(92) + "="
+LATEX = r"\\(frac|sum|int|sqrt|alpha|beta|gamma|mathbb|mathbf|begin|cdot|times|left|right)|\$\$"
+
 
 def quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -176,6 +180,16 @@ class Dialect:
         hit = self.size(self.keep(terms, "q", self.any(tokens, "t", self.token_match("q", "t"))))
         return f"(CASE WHEN {self.size(terms)} = 0 THEN 0.0 ELSE CAST({hit} AS DOUBLE) / {self.size(terms)} END)"
 
+    def equation(self, s: str) -> str:
+        """Whether a line is an equation by its signs; MATH and LATEX are fixed values."""
+        strong = f"(length({s}) - length(translate({s}, {self.text(MATH)}, '')))"
+        brackets = f"(length({s}) - length(translate({s}, '()/^_*', '')))"
+        long_words = self.size(self.find_all(s, "[A-Za-z]{6,}"))
+        return (
+            f"(CASE WHEN length({s}) < 3 OR length({s}) > 180 THEN FALSE WHEN {self.matches(s, LATEX)} THEN TRUE WHEN {long_words} > 2 THEN FALSE "
+            f"WHEN {strong} >= 2 AND {strong} > 0.08 * length({s}) THEN TRUE ELSE {s} LIKE '%=%' AND {brackets} >= 3 AND length({s}) <= 120 END)"
+        )
+
     def entity_words(self, text: str) -> str:
         """Stemmed words from which entities are made, in order."""
         mapped = self.each(self.raw_tokens(f"lower({text})"), "t", self.digits("t"))

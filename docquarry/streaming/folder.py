@@ -8,5 +8,8 @@ from docquarry.sources.text_files import parse
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
+    """Blocks of the files that are new in folder, a Parquet folder batch=n under out for each run. A batch that is run again
+    after a failure takes the place of its first attempt, so blocks are there once."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-    parse(files).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    keep = lambda batch, n: parse(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
+    files.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

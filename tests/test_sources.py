@@ -22,13 +22,32 @@ def docx() -> bytes:
     return out.getvalue()
 
 
-def test_blocks():
-    found = text_files.text_blocks(MD)
-    assert [b["type"] for b in found] == ["text", "text", "table", "equation", "text"]
-    assert found[1]["text"] == "para one more" and found[1]["section"] == "Title"
-    assert found[2]["table_body"] == "| A | B |\n|---|---|\n| 1 | x \\| y |"
-    assert found[3]["latex"] == "E = mc^2"
-    assert [(b["type"], b.get("section")) for b in text_files.docx_blocks(docx())] == [("text", "Head"), ("text", "Head"), ("table", None)]
+def blocks(spark, name, data):
+    files = spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
+    return text_files.parse(files).orderBy("block_idx").collect()
+
+
+def test_blocks(spark):
+    found = blocks(spark, "a.md", MD)
+    assert [b.type for b in found] == ["text", "text", "table", "equation", "text"]
+    assert found[1].text == "para one more" and found[1].section == "Title"
+    assert found[2].table_body == "| A | B |\n|---|---|\n| 1 | x \\| y |"
+    assert found[3].latex == "E = mc^2"
+    assert [(b.type, b.section) for b in blocks(spark, "c.docx", docx())] == [("text", "Head"), ("text", "Head"), ("table", None)]
+    odd = b"| not | a table\n\n## Two\n$$a+b$$\nx \xe2\x89\xa4 y \xe2\x89\xa5 z\n\nplain\n| h |\n|---|\n\n|a|b|\n|:--|--:|\n| 1 |\n|2|3|4|\nend"
+    told = [(b.type, b.text or b.latex or b.table_body) for b in blocks(spark, "b.md", odd)]
+    assert told == [
+        ("text", "| not | a table"), ("text", "Two"), ("equation", "a+b"), ("equation", "x ≤ y ≥ z"), ("text", "plain"),
+        ("table", "| a | b |  |\n|---|---|---|\n| 1 |  |  |\n| 2 | 3 | 4 |"), ("text", "end"),
+    ]
+    assert blocks(spark, "empty.txt", b"") == []
+
+
+def test_csv_becomes_a_table(spark):
+    files = spark.createDataFrame([("a.md", bytearray(MD))], "path string, content binary")
+    csv = spark.createDataFrame([("x|y", None), ("z", 2)], "name string, n int")
+    last = text_files.attach_csv(text_files.parse(files), csv, "a.md").orderBy("block_idx").collect()[-1]
+    assert (last.block_idx, last.type, last.table_body) == (5, "table", "| name | n |\n|---|---|\n| x\\|y |  |\n| z | 2 |")
 
 
 def test_files_store_and_stream(spark, tmp_path):
@@ -44,4 +63,5 @@ def test_files_store_and_stream(spark, tmp_path):
     store.save(rows, str(tmp_path / "store"), "docs")
     again = spark.createDataFrame([(5, "h2"), (6, "h3"), (7, "h3")], "doc_id long, sha256 string")
     assert [r.doc_id for r in store.add_new(store.current(spark, str(tmp_path / "store"), "docs"), again).collect()] == [6]
+    assert store.delete_all(spark, str(tmp_path / "store"), "docs").count() == 0
     assert [r.doc_id for r in store.without_documents(rows, rows.where("doc_id = 1")).collect()] == [2]
