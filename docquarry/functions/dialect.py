@@ -133,6 +133,14 @@ class Dialect:
         """A row per item with its place from 0."""
         return f"SELECT {columns}, (i_ - 1)::INTEGER AS {at}, l_[i_] AS {value} FROM (SELECT *, {items} AS l_ FROM {relation}) e_, unnest(range(1, len(l_) + 1)) AS u_(i_)"
 
+    def gathered(self, text: str, order: str, by: str) -> str:
+        """The texts of a group in order, as one text; nulls are left out."""
+        return f"string_agg({text}, {by} ORDER BY {order})"
+
+    def before(self, text: str, over: str) -> str:
+        """The texts of a window's frame, one space between; null where there are none."""
+        return f"string_agg({text}, ' ') OVER ({over})"
+
     # --- text functions, the same for both ---
 
     def strip(self, text: str) -> str:
@@ -321,6 +329,12 @@ class SparkDialect(Dialect):
     def explode(self, relation: str, columns: str, items: str, at: str = "pos", value: str = "item") -> str:
         return f"SELECT {columns}, {at}, {value} FROM {relation} LATERAL VIEW posexplode({items}) AS {at}, {value}"
 
+    def gathered(self, text: str, order: str, by: str) -> str:
+        return f"array_join(transform(array_sort(collect_list(struct({order}, {text} AS said_))), x -> x.said_), {by})"
+
+    def before(self, text: str, over: str) -> str:
+        return f"array_join(collect_list({text}) OVER ({over}), ' ')"
+
     def empty(self) -> str:
         return "CAST(array() AS array<string>)"
 

@@ -39,3 +39,24 @@ Z_STRONG, Z_LEAST, Z_ALONE = 3.0, 1.5, 4.0
 COVER_GOOD, COVER_SOME, SMALL_CORPUS = 0.5, 0.2, 10
 AMBIGUOUS_RATIO, AMBIGUOUS_TERMS, OPTIONS = 0.8, 2, 4
 TABLE_ROWS = 8
+CONTEXT_CHARS = 300
+
+# What is said when a question isn't answered from the documents, in English and Nepali (fixed values).
+MESSAGES = {
+    "generic": {
+        "en": "Your question is a bit broad, so I can't give a precise answer. What exactly would you like to know? You can pick a topic below or type a more specific question.",
+        "ne": "तपाईंको प्रश्न धेरै सामान्य छ, त्यसैले सही जवाफ दिन सकिँदैन। तपाईं ठ्याक्कै के जान्न चाहनुहुन्छ? तल विषय छान्नुहोस् वा थप स्पष्ट प्रश्न लेख्नुहोस्।",
+    },
+    "ambiguous": {
+        "en": "Your question matches several different parts of your documents. Which one do you mean?",
+        "ne": "तपाईंको प्रश्न कागजातका धेरै फरक भागसँग मिल्छ। तपाईंले कुन बुझ्नुभएको हो?",
+    },
+    "summary": {
+        "en": "Which document would you like me to summarize?",
+        "ne": "कुन कागजातको सारांश चाहिन्छ?",
+    },
+    "not_found": {
+        "en": "I couldn't find an answer to that in your documents. Try rephrasing, or pick a topic they cover:",
+        "ne": "तपाईंका कागजातहरूमा यस प्रश्नको जवाफ फेला परेन। फरक तरिकाले सोध्नुहोस्, वा कागजातमा भएको विषय छान्नुहोस्:",
+    },
+}

@@ -27,7 +27,6 @@ _simple("item_tokens", "SELECT doc_id, idx, token FROM @item_tokens@")
 _simple("token_df", "SELECT token, count(*) AS df FROM @item_tokens@ GROUP BY token")
 _simple("item_counts", "SELECT doc_id, type, count(*) AS n FROM @items@ GROUP BY doc_id, type")
 _simple("document_pages", "SELECT doc_id, max(page) + 1 AS pages FROM @items@ GROUP BY doc_id")
-_simple("document_list", "SELECT doc_id, filename, length(content) AS size, row_number() OVER (ORDER BY doc_id DESC) AS place, count(*) OVER () AS total FROM @docs@")
 _simple("document_content", "SELECT doc_id, filename, content FROM @docs@")
 _simple("item_projection", "SELECT doc_id, idx, type, page, left(chunk, 300) AS text FROM @items@")
 _simple("knn_top50", "SELECT qid, doc_id, idx, round(dense, 6) AS dense, CAST(r AS INT) AS r FROM @top_dense@")
@@ -44,7 +43,7 @@ _simple("cooccurrence", "SELECT a, b, weight FROM @cooccur@")
 _simple("struct_edges", "SELECT doc_id, src, dst, kind FROM @struct_edges@")
 _simple("entity_degree", "SELECT a AS entity, sum(weight) AS degree FROM @cooccur@ GROUP BY a")
 _simple("graph_summary", "SELECT (SELECT count(*) FROM @items@) AS items, (SELECT count(DISTINCT entity) FROM @mentions@) AS entities, CAST((SELECT count(*) FROM @cooccur@) / 2 AS BIGINT) AS entity_links, CAST((SELECT count(*) FROM @struct_edges@) / 2 AS BIGINT) AS structure_links")
-_simple("top_entities", "WITH g_ AS (SELECT a, sum(weight) AS degree FROM @cooccur@ GROUP BY a), t_ AS (SELECT a, degree FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, a) AS r FROM g_) o_ WHERE r <= 40) SELECT c.a AS source, c.b AS target, c.weight FROM @cooccur@ c JOIN t_ x ON c.a = x.a JOIN t_ y ON c.b = y.a WHERE c.a < c.b")
+_simple("top_entities", "WITH g_ AS (SELECT a, sum(weight) AS degree FROM @cooccur@ GROUP BY a), t_ AS (SELECT a FROM g_ ORDER BY degree DESC, a LIMIT 40) SELECT c.a AS source, c.b AS target, c.weight FROM @cooccur@ c JOIN t_ x ON c.a = x.a JOIN t_ y ON c.b = y.a WHERE c.a < c.b")
 _simple("question_entities", "SELECT qid, entity FROM @question_entities@")
 _simple("local_scores", "SELECT qid, doc_id, idx, score FROM @local_scores@")
 _simple("global_scores", "SELECT qid, doc_id, idx, score FROM @global_scores@")
@@ -61,6 +60,18 @@ for _mode in ("naive", "local", "global", "hybrid"):
     QUERIES[f"retrieve_{_mode}"] = lambda d, m=_mode: f"SELECT qid, doc_id, idx, via, round(fused, 6) AS fused, CAST(pos AS INT) AS pos FROM ({retrieved(d, m)}) r_"
 
 
+@query
+def document_list(d: Dialect) -> str:
+    """Documents, newest id first. Ranked in a thousand ranges of ids, whose counts give where each begins; null ids come last."""
+    width = f"greatest({d.div('hi - lo', '1000')} + 1, 1)"
+    ranged = f"SELECT c.doc_id, c.filename, length(c.content) AS size, coalesce({d.div('c.doc_id - e.lo', width)}, -1) AS part FROM @docs@ c CROSS JOIN (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM @docs@) e"
+    counts = "SELECT part, sum(n) OVER (ORDER BY part DESC) - n AS before, sum(n) OVER () AS total FROM (SELECT part, count(*) AS n FROM r_ GROUP BY part) n_"
+    return (
+        f"WITH r_ AS ({ranged}), c_ AS ({counts}) SELECT r.doc_id, r.filename, r.size, CAST(c.before + row_number() OVER (PARTITION BY r.part ORDER BY r.doc_id DESC) AS BIGINT) AS place, CAST(c.total AS BIGINT) AS total "
+        "FROM r_ r JOIN c_ c ON r.part = c.part"
+    )
+
+
 @query
 def dedup_sha256(d: Dialect) -> str:
     digest = "sha2(content, 256)" if d.name == "spark" else "sha256(content)"

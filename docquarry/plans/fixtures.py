@@ -35,14 +35,14 @@ TABLE = "| Name | Amount |\n|---|---:|\n" + "\n".join(f"| item{i} | {i * 10} |"
 TABLES = [(1, "Budget", TABLE), (2, "", "| A | B |\n|--|--|\n| x | y |"), (3, "", "no table")]
 
 
-def table_cells(d: Dialect) -> str:
-    """Rows of Markdown tables as arrays of cells; separator rows are left out."""
-    lines = d.explode(rows(d, "t_id, caption, body", TABLES), "t_id, caption", d.split("body", "\n" if d.name == "duck" else r"\n"), "line_no", "line")
+def table_cells(d: Dialect, source: str | None = None, key: str = "t_id") -> str:
+    """Rows of Markdown tables, source(key, caption, body), as arrays of cells; separator rows are left out."""
+    lines = d.explode(source or rows(d, "t_id, caption, body", TABLES), f"{key}, caption", d.split("body", "\n" if d.name == "duck" else r"\n"), "line_no", "line")
     stripped = d.strip("line")
     inner = d.replace(d.replace(stripped, r"^\|+|\|+$", "''"), r"\\\|", "chr(1)")
     cells = d.each(d.split(inner, r"\|"), "c", f"replace({d.strip('c')}, chr(1), '|')")
     separator = f"NOT {d.any('cells', 'c', 'c <> \'\' AND NOT ' + d.matches('c', '^:?-{2,}:?$'))}"
-    return f"SELECT t_id, caption, line_no, cells FROM (SELECT t_id, caption, line_no, {cells} AS cells FROM ({lines}) l_ WHERE {stripped} LIKE '|%') c_ WHERE NOT ({separator})"
+    return f"SELECT {key}, caption, line_no, cells FROM (SELECT {key}, caption, line_no, {cells} AS cells FROM ({lines}) l_ WHERE {stripped} LIKE '|%') c_ WHERE NOT ({separator})"
 
 
 @query
@@ -50,23 +50,32 @@ def markdown_rows(d: Dialect) -> str:
     return f"SELECT t_id, row_number() OVER (PARTITION BY t_id ORDER BY line_no) AS row_no, {d.join('cells', chr(39) + ';' + chr(39))} AS cells FROM ({table_cells(d)}) t_"
 
 
-@query
-def table_row_groups(d: Dialect) -> str:
-    """Groups of eight body rows as `header: value` text with a label that names the rows."""
-    numbered = f"SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY line_no) - 1 AS n FROM ({table_cells(d)}) c_"
+def row_groups(d: Dialect, source: str | None = None, key: str = "t_id") -> str:
+    """Groups of eight body rows as `header: value` text with a label that names the rows, and as Markdown (md)."""
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line_no) - 1 AS n FROM ({table_cells(d, source, key)}) c_"
     pair = d.join(
         d.keep(d.each(d.steps("0", f"least({d.size('h.cells')}, {d.size('b.cells')}) - 1", "1"), "i", f"CASE WHEN {d.at('b.cells', 'CAST(i AS INT)')} <> '' THEN {d.at('h.cells', 'CAST(i AS INT)')} || ': ' || {d.at('b.cells', 'CAST(i AS INT)')} ELSE '' END"), "p", "p <> ''"),
         "'; '",
     )
-    body = f"SELECT b.t_id, b.caption, b.n, {d.div('b.n - 1', str(W.TABLE_ROWS))} AS grp, {pair} AS said, {d.join(d.keep('h.cells', 'c', 'c <> \'\''), chr(39) + ', ' + chr(39))} AS columns_, count(*) OVER (PARTITION BY b.t_id) AS total FROM n_ b JOIN n_ h ON b.t_id = h.t_id AND h.n = 0 WHERE b.n > 0"
-    joined = "array_join(transform(array_sort(collect_list(struct(n, said))), x -> x.said), ' | ')" if d.name == "spark" else "string_agg(said, ' | ' ORDER BY n)"
+    same = " AND ".join(f"b.{k} = h.{k}" for k in key.split(", "))
+    keys = ", ".join(f"b.{k}" for k in key.split(", "))
+    body = f"SELECT {keys}, b.caption, b.n, {d.div('b.n - 1', str(W.TABLE_ROWS))} AS grp, h.cells AS head, b.cells AS cells, {pair} AS said, {d.join(d.keep('h.cells', 'c', 'c <> \'\''), chr(39) + ', ' + chr(39))} AS columns_, count(*) OVER (PARTITION BY {keys}) AS total FROM n_ b JOIN n_ h ON {same} AND h.n = 0 WHERE b.n > 0"
+    wide = f"SELECT *, max(greatest({d.size('head')}, {d.size('cells')})) OVER (PARTITION BY {key}, grp) AS wide FROM b_"
+    shown = lambda c: f"'| ' || {d.join(d.each(c, 'c', f'replace(c, {d.text(chr(124))}, {d.text(chr(92) + chr(124))})'), chr(39) + ' | ' + chr(39))} || repeat(' | ', CAST(wide - {d.size(c)} AS INT)) || ' |'"
     return (
-        f"WITH n_ AS ({numbered}), b_ AS ({body}) SELECT t_id, CAST(grp AS INT) AS grp, CASE WHEN max(caption) <> '' THEN 'Table: ' || max(caption) || '.' ELSE 'Table.' END || "
+        f"WITH n_ AS ({numbered}), b_ AS ({body}), w_ AS (SELECT *, {shown('head')} AS top_line, {shown('cells')} AS line FROM ({wide}) v_) "
+        f"SELECT {key}, CAST(grp AS INT) AS grp, CASE WHEN max(caption) <> '' THEN 'Table: ' || max(caption) || '.' ELSE 'Table.' END || "
         f"CASE WHEN max(total) > {W.TABLE_ROWS} THEN ' (rows ' || CAST(min(n) AS VARCHAR(9)) || '-' || CAST(max(n) AS VARCHAR(9)) || ' of ' || CAST(max(total) AS VARCHAR(9)) || ')' ELSE '' END || "
-        f"' Columns: ' || max(columns_) || '. ' || {joined} AS text FROM b_ GROUP BY t_id, grp"
+        f"' Columns: ' || max(columns_) || '. ' || {d.gathered('said', 'n', chr(39) + ' | ' + chr(39))} AS text, "
+        f"max(top_line) || {d.newline()} || '|' || repeat('---|', CAST(max(wide) AS INT)) || {d.newline()} || {d.gathered('line', 'n', d.newline())} AS md FROM w_ GROUP BY {key}, grp"
     )
 
 
+@query
+def table_row_groups(d: Dialect) -> str:
+    return f"SELECT t_id, grp, text, md FROM ({row_groups(d)}) g_"
+
+
 LINES = [(1, "E = mc^2"), (2, "\\frac{a}{b}"), (3, "The cost is 5"), (4, "y = f(x) * (a / b)"), (5, "a ≤ b ≥ c"), (6, "=="), (7, "important statement = nothing (whatever) happens (here) always")]
 
 
@@ -90,20 +99,41 @@ def formula_match(d: Dialect) -> str:
     )
 
 
-BLOCKS = [(1, 0, "text", 0, "Intro"), (1, 1, "image", 0, None), (1, 2, "text", 0, "Figure 1: a house"), (1, 3, "text", 1, "Table 2. Costs"), (1, 4, "table", 1, None), (1, 5, "text", 1, "After"), (2, 0, "image", 0, None), (2, 1, "text", 1, "Figure 9 elsewhere")]
+BLOCKS = [(1, 0, "text", 0, "Intro"), (1, 1, "image", 0, None), (1, 2, "text", 0, "Figure 1: a house"), (1, 3, "text", 1, "Table 2. Costs"), (1, 4, "table", 1, None), (1, 5, "text", 1, "After"), (2, 0, "image", 0, None), (2, 1, "text", 1, "Figure 9 elsewhere"),
+          (3, 0, "image", 0, None), (3, 1, "text", 0, "Figure 1. First"), (3, 2, "image", 0, None), (3, 3, "text", 0, "Figure 2. Second"), (3, 4, "image", 0, None), (3, 5, "text", 0, "Other")]
+
+
+# How a caption begins.
+FIGURE = r"(?i)^\s*(figure|fig\.?|chart|diagram|graph|image|photo|चित्र|नक्सा|ग्राफ)\s*[\dIVXivx]+[\.\:\-–)]?"
+TABLE_NAME = r"(?i)^\s*(table|तालिका)\s*[\dIVXivx]+[\.\:\-–)]?"
+
+
+def captions(d: Dialect, source: str) -> str:
+    """(doc_id, idx, taken, caption) of source(doc_id, idx, type, page, body): the text at idx taken names the block at idx.
+
+    A figure asks the block below it first, a table the one above. In order of the blocks a text goes to the first that asks
+    for it; only blocks two apart can ask for one text, so each run of such blocks is decided alone.
+    """
+    near = lambda fn: f"CASE WHEN {fn}(type) OVER w = 'text' AND {fn}(page) OVER w = page THEN {fn}(body) OVER w END AS {fn}_body, {fn}(idx) OVER w AS {fn}_idx"
+    fits = lambda c: f"length({c}) <= 250 AND CASE WHEN type = 'image' THEN {d.matches(c, FIGURE)} ELSE {d.matches(c, TABLE_NAME)} END"
+    around = f"SELECT * FROM (SELECT *, {near('lead')}, {near('lag')}, row_number() OVER w AS nth_ FROM {source} b_ WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) n_ WHERE type IN ('image', 'table')"
+    asking = (
+        f"SELECT doc_id, nth_, idx, CASE WHEN type = 'image' THEN 1 ELSE 2 END AS choice, lead_idx AS taken, lead_body AS said FROM ar_ WHERE {fits('lead_body')} "
+        f"UNION ALL SELECT doc_id, nth_, idx, CASE WHEN type = 'image' THEN 2 ELSE 1 END, lag_idx, lag_body FROM ar_ WHERE {fits('lag_body')}"
+    )
+    apart = "SELECT *, CASE WHEN nth_ - lag(nth_) OVER (PARTITION BY doc_id ORDER BY nth_, choice) <= 2 THEN 0 ELSE 1 END AS opens FROM as_"
+    runs = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY nth_, choice) AS run FROM ({apart}) p_"
+    listed = f"SELECT doc_id, run, {d.collect(d.struct('nth_', 'choice', 'idx', 'taken', 'said'), 'nth_, choice')} AS every FROM ({runs}) r_ GROUP BY doc_id, run"
+    chosen = d.choose("every", f"NOT {d.any('$c', 'o', 'o.idx = $x.idx OR o.taken = $x.taken')}")
+    out = d.explode(f"(SELECT doc_id, {chosen} AS chosen FROM ({listed}) l_) c_", "doc_id", "chosen", "spot", "o")
+    return f"WITH ar_ AS ({around}), as_ AS ({asking}) SELECT doc_id, o.idx AS idx, o.taken AS taken, {d.strip('o.said')} AS caption FROM ({out}) e_"
 
 
 @query
 def caption_attachment(d: Dialect) -> str:
-    """Each figure or table with the neighbouring text that names it, where no two claim the same text."""
-    figure = r"(?i)^\s*(figure|fig\.?|chart|diagram|graph|image|photo|चित्र|नक्सा|ग्राफ)\s*[\dIVXivx]+[\.\:\-–)]?"
-    tab = r"(?i)^\s*(table|तालिका)\s*[\dIVXivx]+[\.\:\-–)]?"
-    near = lambda fn: f"CASE WHEN {fn}(type) OVER w = 'text' AND {fn}(page) OVER w = page THEN {fn}(body) OVER w END"
-    fits = lambda c, r: f"CASE WHEN length({c}) <= 250 AND {d.matches(c, r)} THEN {c} END"
-    return (
-        f"SELECT doc_id, idx, type, CASE WHEN type = 'image' THEN coalesce({fits('below', figure)}, {fits('above', figure)}) ELSE coalesce({fits('above', tab)}, {fits('below', tab)}) END AS caption "
-        f"FROM (SELECT *, {near('lead')} AS below, {near('lag')} AS above FROM {rows(d, 'doc_id, idx, type, page, body', BLOCKS)} b_ WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) n_ WHERE type <> 'text'"
-    )
+    """Each figure or table with the text that names it."""
+    source = rows(d, "doc_id, idx, type, page, body", BLOCKS)
+    return f"SELECT b.doc_id, b.idx, b.type, c.caption, c.taken FROM {source} b LEFT JOIN ({captions(d, source)}) c ON b.doc_id = c.doc_id AND b.idx = c.idx WHERE b.type <> 'text'"
 
 
 @query
@@ -121,8 +151,7 @@ PAGES = [(1, p) for p in (0, 1, 2, 4, 8, 9)] + [(2, 5)]
 def page_ranges(d: Dialect) -> str:
     said = "CASE WHEN min(page) = max(page) THEN CAST(min(page) + 1 AS VARCHAR(9)) ELSE CAST(min(page) + 1 AS VARCHAR(9)) || '-' || CAST(max(page) + 1 AS VARCHAR(9)) END"
     islands = f"SELECT doc_id, min(page) AS p, {said} AS said FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS island FROM {rows(d, 'doc_id, page', PAGES)} p_) i_ GROUP BY doc_id, island"
-    joined = "array_join(transform(array_sort(collect_list(struct(p, said))), x -> x.said), ', ')" if d.name == "spark" else "string_agg(said, ', ' ORDER BY p)"
-    return f"SELECT doc_id, {joined} AS pages FROM ({islands}) s_ GROUP BY doc_id"
+    return f"SELECT doc_id, {d.gathered('said', 'p', chr(39) + ', ' + chr(39))} AS pages FROM ({islands}) s_ GROUP BY doc_id"
 
 
 @query
@@ -151,8 +180,7 @@ WORDS = [(1, 1, 1, 10, 50, "Hello"), (1, 1, 2, 12, 60, "world"), (1, 2, 1, 40, 9
 @query
 def scanned_paragraphs(d: Dialect) -> str:
     """Recognised words, grouped into paragraphs with their place on the page."""
-    joined = "array_join(transform(array_sort(collect_list(struct(n, word))), x -> x.word), ' ')" if d.name == "spark" else "string_agg(word, ' ' ORDER BY n)"
-    return f"SELECT block, par, min(top_) AS top_, {joined} AS text FROM {rows(d, 'block, par, n, top_, conf, word', WORDS)} w_ WHERE conf >= 0 AND word <> '' GROUP BY block, par"
+    return f"SELECT block, par, min(top_) AS top_, {d.gathered('word', 'n', chr(39) + ' ' + chr(39))} AS text FROM {rows(d, 'block, par, n, top_, conf, word', WORDS)} w_ WHERE conf >= 0 AND word <> '' GROUP BY block, par"
 
 
 BOXES = [(1, 0, 0, 10, 10), (2, 20, 20, 80, 90)]
@@ -166,14 +194,19 @@ def outside_boxes(d: Dialect) -> str:
     return f"SELECT g.g_id FROM {rows(d, 'g_id, x0, y0, x1, y1', GLYPHS)} g LEFT JOIN {rows(d, 'b_id, bx0, by0, bx1, by1', BOXES)} b ON {inside} WHERE b.b_id IS NULL"
 
 
-@query
-def modal_answers(d: Dialect) -> str:
-    made = [(1, "table", 0, 2, "Budget", "| A |", ""), (2, "equation", 3, 5, "", "E=mc^2", ""), (3, "image", 0, 1, "A house", "", "red"), (4, "image", 0, 1, "", "", "")]
+def modal_text(d: Dialect) -> str:
+    """What is shown of an item that isn't text: of type, page, pages, caption, raw, description, chunk."""
     nl = f"{d.newline()} || {d.newline()}"
     page = "CASE WHEN pages > 1 THEN ' (page ' || CAST(page + 1 AS VARCHAR(9)) || ')' ELSE '' END"
     return (
-        f"SELECT m_id, CASE type WHEN 'table' THEN '**Table**' || {page} || CASE WHEN caption <> '' THEN ': ' || caption ELSE '' END || {nl} || raw "
+        f"CASE type WHEN 'table' THEN '**Table**' || {page} || CASE WHEN caption <> '' THEN ': ' || caption ELSE '' END || {nl} || raw "
         f"WHEN 'equation' THEN '**Equation**' || {page} || {nl} || '```' || {d.newline()} || raw || {d.newline()} || '```' "
         f"ELSE '**Figure**' || {page} || CASE WHEN caption <> '' THEN {nl} || caption ELSE '' END || CASE WHEN description <> '' THEN {nl} || description ELSE '' END || "
-        f"CASE WHEN caption = '' AND description = '' THEN {nl} || 'chunk' ELSE '' END END AS answer FROM {rows(d, 'm_id, type, page, pages, caption, raw, description', made)} a_"
+        f"CASE WHEN caption = '' AND description = '' THEN {nl} || left(chunk, 300) ELSE '' END END"
     )
+
+
+@query
+def modal_answers(d: Dialect) -> str:
+    made = [(1, "table", 0, 2, "Budget", "| A |", ""), (2, "equation", 3, 5, "", "E=mc^2", ""), (3, "image", 0, 1, "A house", "", "red"), (4, "image", 0, 1, "", "", "")]
+    return f"SELECT m_id, {modal_text(d)} AS answer FROM (SELECT *, 'chunk' AS chunk FROM {rows(d, 'm_id, type, page, pages, caption, raw, description', made)} r_) a_"

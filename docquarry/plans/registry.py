@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions.dialect import DUCK, SPARK
-from docquarry.plans import catalog, fixtures
-from docquarry.plans.relations import duck_sql, statement
+from docquarry.plans import answers, catalog, fixtures, mixed
+from docquarry.plans.relations import duck_sql, kept
 
-BUILDERS = catalog.QUERIES | fixtures.QUERIES
+BUILDERS = catalog.QUERIES | answers.QUERIES | fixtures.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, b=build: statement(spark, sf_dir, b(SPARK)) for name, build in BUILDERS.items()}
+    over_documents = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir).statement(b(SPARK)) for name, build in BUILDERS.items()}
+    over_blocks = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "mixed", mixed.MIXED).statement(b(SPARK)) for name, build in mixed.QUERIES.items()}
+    return over_documents | over_blocks
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()}
+    return {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()} | {name: duck_sql(build(DUCK), mixed.MIXED) for name, build in mixed.QUERIES.items()}

@@ -34,8 +34,55 @@ def relation(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return build
 
 
-_KEPT: dict[tuple[str, str], dict[str, DataFrame]] = {}
-_FOLDERS: dict[str, str] = {}
+class Corpus:
+    """The relations over one set of tables: the driver's, those of a deployment, or blocks of parsed files.
+
+    sf_dir holds the tables as Parquet. changed maps names of relations or tables to statements that take their place
+    (plans.mixed.OVER_BLOCKS: items made of @blocks@), given maps names to DataFrames that stand for them.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, changed: dict[str, Callable[[Dialect], str]] | None = None, **given: DataFrame) -> None:
+        self.spark, self.sf_dir, self.relations = spark, sf_dir, RELATIONS | (changed or {})
+        self._made: dict[str, DataFrame] = dict(given)
+        self._folder: str | None = None
+
+    def frame(self, name: str) -> DataFrame:
+        """The relation as a DataFrame."""
+        if name not in self._made:
+            if name not in self.relations:
+                return self._table(name)
+            scan = dense_scan.SCANS.get(name)
+            if scan is None:
+                df = self.statement(self.relations[name](SPARK))
+            else:
+                df = scan(self.frame("vecs"), self.frame("question_vecs"), W.CANDIDATES)
+            if name in STORED:
+                self._folder = self._folder or store.working_folder(self.spark)
+                path = f"{self._folder}/{uuid.uuid4().hex}/{name}"
+                df.write.parquet(path)
+                df = self.spark.read.parquet(path)
+            self._made[name] = df
+        return self._made[name]
+
+    def _table(self, name: str) -> DataFrame:
+        read = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # a table in fewer splits than cores is dealt out before the work on its texts; larger ones stay as they are
+        return read.repartition(cores) if name == "documents" and read.rdd.getNumPartitions() < cores else read
+
+    def statement(self, sql: str) -> DataFrame:
+        """A statement over relations."""
+        mark = uuid.uuid4().hex[:12]
+        names = sorted(set(REFERENCE.findall(sql)))
+        for name in names:
+            self.frame(name).createOrReplaceTempView(f"{name}_{mark}")
+        out = self.spark.sql(REFERENCE.sub(lambda m: f"{m[1]}_{mark}", sql))
+        for name in names:
+            self.spark.catalog.dropTempView(f"{name}_{mark}")
+        return out
+
+
+_KEPT: dict[tuple[str, str, str], Corpus] = {}
 
 
 def release() -> None:
@@ -43,55 +90,29 @@ def release() -> None:
     _KEPT.clear()
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The relation as a DataFrame."""
-    application = spark.sparkContext.applicationId
-    made = _KEPT.setdefault((application, sf_dir), {})
-    if name not in RELATIONS:
-        read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        # a table in fewer splits than cores is dealt out before the work on its texts; larger ones stay as they are
-        return read.repartition(cores) if name == "documents" and read.rdd.getNumPartitions() < cores else read
-    if name not in made:
-        scan = dense_scan.SCANS.get(name)
-        if scan is None:
-            df = statement(spark, sf_dir, RELATIONS[name](SPARK))
-        else:
-            df = scan(frame(spark, sf_dir, "vecs"), frame(spark, sf_dir, "question_vecs"), W.CANDIDATES)
-        if name in STORED:
-            if application not in _FOLDERS:
-                _FOLDERS[application] = store.working_folder(spark)
-            path = f"{_FOLDERS[application]}/{uuid.uuid4().hex}/{name}"
-            df.write.parquet(path)
-            df = spark.read.parquet(path)
-        made[name] = df
-    return made[name]
-
-
-def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    mark = uuid.uuid4().hex[:12]
-    for name in sorted(set(REFERENCE.findall(sql))):
-        frame(spark, sf_dir, name).createOrReplaceTempView(f"{name}_{mark}")
-    out = spark.sql(REFERENCE.sub(lambda m: f"{m[1]}_{mark}", sql))
-    for name in set(REFERENCE.findall(sql)):
-        spark.catalog.dropTempView(f"{name}_{mark}")
-    return out
-
-
-def duck_sql(sql: str) -> str:
+def kept(spark: SparkSession, sf_dir: str, label: str = "", changed: dict[str, Callable[[Dialect], str]] | None = None) -> Corpus:
+    """The session's corpus over the tables in sf_dir; a label for each set of changed relations."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _KEPT:
+        _KEPT[key] = Corpus(spark, sf_dir, changed)
+    return _KEPT[key]
+
+
+def duck_sql(sql: str, changed: dict[str, Callable[[Dialect], str]] | None = None) -> str:
     """A statement over relations as one statement for DuckDB."""
+    relations = RELATIONS | (changed or {})
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in REFERENCE.findall(text):
-            if name in RELATIONS and name not in order:
-                need(RELATIONS[name](DUCK))
+            if name in relations and name not in order:
+                need(relations[name](DUCK))
                 if name not in order:
                     order.append(name)
 
     need(sql)
     plain = lambda text: REFERENCE.sub(r"\1", text)
-    parts = [f"{n} AS MATERIALIZED ({plain(RELATIONS[n](DUCK))})" for n in order]
+    parts = [f"{n} AS MATERIALIZED ({plain(relations[n](DUCK))})" for n in order]
     body = f"SELECT * FROM ({plain(sql)}) result_" if sql.lstrip().upper().startswith("WITH") else plain(sql)
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
@@ -111,7 +132,7 @@ def sentences(d: Dialect) -> str:
 
 @relation
 def items(d: Dialect) -> str:
-    return f"SELECT doc_id, filename, CAST(idx AS INT) AS idx, 'text' AS type, 0 AS page, CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS section, chunk FROM ({d.explode('@docs@', 'doc_id, filename', d.chunks('content'), 'idx', 'chunk')}) x_"
+    return f"SELECT doc_id, filename, CAST(idx AS INT) AS idx, 'text' AS type, 0 AS page, CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS section, chunk, '' AS caption, '' AS raw, '' AS description FROM ({d.explode('@docs@', 'doc_id, filename', d.chunks('content'), 'idx', 'chunk')}) x_"
 
 
 @relation
@@ -387,17 +408,32 @@ def best_sentences(d: Dialect) -> str:
 
 
 @relation
-def decisions(d: Dialect) -> str:
-    """First match wins: formula, summary, generic, not found, answer (before ambiguity is looked at)."""
+def asked_formulas(d: Dialect) -> str:
+    """(qid, formula): what of a question looks like a formula, for those that hold one."""
     pieces = d.split("replace(question, '?', ' ')", r"\s+")
     formula = d.join(d.keep(pieces, "t", f"length(t) > 0 AND NOT {d.matches('t', '^\\p{L}{2,}$')}"), "' '")
+    return f"SELECT qid, formula FROM (SELECT qid, {formula} AS formula FROM @questions@) f_ WHERE formula LIKE '%=%' AND length(replace(formula, ' ', '')) >= 3"
+
+
+@relation
+def formula_hits(d: Dialect) -> str:
+    """(qid, doc_id, idx): the first equation that holds the formula asked for. Only questions with a formula are sent round."""
+    plain = lambda c: f"lower({d.replace(c, r'\s+', chr(39) * 2)})"
+    return (
+        "SELECT qid, doc_id, idx FROM (SELECT q.qid, e.doc_id, e.idx, row_number() OVER (PARTITION BY q.qid ORDER BY e.doc_id, e.idx) AS r "
+        f"FROM (SELECT qid, {plain('formula')} AS asked FROM @asked_formulas@) q JOIN (SELECT doc_id, idx, {plain('raw')} AS said FROM @items@ WHERE type = 'equation') e ON position(q.asked IN e.said) > 0) m_ WHERE r = 1"
+    )
+
+
+@relation
+def decisions(d: Dialect) -> str:
+    """First match wins: formula, summary, generic, not found, ambiguous, answer. A formula that no equation holds isn't found."""
     summary = d.any("q.words", "t", f"t IN ({quoted(W.SUMMARY)})")
-    bare = "replace(f.formula, ' ', '')"
     return (
-        f"SELECT q.qid, CASE WHEN f.formula LIKE '%=%' AND length({bare}) >= 3 THEN 'formula' WHEN {summary} AND {d.size('q.terms')} = 0 THEN 'summary' "
-        f"WHEN {d.size('q.terms')} = 0 THEN 'generic' WHEN NOT g.supported THEN 'not_found' ELSE 'answer' END AS route, "
+        f"SELECT q.qid, CASE WHEN f.qid IS NOT NULL AND h.qid IS NOT NULL THEN 'formula' WHEN f.qid IS NOT NULL THEN 'not_found' WHEN {summary} AND {d.size('q.terms')} = 0 THEN 'summary' "
+        f"WHEN {d.size('q.terms')} = 0 THEN 'generic' WHEN NOT g.supported THEN 'not_found' WHEN a.qid IS NOT NULL THEN 'ambiguous' ELSE 'answer' END AS route, "
         f"CASE WHEN {d.matches('q.question', '[\\x{0900}-\\x{097F}]')} THEN 'ne' ELSE 'en' END AS lang, g.confidence "
-        f"FROM @questions@ q JOIN (SELECT qid, {formula} AS formula FROM @questions@) f ON q.qid = f.qid JOIN @gate@ g ON q.qid = g.qid"
+        "FROM @questions@ q LEFT JOIN @asked_formulas@ f ON q.qid = f.qid LEFT JOIN @formula_hits@ h ON q.qid = h.qid JOIN @gate@ g ON q.qid = g.qid LEFT JOIN (SELECT DISTINCT qid FROM @ambiguous@) a ON q.qid = a.qid"
     )
 
 

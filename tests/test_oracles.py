@@ -8,7 +8,7 @@ from oracle import differences
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = "sentences chunks token_df stems corpus_stats entity_tf entity_top8 top_entities local_scores markdown_rows caption_attachment page_ranges".split()
+SOME = "sentences chunks token_df stems corpus_stats document_list entity_tf entity_top8 top_entities local_scores markdown_rows table_row_groups caption_attachment modal_answers page_ranges document_summaries".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
