@@ -11,6 +11,7 @@ from docquarry.llm.common import table
 from docquarry.llm.license_scan import license_scan, license_scan_sql
 from docquarry.llm.line_dedup import line_dedup_report, line_dedup_sql
 from docquarry.llm.mixing import mix_documents, mix_sql
+from docquarry.llm.scaled_sketch import document_fingerprints, fingerprints_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
 from docquarry.llm.substring_dedup import repeated_passages
@@ -59,6 +60,10 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_vp_tree": op9_vp_tree,
     "op10_tiff_pages": op10_tiff_pages,
+    "op11_scaled_sketch": op11_scaled_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mix": mix_sql(),
     "op6_license_scan": license_scan_sql(),
     "op7_sharding": shard_sql(),
+    "op11_scaled_sketch": fingerprints_sql(),
 }
