@@ -122,3 +122,10 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
 def key_fraction(hex_key: Column) -> Column:
     """The first 52 bits of a hex key as a double in [0, 1)."""
     return F.conv(F.substring(hex_key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text as an unsigned number in DuckDB, which has no such function: bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c_: list_transform(range(0, 8), lambda b_: (ascii(c_) >> b_) & 1)))"
+    step = "xor(r_ >> 1, CASE WHEN (r_ + m_) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_transform({bits}, lambda v_: v_::BIGINT), lambda r_, m_: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"

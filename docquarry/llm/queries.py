@@ -11,6 +11,8 @@ from docquarry.llm.common import table
 from docquarry.llm.license_scan import license_scan, license_scan_sql
 from docquarry.llm.line_dedup import line_dedup_report, line_dedup_sql
 from docquarry.llm.mixing import mix_documents, mix_sql
+from docquarry.llm.periodic_runs import run_digests, run_digests_sql
+from docquarry.llm.prefix_trie import conversation_trie, trie_sql
 from docquarry.llm.scaled_sketch import document_fingerprints, fingerprints_sql
 from docquarry.llm.sharding import shard_documents, shard_sql
 from docquarry.llm.simhash import near_duplicates
@@ -64,6 +66,14 @@ def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vp_tree": op9_vp_tree,
     "op10_tiff_pages": op10_tiff_pages,
     "op11_scaled_sketch": op11_scaled_sketch,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +96,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan_sql(),
     "op7_sharding": shard_sql(),
     "op11_scaled_sketch": fingerprints_sql(),
+    "op12_prefix_trie": trie_sql(),
+    "op13_periodic_runs": run_digests_sql(),
 }
