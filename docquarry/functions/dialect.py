@@ -53,6 +53,10 @@ class Dialect:
     def holds(self, items: str, item: str) -> str:
         return f"list_contains({items}, {item})"
 
+    def overlap(self, a: str, b: str) -> str:
+        """Whether two arrays without nulls share an item."""
+        return f"list_has_any({a}, {b})"
+
     def without(self, items: str, others: str) -> str:
         return f"list_filter({items}, lambda w_: NOT list_contains({others}, w_))"
 
@@ -184,6 +188,22 @@ class Dialect:
             f"OR ({short} >= 4 AND {gap} <= 4 AND left({a}, {k}) = left({b}, {k})))"
         )
 
+    def match_keys(self, word: str) -> str:
+        """Beginnings of a word, of which two words that token_match accepts have one in common.
+
+        A word that is the beginning of the other is cut by 3 characters at most; words that share four fifths of the
+        shorter one, whose length is within 4 of the word's own, share a beginning of one of the lengths here.
+        """
+        n = f"length({word})"
+        cut = self.keep(self.each(self.steps("0", "3", "1"), "c", f"{n} - c"), "j", f"j >= 3 OR j = {n}")
+        fifths = self.each(self.keep(self.each(self.steps("0", "4", "1"), "c", f"{n} - c"), "s", "s >= 4"), "s", f"greatest(4, {self.div('s * 4', '5')})")
+        return self.distinct(self.each(self.concat(cut, fifths), "j", f"left({word}, CAST(j AS INT))"))
+
+    def covered(self, near: str, n_terms: str, tokens: str) -> str:
+        """coverage by lists, one a term, of the tokens that match it."""
+        hit = self.size(self.keep(near, "m", self.overlap("m", tokens)))
+        return f"(CASE WHEN {n_terms} = 0 OR {near} IS NULL THEN 0.0 ELSE CAST({hit} AS DOUBLE) / {n_terms} END)"
+
     def coverage(self, terms: str, tokens: str) -> str:
         hit = self.size(self.keep(terms, "q", self.any(tokens, "t", self.token_match("q", "t"))))
         return f"(CASE WHEN {self.size(terms)} = 0 THEN 0.0 ELSE CAST({hit} AS DOUBLE) / {self.size(terms)} END)"
@@ -258,6 +278,9 @@ class SparkDialect(Dialect):
     def holds(self, items: str, item: str) -> str:
         return f"array_contains({items}, {item})"
 
+    def overlap(self, a: str, b: str) -> str:
+        return f"arrays_overlap({a}, {b})"
+
     def without(self, items: str, others: str) -> str:
         return f"array_except({items}, {others})"
 

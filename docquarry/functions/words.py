@@ -38,6 +38,7 @@ DENSE_WEIGHT, WORD_WEIGHT = 0.8, 0.2
 Z_STRONG, Z_LEAST, Z_ALONE = 3.0, 1.5, 4.0
 COVER_GOOD, COVER_SOME, SMALL_CORPUS = 0.5, 0.2, 10
 AMBIGUOUS_RATIO, AMBIGUOUS_TERMS, OPTIONS = 0.8, 2, 4
+FEW_DOCUMENTS, LISTED_DOCUMENTS, SUMMARY_LINES = 3, 8, 6
 TABLE_ROWS = 8
 CONTEXT_CHARS = 300
 
@@ -59,4 +60,9 @@ MESSAGES = {
         "en": "I couldn't find an answer to that in your documents. Try rephrasing, or pick a topic they cover:",
         "ne": "तपाईंका कागजातहरूमा यस प्रश्नको जवाफ फेला परेन। फरक तरिकाले सोध्नुहोस्, वा कागजातमा भएको विषय छान्नुहोस्:",
     },
+    "no_documents": {
+        "en": "No matching documents.",
+        "ne": "No matching documents.",
+    },
 }
+SUMMARY_TITLE = {"en": "Main points of", "ne": "मुख्य बुँदाहरू:"}

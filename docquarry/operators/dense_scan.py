@@ -1,8 +1,12 @@
-"""The exhaustive scan: every question against every item, without a table of all pairs.
+"""The exhaustive scan: every question against every item of its scope, without a table of all pairs.
 
-Vectors of items stream through as Arrow batches; each batch is one matrix product with a block of questions, of which
-only the block's nearest rows and its moments leave the task. What is shuffled grows with batches times questions, not
-with items times questions. Questions travel in blocks of BLOCK rows, so what a task holds has a fixed size.
+Vectors of items stream through as Arrow batches; each batch is one matrix product with a block of questions. A task keeps
+the nearest items so far and the moments of each question, and hands them over once, at its end: what is shuffled grows
+with tasks times questions, not with items times questions. Questions travel in blocks of BLOCK rows, so what a task holds
+has a fixed size.
+
+A question may have a scope, a set of documents that it is asked of. Each distinct scope of a block is a bit of the
+documents in it; the product is masked by the bits of the question's scope. A question without a scope is asked of all.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Questions to a block: a block of vectors is broadcast, so this bounds what is sent. More questions make more scans.
 BLOCK = 4_096
+#: Items to a matrix product.
+STEP = 2_048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -23,66 +29,140 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _blocks(questions: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids, vectors, norms) of at most BLOCK questions at a time, in the order of their ids."""
+def _blocks(questions: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
+    """(ids, vectors, norms, scopes) of at most BLOCK questions at a time, in the order of their ids."""
+    scope = F.col("scope") if "scope" in questions.columns else F.lit(None).cast("string")
     held: list = []
-    for row in questions.select("qid", "qv", "qnorm2").orderBy("qid").toLocalIterator():
+
+    def block() -> tuple[list, np.ndarray, np.ndarray, list]:
+        return [r[0] for r in held], np.array([r[1] for r in held], np.float64), np.sqrt(np.array([r[2] for r in held], np.float64)), [r[3] for r in held]
+
+    for row in questions.select("qid", "qv", "qnorm2", scope.alias("scope")).orderBy("qid").toLocalIterator():
         held.append(row)
         if len(held) == BLOCK:
-            yield [r[0] for r in held], np.array([r[1] for r in held], np.float64), np.sqrt(np.array([r[2] for r in held], np.float64))
+            yield block()
             held = []
     if held:
-        yield [r[0] for r in held], np.array([r[1] for r in held], np.float64), np.sqrt(np.array([r[2] for r in held], np.float64))
+        yield block()
+
 
+def _with_bits(items: DataFrame, scopes: list, members: DataFrame | None) -> DataFrame:
+    """items with bits: the numbers, from 1, of those of the scopes (at most BLOCK) that hold the item's document."""
+    if not scopes or members is None:
+        return items.select("doc_id", "idx", "v", "norm2", F.lit(None).cast("array<int>").alias("bits"))
+    numbered = items.sparkSession.createDataFrame([(s, n + 1) for n, s in enumerate(scopes)], "scope string, bit int")
+    of_docs = members.join(F.broadcast(numbered), "scope").groupBy("doc_id").agg(F.collect_set("bit").alias("bits"))
+    return items.join(of_docs, "doc_id", "left").select("doc_id", "idx", "v", "norm2", "bits")
 
-def _scan(items: DataFrame, questions: DataFrame, each, schema: str) -> DataFrame:
-    """What each(ids, scores, doc_id, idx) makes of the scores (questions by items) of every batch of items."""
+
+def _scan(items: DataFrame, questions: DataFrame, members: DataFrame | None, held, schema: str) -> DataFrame:
+    """What held(n questions) makes of all scores: it takes (scores, allowed, doc_id, idx) of a batch after the other and
+    gives (rows of questions, other columns) at the end of a task."""
     spark = items.sparkSession
     out = None
-    for ids, vectors, norms in _blocks(questions):
-        sent = spark.sparkContext.broadcast((np.asarray(ids), vectors, norms))
+    for ids, vectors, norms, scopes in _blocks(questions):
+        distinct = sorted({s for s in scopes if s is not None})
+        number = {s: n + 1 for n, s in enumerate(distinct)}
+        sent = spark.sparkContext.broadcast((np.asarray(ids), vectors, norms, np.array([number.get(s, 0) for s in scopes]), len(distinct)))
 
         def batches(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q, norm = sent.value
+            qid, q, norm, scope, n_scopes = sent.value
+            take, give = held(len(qid))
             for part in parts:
-                for at in range(0, part.num_rows, 2_048):
-                    some = part.slice(at, 2_048)
+                for at in range(0, part.num_rows, STEP):
+                    some = part.slice(at, STEP)
                     lengths = np.sqrt(some.column(3).to_numpy(zero_copy_only=False).astype(np.float64))
                     scores = (q @ _matrix(some.column(2)).T) / (norm[:, None] * lengths[None, :])
-                    yield each(qid, scores, some.column(0).to_numpy(zero_copy_only=False), some.column(1).to_numpy(zero_copy_only=False))
-
-        found = items.select("doc_id", "idx", "v", "norm2").mapInArrow(batches, schema)
+                    allowed = None
+                    if n_scopes:
+                        mask = np.zeros((n_scopes + 1, some.num_rows), bool)
+                        mask[0] = True
+                        counts = some.column(4).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                        mask[some.column(4).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(some.num_rows), counts)] = True
+                        allowed = mask[scope]
+                    take(scores, allowed, some.column(0).to_numpy(zero_copy_only=False), some.column(1).to_numpy(zero_copy_only=False))
+            rows, *columns = give()
+            if len(rows):
+                yield pa.record_batch([pa.array(c) for c in (qid[rows], *columns)], [f.split()[0] for f in schema.split(", ")])
+
+        found = _with_bits(items, distinct, members).mapInArrow(batches, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def top_dense(items: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, idx, dense, r): the k nearest items of each question, ties by doc_id and idx."""
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row, in any order; of equal ones at the edge those that come first."""
+    if scores.shape[1] <= k:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(scores, part, 1).min(axis=1)
+    tied = np.flatnonzero((scores >= edge[:, None]).sum(axis=1) > k)
+    part[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
+    return part
+
 
-    def nearest(qid: np.ndarray, scores: np.ndarray, doc_id: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((idx, doc_id))
-        scores, doc_id, idx = scores[:, order], doc_id[order], idx[order]
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        columns = [np.repeat(qid, best.shape[1]), doc_id[best].ravel(), idx[best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
-        return pa.record_batch([pa.array(c) for c in columns], ["qid", "doc_id", "idx", "dense"])
+def top_dense(items: DataFrame, questions: DataFrame, k: int, members: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, idx, dense, r): the k nearest items of each question, ties by doc_id and idx.
 
-    found = _scan(items, questions, nearest, "qid long, doc_id long, idx int, dense double")
+    members(scope, doc_id) says which documents a scope holds; a question whose scope holds none has no row.
+    """
+
+    def held(n: int):
+        best = [np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)]
+
+        def take(scores: np.ndarray, allowed: np.ndarray | None, doc_id: np.ndarray, idx: np.ndarray) -> None:
+            order = np.lexsort((idx, doc_id))
+            scores, doc_id, idx = scores[:, order], doc_id[order], idx[order]
+            if allowed is not None:
+                scores = np.where(allowed[:, order], scores, -np.inf)
+            some = _best(scores, k)
+            joined = [np.concatenate(p, axis=1) for p in zip(best, (np.take_along_axis(scores, some, 1), doc_id[some], idx[some]), strict=True)]
+            kept = np.lexsort((joined[2], joined[1], -joined[0]), axis=-1)[:, :k]
+            best[:] = [np.take_along_axis(x, kept, 1) for x in joined]
+
+        def give() -> tuple:
+            rows, columns = np.nonzero(np.isfinite(best[0]))
+            return rows, best[1][rows, columns], best[2][rows, columns].astype(np.int32), best[0][rows, columns]
+
+        return take, give
+
+    found = _scan(items, questions, members, held, "qid long, doc_id long, idx int, dense double")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("dense").desc(), "doc_id", "idx")))
     return ranked.where(F.col("r") <= k)
 
 
-def spread(items: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """(qid, n_items, top, z): how far the best score of a question stands out; z is null under 10 items or without spread.
+def spread(items: DataFrame, questions: DataFrame, k: int, members: DataFrame | None = None) -> DataFrame:
+    """(qid, n_items, top, z): how far the best score of a question stands out among those of its scope; z is null under
+    10 items or without spread.
 
     Count, mean and sum of squared deviations of each batch are merged, which doesn't lose digits as sums of squares would.
     """
 
-    def moments(qid: np.ndarray, scores: np.ndarray, doc_id: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
-        mean = scores.mean(axis=1)
-        columns = [qid, np.full(len(qid), scores.shape[1]), scores.max(axis=1), mean, ((scores - mean[:, None]) ** 2).sum(axis=1)]
-        return pa.record_batch([pa.array(c) for c in columns], ["qid", "n", "top", "mean", "m2"])
-
-    found = _scan(items, questions, moments, "qid long, n long, top double, mean double, m2 double")
+    def held(n: int):
+        seen, top, mean, m2 = np.zeros(n), np.full(n, -np.inf), np.zeros(n), np.zeros(n)
+
+        def take(scores: np.ndarray, allowed: np.ndarray | None, doc_id: np.ndarray, idx: np.ndarray) -> None:
+            if allowed is None:
+                more, own = np.full(n, float(scores.shape[1])), scores.mean(axis=1)
+                squares, most = ((scores - own[:, None]) ** 2).sum(axis=1), scores.max(axis=1)
+            else:
+                more = allowed.sum(axis=1).astype(np.float64)
+                own = np.where(allowed, scores, 0.0).sum(axis=1) / np.maximum(more, 1)
+                squares, most = (np.where(allowed, scores - own[:, None], 0.0) ** 2).sum(axis=1), np.where(allowed, scores, -np.inf).max(axis=1)
+            total = np.maximum(seen + more, 1)
+            gap = own - mean
+            m2[:] = m2 + squares + gap**2 * seen * more / total
+            mean[:] = mean + gap * more / total
+            seen[:] = seen + more
+            np.maximum(top, most, out=top)
+
+        def give() -> tuple:
+            rows = np.flatnonzero(seen)
+            return rows, seen[rows].astype(np.int64), top[rows], mean[rows], m2[rows]
+
+        return take, give
+
+    found = _scan(items, questions, members, held, "qid long, n long, top double, mean double, m2 double")
     every = Window.partitionBy("qid")
     centred = found.withColumn("mid", F.sum(F.col("n") * F.col("mean")).over(every) / F.sum("n").over(every))
     merged = centred.groupBy("qid").agg(

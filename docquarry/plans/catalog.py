@@ -32,6 +32,9 @@ _simple("item_projection", "SELECT doc_id, idx, type, page, left(chunk, 300) AS
 _simple("knn_top50", "SELECT qid, doc_id, idx, round(dense, 6) AS dense, CAST(r AS INT) AS r FROM @top_dense@")
 _simple("z_score", "SELECT qid, n_items, round(top, 6) AS top, round(z, 6) AS z FROM @spread@")
 _simple("keyword_overlap", "SELECT qid, doc_id, idx, overlap FROM @shared_words@")
+_simple("near_words", "SELECT term, token FROM @near_words@")
+_simple("fuzzy_coverage", "SELECT qid, doc_id, idx, round(CAST(matched AS DOUBLE) / n_terms, 6) AS coverage FROM @fuzzy_overlap@")
+_simple("top_overlap", "SELECT qid, doc_id, idx, overlap, CAST(r AS INT) AS place FROM @top_words@")
 _simple("candidates", "SELECT qid, doc_id, idx FROM @candidates@")
 _simple("keyword_coverage", "SELECT qid, doc_id, idx, round(coverage, 6) AS coverage FROM @hits@")
 _simple("hybrid_score", "SELECT qid, doc_id, idx, round(hybrid, 6) AS hybrid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(hybrid, 9) DESC, doc_id, idx) AS INT) AS place FROM @hits@")
@@ -122,14 +125,8 @@ def ambiguity_options(d: Dialect) -> str:
 
 @query
 def topic_options(d: Dialect) -> str:
-    """Four topics of the corpus: even spacing within documents, one depth after the other, no query twice."""
-    n = f"least({W.OPTIONS}, n)"
-    at = f"CAST(floor(CASE WHEN {n} <= 1 THEN 0 ELSE CAST(k AS DOUBLE) * (n - 1) / ({n} - 1) END) AS INT)"
-    picks = d.explode("(SELECT doc_id, count(*) AS n FROM @items@ GROUP BY doc_id) c_", "doc_id, n", d.steps("0", n + " - 1", "1"), "p", "k")
-    words = "array_join(transform(array_sort(collect_list(struct(w.r, w.token))), x -> x.token), ' ')" if d.name == "spark" else "string_agg(w.token, ' ' ORDER BY w.r)"
-    said = f"SELECT p.depth, p.doc_id, p.idx, {words} AS query FROM (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS depth FROM (SELECT DISTINCT doc_id, {at} AS idx FROM ({picks}) k_) d_) p JOIN @distinctive@ w ON p.doc_id = w.doc_id AND p.idx = w.idx GROUP BY p.depth, p.doc_id, p.idx"
-    first = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY depth, doc_id) AS nth FROM ({said}) s_"
-    return f"SELECT doc_id, idx, query FROM ({first}) f_ WHERE nth = 1 ORDER BY depth, doc_id LIMIT {W.OPTIONS}"
+    """Four topics of the corpus."""
+    return "SELECT doc_id, idx, query FROM @topics@ WHERE scope = '*'"
 
 
 @query
@@ -141,16 +138,10 @@ def first_profile_order(d: Dialect) -> str:
 
 @query
 def summary_picks(d: Dialect) -> str:
-    """The chunks of a summary, at even spacing, and their opening sentences cut to 220 characters."""
-    n = "least(6, n)"
-    at = f"CAST(floor(CASE WHEN {n} <= 1 THEN 0 ELSE CAST(k AS DOUBLE) * (n - 1) / ({n} - 1) END) AS INT)"
-    picks = d.explode("(SELECT doc_id, count(*) AS n FROM @items@ GROUP BY doc_id) c_", "doc_id, n", d.steps("0", n + " - 1", "1"), "p", "k")
-    firsts = d.at(d.keep(d.sentences("i.chunk"), "s", "length(s) >= 20"), "0")
-    plain = d.replace("line", r"\s+", "' '")
-    return (
-        f"SELECT doc_id, idx, CASE WHEN length({plain}) <= 220 THEN {plain} ELSE rtrim(left({plain}, 219)) || '…' END AS line FROM (SELECT i.doc_id, i.idx, {firsts} AS line FROM "
-        f"(SELECT DISTINCT doc_id, {at} AS idx FROM ({picks}) k_) p JOIN @items@ i ON p.doc_id = i.doc_id AND p.idx = i.idx) l_ WHERE line IS NOT NULL"
-    )
+    """The lines of each document's summary."""
+    from docquarry.plans import answers
+
+    return answers.summary_lines(d, "SELECT DISTINCT doc_id FROM @items@")
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions.dialect import DUCK, SPARK
-from docquarry.plans import answers, catalog, fixtures, mixed
+from docquarry.plans import answers, catalog, fixtures, mixed, scopes
 from docquarry.plans.relations import duck_sql, kept
 
 BUILDERS = catalog.QUERIES | answers.QUERIES | fixtures.QUERIES
@@ -21,8 +21,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over_documents = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir).statement(b(SPARK)) for name, build in BUILDERS.items()}
     over_blocks = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "mixed", mixed.MIXED).statement(b(SPARK)) for name, build in mixed.QUERIES.items()}
-    return over_documents | over_blocks
+    over_scopes = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "scoped", scopes.SCOPED).statement(b(SPARK)) for name, build in scopes.QUERIES.items()}
+    return over_documents | over_blocks | over_scopes
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()} | {name: duck_sql(build(DUCK), mixed.MIXED) for name, build in mixed.QUERIES.items()}
+    found = {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()}
+    for over, changed in ((mixed.QUERIES, mixed.MIXED), (scopes.QUERIES, scopes.SCOPED)):
+        found |= {name: duck_sql(build(DUCK), changed) for name, build in over.items()}
+    return found

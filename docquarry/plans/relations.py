@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions import words as W
 from docquarry.functions.dialect import CAPITALS, DUCK, SPARK, Dialect, quoted
-from docquarry.operators import dense_scan
+from docquarry.operators import dense_scan, overlap_scan
 from docquarry.sources import store
 
 DIM = 64
@@ -23,8 +23,9 @@ RELATIONS: dict[str, Callable[[Dialect], str]] = {}
 #: Relations that a deployment stores (the index of the corpus): written once for a folder of tables and read from then on,
 #: until release() is called. A query that needs one plans over its files and not over all that led to it.
 STORED = {
-    "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "top_dense", "spread", "shared_words", "hits", "vector_order", "entity_tf",
+    "repeated_ids", "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "top_dense", "spread", "top_words", "near_words", "question_near", "hits", "vector_order", "entity_tf",
     "mentions", "cooccur", "struct_edges", "question_entities", "local_scores", "global_scores", "hybrid_hits", "hybrid_rows", "sentence_rows",
+    "scope_docs", "asked", "decisions", "scope_words", "topics",
 }
 REFERENCE = re.compile(r"@(\w+)@")
 
@@ -43,7 +44,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, changed: dict[str, Callable[[Dialect], str]] | None = None, **given: DataFrame) -> None:
         self.spark, self.sf_dir, self.relations = spark, sf_dir, RELATIONS | (changed or {})
-        self._made: dict[str, DataFrame] = dict(given)
+        self._given, self._made = given, dict(given)
         self._folder: str | None = None
 
     def frame(self, name: str) -> DataFrame:
@@ -51,11 +52,12 @@ class Corpus:
         if name not in self._made:
             if name not in self.relations:
                 return self._table(name)
-            scan = dense_scan.SCANS.get(name)
-            if scan is None:
-                df = self.statement(self.relations[name](SPARK))
+            if name in dense_scan.SCANS:
+                df = dense_scan.SCANS[name](self.frame("vecs"), self.frame("question_vecs"), W.CANDIDATES, self.frame("scope_docs"))
+            elif name == "top_words":
+                df = overlap_scan.top_overlap(self.frame("item_words"), self.frame("questions"), W.CANDIDATES // 2, self.frame("scope_docs"))
             else:
-                df = scan(self.frame("vecs"), self.frame("question_vecs"), W.CANDIDATES)
+                df = self.statement(self.relations[name](SPARK))
             if name in STORED:
                 self._folder = self._folder or store.working_folder(self.spark)
                 path = f"{self._folder}/{uuid.uuid4().hex}/{name}"
@@ -81,21 +83,35 @@ class Corpus:
             self.spark.catalog.dropTempView(f"{name}_{mark}")
         return out
 
+    def release(self) -> None:
+        """Forgets the relations that were made and deletes the folder of the stored ones."""
+        self._made = dict(self._given)
+        if self._folder is not None:
+            store.remove(self.spark, self._folder)
+            self._folder = None
+
 
-_KEPT: dict[tuple[str, str, str], Corpus] = {}
+_KEPT: dict[tuple[str, str, str], tuple[str, Corpus]] = {}
 
 
 def release() -> None:
-    """Forgets the stored relations, so that the next use reads the tables anew."""
+    """Forgets the session's stored relations and deletes their folders."""
+    for _, corpus in _KEPT.values():
+        corpus.release()
     _KEPT.clear()
 
 
 def kept(spark: SparkSession, sf_dir: str, label: str = "", changed: dict[str, Callable[[Dialect], str]] | None = None) -> Corpus:
-    """The session's corpus over the tables in sf_dir; a label for each set of changed relations."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    """The session's corpus over the tables in sf_dir; a label for each set of changed relations.
+
+    It holds as long as the files of the folder stay as they are: their paths, sizes and times are looked up each time.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir, label), store.state(spark, sf_dir)
+    if key in _KEPT and _KEPT[key][0] != state:
+        _KEPT.pop(key)[1].release()
     if key not in _KEPT:
-        _KEPT[key] = Corpus(spark, sf_dir, changed)
-    return _KEPT[key]
+        _KEPT[key] = (state, Corpus(spark, sf_dir, changed))
+    return _KEPT[key][1]
 
 
 def duck_sql(sql: str, changed: dict[str, Callable[[Dialect], str]] | None = None) -> str:
@@ -120,9 +136,18 @@ def duck_sql(sql: str, changed: dict[str, Callable[[Dialect], str]] | None = Non
 # --- the corpus: documents, items, words, vectors ---
 
 
+@relation
+def repeated_ids(d: Dialect) -> str:
+    return "SELECT doc_id FROM @documents@ WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1"
+
+
 @relation
 def docs(d: Dialect) -> str:
-    return "SELECT doc_id, source AS filename, coalesce(text, '') AS content FROM @documents@"
+    """One document an id: of rows that repeat one, the first by text and source. Rows without an id can't be named and are
+    left out; a null text is empty. Only the rows of repeated ids are ranked, so the others aren't shuffled."""
+    each = "SELECT d.doc_id, d.source AS filename, coalesce(d.text, '') AS content FROM @documents@ d"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY content, filename) AS nth FROM ({each} JOIN @repeated_ids@ r ON d.doc_id = r.doc_id) a_"
+    return f"{each} LEFT JOIN @repeated_ids@ r ON d.doc_id = r.doc_id WHERE d.doc_id IS NOT NULL AND r.doc_id IS NULL UNION ALL SELECT doc_id, filename, content FROM ({ranked}) k_ WHERE nth = 1"
 
 
 @relation
@@ -164,17 +189,25 @@ def vecs(d: Dialect) -> str:
 # --- questions ---
 
 
+@relation
+def asked(d: Dialect) -> str:
+    """(qid, question, scope): one question an id, the first by its text; rows without an id are left out. A null scope is
+    all documents."""
+    first = "SELECT item_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(text, '')) AS nth FROM @benchmark@ WHERE item_id IS NOT NULL"
+    return f"SELECT item_id AS qid, text AS question, CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS scope FROM ({first}) f_ WHERE nth = 1"
+
+
 @relation
 def questions(d: Dialect) -> str:
     kinds = [(k, w) for k, w in (("image", W.IMAGE_WORDS), ("table", W.TABLE_WORDS), ("equation", W.EQUATION_WORDS))]
     raw = d.raw_tokens("lower(question)")
     mods = ", ".join(f"{d.any('raw', 't', f't IN ({quoted(w)})')} AS asks_{k}" for k, w in kinds)
-    return f"SELECT qid, question, words, terms, raw, {mods} FROM (SELECT item_id AS qid, text AS question, {d.tokens('text')} AS words, {d.content_tokens('text')} AS terms, {raw.replace('question', 'text')} AS raw FROM @benchmark@) q_"
+    return f"SELECT qid, question, scope, words, terms, raw, {mods} FROM (SELECT qid, question, scope, {d.tokens('question')} AS words, {d.content_tokens('question')} AS terms, {raw} AS raw FROM @asked@) q_"
 
 
 @relation
 def question_vecs(d: Dialect) -> str:
-    return f"SELECT qid, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid', '@questions@')}) n_"
+    return f"SELECT qid, scope, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid, scope', '@questions@')}) n_"
 
 
 def cosine(d: Dialect, q: str, i: str) -> str:
@@ -182,7 +215,9 @@ def cosine(d: Dialect, q: str, i: str) -> str:
 
 
 def _scores(d: Dialect) -> str:
-    return f"SELECT q.qid, i.doc_id, i.idx, {cosine(d, 'q', 'i')} AS dense FROM @vecs@ i CROSS JOIN @question_vecs@ q"
+    pairs = "SELECT i.doc_id, i.idx, i.v, i.norm2, q.qid, q.qv, q.qnorm2 FROM @vecs@ i CROSS JOIN @question_vecs@ q WHERE q.scope IS NULL"
+    scoped = "SELECT i.doc_id, i.idx, i.v, i.norm2, q.qid, q.qv, q.qnorm2 FROM @question_vecs@ q JOIN @scope_docs@ m ON m.scope = q.scope JOIN @vecs@ i ON i.doc_id = m.doc_id"
+    return f"SELECT qid, doc_id, idx, {cosine(d, 'p_', 'p_')} AS dense FROM ({pairs} UNION ALL {scoped}) p_"
 
 
 @relation
@@ -203,26 +238,74 @@ def spread(d: Dialect) -> str:
 # --- candidates and the vector order ---
 
 
+@relation
+def scope_docs(d: Dialect) -> str:
+    """(scope, doc_id): the documents of each scope that questions name; none where all are asked of everything."""
+    return f"SELECT CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS scope, CAST(NULL AS BIGINT) AS doc_id WHERE FALSE"
+
+
+def in_scope(rows: str) -> str:
+    """Of rows with qid and doc_id those whose document is in the question's scope."""
+    return f"SELECT b_.* FROM ({rows}) b_ JOIN (SELECT qid, scope FROM @asked@) s_ ON b_.qid = s_.qid LEFT JOIN @scope_docs@ m_ ON m_.scope = s_.scope AND m_.doc_id = b_.doc_id WHERE s_.scope IS NULL OR m_.scope IS NOT NULL"
+
+
 @relation
 def shared_words(d: Dialect) -> str:
+    """Every item that shares a word with a question: a row for each such pair. Retrieval reads top_words instead."""
     terms = d.explode("@questions@", "qid", "terms", "spot", "term")
-    return f"SELECT q.qid, t.doc_id, t.idx, count(*) AS overlap FROM ({terms}) q JOIN @item_tokens@ t ON q.term = t.token GROUP BY q.qid, t.doc_id, t.idx"
+    return in_scope(f"SELECT q.qid, t.doc_id, t.idx, count(*) AS overlap FROM ({terms}) q JOIN @item_tokens@ t ON q.term = t.token GROUP BY q.qid, t.doc_id, t.idx")
+
+
+@relation
+def top_words(d: Dialect) -> str:
+    """The items that share most words with each question. In Spark: docquarry.operators.overlap_scan."""
+    return f"SELECT qid, doc_id, idx, overlap, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, doc_id, idx) AS r FROM @shared_words@) b WHERE r <= {W.CANDIDATES // 2}"
 
 
 @relation
 def candidates(d: Dialect) -> str:
-    return (
-        "SELECT qid, doc_id, idx FROM @top_dense@ "
-        f"UNION SELECT qid, doc_id, idx FROM (SELECT qid, doc_id, idx, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, doc_id, idx) AS r FROM @shared_words@) b WHERE r <= {W.CANDIDATES // 2}"
-    )
+    return "SELECT qid, doc_id, idx FROM @top_dense@ UNION SELECT qid, doc_id, idx FROM @top_words@"
+
+
+@relation
+def vocabulary(d: Dialect) -> str:
+    return "SELECT DISTINCT token FROM @item_tokens@"
+
+
+@relation
+def near_words(d: Dialect) -> str:
+    """(term, token): every word of the items that a term of a question matches, nearly or exactly.
+
+    Both sides are met by their beginnings (match_keys) in an equi join over distinct words, and verified.
+    """
+    terms = f"SELECT DISTINCT term FROM ({d.explode('@questions@', 'qid', 'terms', 'spot', 'term')}) t_"
+    asked_keys = d.explode(f"({terms}) a_", "term", d.match_keys("term"), "spot", "begin")
+    said_keys = d.explode("@vocabulary@", "token", d.match_keys("token"), "spot", "begin")
+    return f"SELECT DISTINCT a.term, b.token FROM ({asked_keys}) a JOIN ({said_keys}) b ON a.begin = b.begin WHERE {d.token_match('a.term', 'b.token')}"
+
+
+@relation
+def question_near(d: Dialect) -> str:
+    """(qid, near): for each term of a question that items hold, the words that match it."""
+    lists = f"SELECT term, {d.collect('token', 'token')} AS tokens FROM @near_words@ GROUP BY term"
+    terms = d.explode("@questions@", "qid", "terms", "spot", "term")
+    return f"SELECT t.qid, {d.collect('l.tokens', 't.term')} AS near FROM ({terms}) t JOIN ({lists}) l ON t.term = l.term GROUP BY t.qid"
+
+
+@relation
+def fuzzy_overlap(d: Dialect) -> str:
+    """Every item that holds a word near a term of a question, with how many of its terms: (qid, doc_id, idx, n_terms, matched)."""
+    terms = d.explode("@questions@", "qid, terms", "terms", "spot", "term")
+    near = f"SELECT t.qid, t.term, {d.size('t.terms')} AS n_terms, n.token FROM ({terms}) t JOIN @near_words@ n ON t.term = n.term"
+    return in_scope(f"SELECT n.qid, i.doc_id, i.idx, n.n_terms, count(DISTINCT n.term) AS matched FROM ({near}) n JOIN @item_tokens@ i ON n.token = i.token GROUP BY n.qid, i.doc_id, i.idx, n.n_terms")
 
 
 def made_hits(d: Dialect, keys: str) -> str:
-    cover = d.coverage("q.terms", "i.words")
+    cover = d.covered("r.near", d.size("q.terms"), "i.words")
     kinds = " OR ".join(f"(q.asks_{k} AND i.type = '{k}')" for k in ("image", "table", "equation"))
     return (
         f"SELECT c.qid, c.doc_id, c.idx, i.filename, i.type, i.page, i.section, i.chunk, coalesce({cosine(d, 'w', 'v')}, 0.0) AS dense, {cover} AS coverage, ({kinds}) AS asked_kind "
-        f"FROM {keys} c JOIN @item_words@ i ON c.doc_id = i.doc_id AND c.idx = i.idx JOIN @questions@ q ON c.qid = q.qid "
+        f"FROM {keys} c JOIN @item_words@ i ON c.doc_id = i.doc_id AND c.idx = i.idx JOIN @questions@ q ON c.qid = q.qid LEFT JOIN @question_near@ r ON c.qid = r.qid "
         f"LEFT JOIN @question_vecs@ w ON c.qid = w.qid LEFT JOIN @vecs@ v ON c.doc_id = v.doc_id AND c.idx = v.idx"
     )
 
@@ -305,13 +388,13 @@ def question_entities(d: Dialect) -> str:
 
 @relation
 def local_scores(d: Dialect) -> str:
-    return "SELECT q.qid, m.doc_id, m.idx, round(sum(m.weight), 6) AS score FROM @question_entities@ q JOIN @mentions@ m ON q.entity = m.entity GROUP BY q.qid, m.doc_id, m.idx"
+    return in_scope("SELECT q.qid, m.doc_id, m.idx, round(sum(m.weight), 6) AS score FROM @question_entities@ q JOIN @mentions@ m ON q.entity = m.entity GROUP BY q.qid, m.doc_id, m.idx")
 
 
 @relation
 def global_scores(d: Dialect) -> str:
     top = f"SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM @cooccur@) n_ WHERE r <= {W.NEIGHBOURS}"
-    return (
+    return in_scope(
         f"SELECT q.qid, m.doc_id, m.idx, round(sum(CAST(0.5 AS DOUBLE) * m.weight * ln(1 + CAST(n.weight AS DOUBLE))), 6) AS score FROM @question_entities@ q JOIN ({top}) n ON q.entity = n.a "
         "LEFT JOIN @question_entities@ k ON k.qid = q.qid AND k.entity = n.b JOIN @mentions@ m ON m.entity = n.b WHERE k.entity IS NULL GROUP BY q.qid, m.doc_id, m.idx"
     )
@@ -393,7 +476,7 @@ def sentence_vecs(d: Dialect) -> str:
 def best_sentences(d: Dialect) -> str:
     scored = (
         f"SELECT s.qid, s.hit, s.spot, s.sentence, coalesce(CAST({dot(d, 'w.qv', 'v.v')} AS DOUBLE) / (sqrt(CAST(w.qnorm2 AS DOUBLE)) * sqrt(CAST(v.norm2 AS DOUBLE))), 0.0) AS dense, "
-        f"{d.coverage('q.terms', 's.words')} AS coverage FROM @sentence_rows@ s JOIN @questions@ q ON s.qid = q.qid LEFT JOIN @question_vecs@ w ON w.qid = s.qid "
+        f"{d.covered('r.near', d.size('q.terms'), 's.words')} AS coverage FROM @sentence_rows@ s JOIN @questions@ q ON s.qid = q.qid LEFT JOIN @question_near@ r ON s.qid = r.qid LEFT JOIN @question_vecs@ w ON w.qid = s.qid "
         "LEFT JOIN @sentence_vecs@ v ON v.qid = s.qid AND v.hit = s.hit AND v.sat = s.spot"
     )
     one = "CAST(1.0 AS DOUBLE)"
@@ -416,24 +499,34 @@ def asked_formulas(d: Dialect) -> str:
 
 
 @relation
-def formula_hits(d: Dialect) -> str:
-    """(qid, doc_id, idx): the first equation that holds the formula asked for. Only questions with a formula are sent round."""
+def formula_places(d: Dialect) -> str:
+    """(qid, doc_id, idx): every equation in the question's scope that holds the formula asked for.
+
+    Equations are met by the grams of three characters in them, on the first gram of the formula, and verified.
+    """
     plain = lambda c: f"lower({d.replace(c, r'\s+', chr(39) * 2)})"
-    return (
-        "SELECT qid, doc_id, idx FROM (SELECT q.qid, e.doc_id, e.idx, row_number() OVER (PARTITION BY q.qid ORDER BY e.doc_id, e.idx) AS r "
-        f"FROM (SELECT qid, {plain('formula')} AS asked FROM @asked_formulas@) q JOIN (SELECT doc_id, idx, {plain('raw')} AS said FROM @items@ WHERE type = 'equation') e ON position(q.asked IN e.said) > 0) m_ WHERE r = 1"
-    )
+    grams = d.distinct(d.each(d.steps("1", "length(said) - 2", "1"), "i", "substr(said, CAST(i AS INT), 3)"))
+    said = f"SELECT doc_id, idx, {plain('raw')} AS said FROM @items@ WHERE type = 'equation'"
+    indexed = d.explode(f"(SELECT * FROM ({said}) r_ WHERE length(said) >= 3) s_", "doc_id, idx, said", grams, "spot", "gram")
+    return in_scope(f"SELECT q.qid, e.doc_id, e.idx FROM (SELECT qid, {plain('formula')} AS asked FROM @asked_formulas@) q JOIN ({indexed}) e ON e.gram = left(q.asked, 3) WHERE position(q.asked IN e.said) > 0")
+
+
+@relation
+def formula_hits(d: Dialect) -> str:
+    """(qid, doc_id, idx): the first equation that holds the formula asked for."""
+    return "SELECT qid, doc_id, idx FROM (SELECT qid, doc_id, idx, row_number() OVER (PARTITION BY qid ORDER BY doc_id, idx) AS r FROM @formula_places@) m_ WHERE r = 1"
 
 
 @relation
 def decisions(d: Dialect) -> str:
-    """First match wins: formula, summary, generic, not found, ambiguous, answer. A formula that no equation holds isn't found."""
+    """First match wins: no documents (a scope that holds none), formula, summary, generic, not found, ambiguous, answer.
+    A formula that no equation holds isn't found."""
     summary = d.any("q.words", "t", f"t IN ({quoted(W.SUMMARY)})")
     return (
-        f"SELECT q.qid, CASE WHEN f.qid IS NOT NULL AND h.qid IS NOT NULL THEN 'formula' WHEN f.qid IS NOT NULL THEN 'not_found' WHEN {summary} AND {d.size('q.terms')} = 0 THEN 'summary' "
+        f"SELECT q.qid, CASE WHEN q.scope IS NOT NULL AND e.scope IS NULL THEN 'no_documents' WHEN f.qid IS NOT NULL AND h.qid IS NOT NULL THEN 'formula' WHEN f.qid IS NOT NULL THEN 'not_found' WHEN {summary} AND {d.size('q.terms')} = 0 THEN 'summary' "
         f"WHEN {d.size('q.terms')} = 0 THEN 'generic' WHEN NOT g.supported THEN 'not_found' WHEN a.qid IS NOT NULL THEN 'ambiguous' ELSE 'answer' END AS route, "
         f"CASE WHEN {d.matches('q.question', '[\\x{0900}-\\x{097F}]')} THEN 'ne' ELSE 'en' END AS lang, g.confidence "
-        "FROM @questions@ q LEFT JOIN @asked_formulas@ f ON q.qid = f.qid LEFT JOIN @formula_hits@ h ON q.qid = h.qid JOIN @gate@ g ON q.qid = g.qid LEFT JOIN (SELECT DISTINCT qid FROM @ambiguous@) a ON q.qid = a.qid"
+        "FROM @questions@ q LEFT JOIN (SELECT DISTINCT scope FROM @scope_docs@) e ON q.scope = e.scope LEFT JOIN @asked_formulas@ f ON q.qid = f.qid LEFT JOIN @formula_hits@ h ON q.qid = h.qid JOIN @gate@ g ON q.qid = g.qid LEFT JOIN (SELECT DISTINCT qid FROM @ambiguous@) a ON q.qid = a.qid"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -50,3 +51,26 @@ def delete_all(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Makes an empty table the current version, with the columns it had; older versions stay readable by their path."""
     save(current(spark, root, name).limit(0), root, name)
     return current(spark, root, name)
+
+
+def _place(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def state(spark: SparkSession, folder: str) -> str:
+    """A digest of the paths, sizes and times of all files under a folder; it changes when one is replaced."""
+    files, path = _place(spark, folder)
+    if not files.exists(path):
+        return ""
+    found, listed = [], files.listFiles(path, True)
+    while listed.hasNext():
+        one = listed.next()
+        found.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours with all that it holds; one that isn't there is no error."""
+    files, path = _place(spark, folder)
+    files.delete(path, True)
