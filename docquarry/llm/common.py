@@ -39,6 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A digest of all columns of a row: rows with the same one are equal and can stand for each other."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(df.columns)])).cast("binary"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale and the other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

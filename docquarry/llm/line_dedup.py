@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 2
+#: Characters from which a line is compared with nearly equal ones; exact repeats go at any length.
 MIN_CHARS = 20
 #: Characters trimmed from both ends of a line before it is compared; line ends themselves are \n.
 BLANKS = " \t\r\x0b\x0c"
@@ -118,17 +119,18 @@ def _may_be_near(most: int) -> Column:
 
 
 def _firsts(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, keepers array<struct<pos, h>>): for each document the lines that no earlier line equals."""
-    occurrences = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "pos", _plain(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
-    hashed = occurrences.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    first = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return first.groupBy(F.col("first.doc_id").alias("k_doc_id")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("keepers"))
+    """(doc_id, keepers array<struct<pos, h, long>>): for each document the lines that no earlier line equals, and whether
+    they have min_chars characters. Blank lines take no part."""
+    occurrences = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "pos", _plain(F.col("line")).alias("line")).where(F.length("line") > 0)
+    hashed = occurrences.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= min_chars).alias("long"))
+    first = hashed.groupBy("h", "h2", "long").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    return first.groupBy(F.col("first.doc_id").alias("k_doc_id")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h", "long")).alias("keepers"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, pos, h, line) for wanted(k_doc_id, keepers); a line whose hash differs (another row's) is left out."""
     named = docs.join(wanted, docs["doc_id"] == wanted["k_doc_id"])
-    picked = _picked("keepers", lambda k, lines: F.struct(k["pos"].alias("pos"), k["h"].alias("h"), _plain(F.get(lines, k["pos"])).alias("line")))
+    picked = F.get(F.transform(F.array(_lines(F.col("text"))), lambda lines: F.transform(F.filter("keepers", lambda k: k["long"]), lambda k: F.struct(k["pos"].alias("pos"), k["h"].alias("h"), _plain(F.get(lines, k["pos"])).alias("line")))), F.lit(0))
     return named.select("doc_id", F.inline(picked)).where(F.xxhash64("line") == F.col("h"))
 
 
@@ -193,12 +195,12 @@ def _decided(docs: DataFrame, most: int, min_chars: int) -> DataFrame:
     bare = known.select("doc_id", "text")
     firsts = _firsts(bare, min_chars)
     near = near_line_pairs(bare, most, min_chars).groupBy(F.col("b_doc_id").alias("__n_doc_id")).agg(F.collect_set(F.struct(F.col("b_pos").alias("pos"), F.col("b_h").alias("h"))).alias("__near_found"), F.count(F.lit(1)).alias("__links"))
-    named = firsts.select(F.col("k_doc_id").alias("__k_doc_id"), F.col("keepers").alias("__keepers"))
+    named = firsts.select(F.col("k_doc_id").alias("__k_doc_id"), F.transform("keepers", lambda k: F.struct(k["pos"].alias("pos"), k["h"].alias("h"))).alias("__keepers"))
     decided = known.join(named, F.col("doc_id") == F.col("__k_doc_id"), "left").join(near, F.col("doc_id") == F.col("__n_doc_id"), "left")
     joined = decided.unionByName(typed.where(~taking_part), allowMissingColumns=True)
     empty = F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")
     marked = joined.withColumn("__lines", _lines(F.col("text"))).withColumn(
-        "__placed", F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), F.when(F.length(_plain(x)) >= min_chars, F.xxhash64(_plain(x))).alias("h")))
+        "__placed", F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), F.when(F.length(_plain(x)) > 0, F.xxhash64(_plain(x))).alias("h")))
     )
     eligible = F.filter("__placed", lambda x: x["h"].isNotNull())
     same = F.array_except(eligible, F.coalesce("__keepers", empty))
@@ -213,8 +215,8 @@ def _kept_text() -> Column:
 def dedup_lines(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated and nearly repeated lines taken out of the texts; n_chars follows where there is such a column.
 
-    Lines of fewer than min_chars characters (blanks at the ends aside) are left alone, and so are rows with a null
-    doc_id or text. Rows stay even when no line of theirs does (their text is then empty). Rows that repeat doc_id and
+    Lines that equal an earlier one go at any length (blanks at the ends aside), but for blank ones; lines within `most`
+    edits of one go from min_chars characters on. Rows with a null doc_id or text are left alone. Rows stay even when no line of theirs does (their text is then empty). Rows that repeat doc_id and
     text are one document and keep the same lines; of equal lines in a text the first stays.
     """
     out = _decided(docs, most, min_chars).withColumn("text", F.when(F.col("text").isNotNull(), _kept_text()))
@@ -245,13 +247,13 @@ def line_dedup_sql(most: int = MOST, min_chars: int = MIN_CHARS) -> str:
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-o AS (SELECT *, length(line) >= {min_chars} AS eligible, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM l),
-f AS MATERIALIZED (SELECT doc_id, pos, line, length(line) AS n FROM o WHERE eligible AND nth = 1),
+o AS (SELECT *, length(line) > 0 AS eligible, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM l),
+f AS MATERIALIZED (SELECT doc_id, pos, line, length(line) AS n FROM o WHERE nth = 1 AND length(line) >= {min_chars}),
 g AS (SELECT *, n + unnest(range(-{most}, {most + 1})) AS n2 FROM f),
 p AS (SELECT b.doc_id, b.pos FROM g a JOIN f b ON a.n2 = b.n AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
       WHERE levenshtein(a.line, b.line) <= {most}),
 q AS (SELECT doc_id, pos, count(*) AS links FROM p GROUP BY ALL),
-m AS (SELECT o.*, q.links FROM o LEFT JOIN q ON o.doc_id = q.doc_id AND o.pos = q.pos AND o.eligible AND o.nth = 1)
+m AS (SELECT o.*, q.links FROM o LEFT JOIN q ON o.doc_id = q.doc_id AND o.pos = q.pos AND o.nth = 1)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT eligible OR (nth = 1 AND links IS NULL)))::BIGINT AS n_kept,
   (count(*) FILTER (eligible AND nth > 1))::BIGINT AS n_same, (count(*) FILTER (links IS NOT NULL))::BIGINT AS n_near,
   coalesce(sum(links), 0)::BIGINT AS n_links,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import SPACE_CLASS, WORD_PATTERN, cut_lineage, key_fraction, running, spread_key, word_count
+from docquarry.llm.common import SPACE_CLASS, WORD_PATTERN, cut_lineage, key_fraction, row_key, running, spread_key, word_count
 
 # Fixed values of the contract: weights by turns, the total's share of all words, and how often a word may be taken.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -123,12 +123,11 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     the slot that takes the first of them: any stretch of the result is close to the target mixture.
 
     Whole documents keep their text; the one document of a source at which its quota ends keeps its first words, with the
-    white space before and between them. n_chars follows where there is such a column. Rows with equal doc_id, source and
-    text are taken together. A null source is a source of its own, a null text has no words and isn't taken.
+    white space before and between them. n_chars follows where there is such a column. Each row is taken with its own
+    columns; rows equal in all of them stand for each other and are taken as often as they are there. A null source is a source of its own, a null text has no words and isn't taken.
     """
     text = F.col("text").cast("string")
-    own = F.md5(F.to_json(F.struct(F.col("doc_id").cast("long").alias("a"), F.col("source").cast("string").alias("b"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("c"))).cast("binary"))
-    keyed = docs.withColumn("__mix_key", own)
+    keyed = docs.withColumn("__mix_key", row_key(docs))
     plan_rows = cut_lineage(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), "__mix_key"))
     takes = (
         mix_pieces(plan_rows, ties=("__mix_key",))

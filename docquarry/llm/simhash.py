@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import attach, cut_lineage
+from docquarry.llm.common import attach, cut_lineage, row_key
 from docquarry.llm.components import connected_components
 
 # Fixed values of the contract: words in a shingle, the hash's seed, and the bits by which linked fingerprints may differ.
@@ -55,16 +55,21 @@ def _fingerprint(text: str) -> int:
     return int(np.packbits(counts * 2 > len(begins)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the SimHash of each whole text as a signed long. Null and empty texts have fingerprint 0."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """rows, whose last column is text, with fp instead of it: the SimHash of each whole text as a signed long."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.fromiter((_fingerprint(x.as_py() or "") for x in part.column(1)), np.uint64, part.num_rows)
-            yield pa.record_batch([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((_fingerprint(x.as_py() or "") for x in part.column(part.num_columns - 1)), np.uint64, part.num_rows)
+            yield pa.record_batch([*part.columns[:-1], pa.array(found.view(np.int64))], [*part.schema.names[:-1], "fp"])
+
+    kept = rows.dtypes[:-1]
+    return rows.mapInArrow(batches, ", ".join(f"`{name}` {kind}" for name, kind in kept) + ", fp long")
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(batches, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): the SimHash of each whole text as a signed long. Null and empty texts have fingerprint 0."""
+    return _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
 def _signed(value: int) -> int:
@@ -129,6 +134,14 @@ def fingerprint_links(distinct: DataFrame, keyed: int = KEYED) -> DataFrame:
     return _met(distinct, keyed).where(near).where((F.bit_count(differ) <= MOST) & (earlier == 1)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def _components(marked: DataFrame, name: Column) -> DataFrame:
+    """(fp, named, n): for each fingerprint of marked(..., fp) the least `name` of its component, and how many rows have it."""
+    classes = cut_lineage(marked.groupBy("fp").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("n")))
+    found = connected_components(fingerprint_links(classes.select("fp")))
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("named")), "root").select("fp", "named", "n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, itself included.
 
@@ -138,19 +151,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows stay; an empty table gives an empty result.
     """
     marked = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    found = connected_components(fingerprint_links(classes.select("fp")))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id", "n")
+    by_fp = _components(marked, F.col("doc_id")).withColumnRenamed("named", "component_id")
     return attach(marked, by_fp, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its component: one document of each group of near duplicates.
+    """One row of docs for each component of near duplicates, with all columns: the one of the smallest doc_id, null last.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id are kept, as none can be named for them.
+    Rows decide, not ids: rows that share a doc_id but not a text are documents of their own, and of several rows of the
+    smallest doc_id in a component one stays, by a digest of all columns. An empty table gives an empty result.
     """
-    names = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__named")).distinct()
-    named = docs.join(names, F.col("doc_id").cast("long") == F.col("__named"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("__row", row_key(docs))
+    marked = cut_lineage(_marked(keyed.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    chosen = _components(marked, F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")).select(F.col("named.__row").alias("__row")).distinct()
+    return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
