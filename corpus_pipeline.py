@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. The first and the last need a trained machine and a merge table, so no single SQL statement gives run()'s
-rows. tests/llm checks the stages' columns and ids only; their decisions are not held against a plain restatement.
+rows; tests/llm holds every stage's rows, and run()'s, against a plain restatement.
+
+In all stages rows decide, not numbers: a doc_id may be null or stand at several texts, extra columns come through as they
+are, and an empty table gives an empty one. run() leaves the stages' files in its folder under spark.checkpoint.dir, as the
+result reads the last of them.
 """
 
 from __future__ import annotations
@@ -20,27 +24,40 @@ from docquarry.llm.toxicity import drop_toxic
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine rejects go; it learns from the labelled documents that arrive."""
+    """Documents that the toxicity machine rejects go; it learns from the labelled documents that arrive.
+
+    Null and empty texts are judged as texts without a striking sentence; repeated rows are judged alike; labels that are
+    null or of absent documents don't count, and without labels of both classes every row stays.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came before, or nearly so, leave the texts; every document stays."""
+    """Lines that came before, or nearly so, leave the texts; every document stays, be its text empty then.
+
+    Rows with a null doc_id or text are left as they are; rows equal in doc_id and text keep the same lines.
+    """
     return dedup_lines(docs)
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One row of each SimHash group stays: that of the smallest doc_id, null last, ties by a digest of all columns.
+
+    Null and empty texts are one group; rows that repeat another are of its group.
+    """
     return keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them."""
+    """Documents as often, and as far, as the mix takes them, each row with its own columns.
+
+    A null source is a source of its own; null and empty texts have no words and aren't taken.
+    """
     return apply_mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, a row for each row; a null text is an empty one."""
     return bpe_digest(docs)
 
 
