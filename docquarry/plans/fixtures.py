@@ -1,7 +1,4 @@
-"""Queries over small inline blocks: tables, equations, captions, pages, damaged text, scanned words.
-
-The driver's documents hold none of these, so each statement brings its own rows.
-"""
+"""Queries over blocks: tables, equations, captions, pages, damaged text, scanned words (relations of plans.derived)."""
 
 from __future__ import annotations
 
@@ -31,13 +28,12 @@ def rows(d: Dialect, columns: str, values: list[tuple]) -> str:
     return f"(SELECT * FROM (VALUES {said}) AS v_({columns}))"
 
 
-TABLE = "| Name | Amount |\n|---|---:|\n" + "\n".join(f"| item{i} | {i * 10} |" for i in range(1, 11)) + "\n| a \\| b | |"
-TABLES = [(1, "Budget", TABLE), (2, "", "| A | B |\n|--|--|\n| x | y |"), (3, "", "no table")]
+TABLES = "(SELECT doc_id, 'Lines of order ' || CAST(doc_id AS VARCHAR(20)) AS caption, body FROM @order_tables@) t0_"
 
 
-def table_cells(d: Dialect, source: str | None = None, key: str = "t_id") -> str:
+def table_cells(d: Dialect, source: str = TABLES, key: str = "doc_id") -> str:
     """Rows of Markdown tables, source(key, caption, body), as arrays of cells; separator rows are left out."""
-    lines = d.explode(source or rows(d, "t_id, caption, body", TABLES), f"{key}, caption", d.split("body", "\n" if d.name == "duck" else r"\n"), "line_no", "line")
+    lines = d.explode(source, f"{key}, caption", d.split("body", "\n" if d.name == "duck" else r"\n"), "line_no", "line")
     stripped = d.strip("line")
     inner = d.replace(d.replace(stripped, r"^\|+|\|+$", "''"), r"\\\|", "chr(1)")
     cells = d.each(d.split(inner, r"\|"), "c", f"replace({d.strip('c')}, chr(1), '|')")
@@ -47,10 +43,10 @@ def table_cells(d: Dialect, source: str | None = None, key: str = "t_id") -> str
 
 @query
 def markdown_rows(d: Dialect) -> str:
-    return f"SELECT t_id, row_number() OVER (PARTITION BY t_id ORDER BY line_no) AS row_no, {d.join('cells', chr(39) + ';' + chr(39))} AS cells FROM ({table_cells(d)}) t_"
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS row_no, {d.join('cells', chr(39) + ';' + chr(39))} AS cells FROM ({table_cells(d)}) t_"
 
 
-def row_groups(d: Dialect, source: str | None = None, key: str = "t_id") -> str:
+def row_groups(d: Dialect, source: str = TABLES, key: str = "doc_id") -> str:
     """Groups of eight body rows as `header: value` text with a label that names the rows, and as Markdown (md)."""
     numbered = f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line_no) - 1 AS n FROM ({table_cells(d, source, key)}) c_"
     pair = d.join(
@@ -73,34 +69,22 @@ def row_groups(d: Dialect, source: str | None = None, key: str = "t_id") -> str:
 
 @query
 def table_row_groups(d: Dialect) -> str:
-    return f"SELECT t_id, grp, text, md FROM ({row_groups(d)}) g_"
-
-
-LINES = [(1, "E = mc^2"), (2, "\\frac{a}{b}"), (3, "The cost is 5"), (4, "y = f(x) * (a / b)"), (5, "a ≤ b ≥ c"), (6, "=="), (7, "important statement = nothing (whatever) happens (here) always")]
+    return f"SELECT doc_id, grp, text, md FROM ({row_groups(d)}) g_"
 
 
 @query
 def equation_filter(d: Dialect) -> str:
-    return f"SELECT line_id, {d.equation('s')} AS equation FROM {rows(d, 'line_id, s', LINES)} l_"
-
-
-FORMULAS = [(1, "what is the formula F = m a?"), (2, "E = m c ^ 2"), (3, "what is revenue"), (4, "x = y")]
-EQUATIONS = [(7, 0, "F = m a"), (7, 3, "E=mc^2 + k"), (9, 1, "f =ma")]
+    """Which texts and formulas of the blocks look like mathematics."""
+    return f"SELECT doc_id, block_idx, {d.equation('s')} AS equation FROM (SELECT doc_id, block_idx, coalesce(latex, text) AS s FROM @blocks@) l_ WHERE s IS NOT NULL"
 
 
 @query
 def formula_match(d: Dialect) -> str:
-    kept = d.keep(d.split("replace(question, '?', ' ')", r"\s+"), "t", f"length(t) > 0 AND NOT {d.matches('t', '^\\p{L}{2,}$')}")
-    asked = f"SELECT q_id, {d.join(kept, chr(39) + ' ' + chr(39))} AS formula FROM {rows(d, 'q_id, question', FORMULAS)} q_"
-    plain = lambda c: f"lower({d.replace(c, r'\s+', chr(39) * 2)})"
-    return (
-        f"SELECT q_id, formula, doc_id, idx FROM (SELECT q.q_id, q.formula, e.doc_id, e.idx, row_number() OVER (PARTITION BY q.q_id ORDER BY e.doc_id, e.idx) AS r FROM ({asked}) q "
-        f"LEFT JOIN {rows(d, 'doc_id, idx, raw', EQUATIONS)} e ON position({plain('q.formula')} IN {plain('e.raw')}) > 0 WHERE q.formula LIKE '%=%' AND length({plain('q.formula')}) >= 3) m_ WHERE r = 1"
-    )
+    """The formula that a question asks for and the first equation that holds it."""
+    return "SELECT q.qid, q.formula, h.doc_id, h.idx FROM @asked_formulas@ q LEFT JOIN @formula_hits@ h ON q.qid = h.qid"
 
 
-BLOCKS = [(1, 0, "text", 0, "Intro"), (1, 1, "image", 0, None), (1, 2, "text", 0, "Figure 1: a house"), (1, 3, "text", 1, "Table 2. Costs"), (1, 4, "table", 1, None), (1, 5, "text", 1, "After"), (2, 0, "image", 0, None), (2, 1, "text", 1, "Figure 9 elsewhere"),
-          (3, 0, "image", 0, None), (3, 1, "text", 0, "Figure 1. First"), (3, 2, "image", 0, None), (3, 3, "text", 0, "Figure 2. Second"), (3, 4, "image", 0, None), (3, 5, "text", 0, "Other")]
+BLOCKS = "(SELECT doc_id, block_idx AS idx, type, page, coalesce(text, '') AS body FROM @blocks@ WHERE type IN ('text', 'image', 'table'))"
 
 
 # How a caption begins.
@@ -132,66 +116,58 @@ def captions(d: Dialect, source: str) -> str:
 @query
 def caption_attachment(d: Dialect) -> str:
     """Each figure or table with the text that names it."""
-    source = rows(d, "doc_id, idx, type, page, body", BLOCKS)
-    return f"SELECT b.doc_id, b.idx, b.type, c.caption, c.taken FROM {source} b LEFT JOIN ({captions(d, source)}) c ON b.doc_id = c.doc_id AND b.idx = c.idx WHERE b.type <> 'text'"
+    return f"SELECT b.doc_id, b.idx, b.type, c.caption, c.taken FROM {BLOCKS} b LEFT JOIN ({captions(d, BLOCKS)}) c ON b.doc_id = c.doc_id AND b.idx = c.idx WHERE b.type <> 'text'"
 
 
 @query
 def text_runs(d: Dialect) -> str:
     """Runs of text blocks on one page, broken by anything else."""
     starts = "SELECT *, CASE WHEN type = lag(type) OVER w AND page = lag(page) OVER w AND type = 'text' THEN 0 ELSE 1 END AS opens FROM {0} b_ WINDOW w AS (PARTITION BY doc_id ORDER BY idx)"
-    runs = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM ({starts.format(rows(d, 'doc_id, idx, type, page, body', BLOCKS))}) o_"
+    runs = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM ({starts.format(BLOCKS)}) o_"
     return f"SELECT doc_id, CAST(run AS INT) AS run, min(idx) AS first_block, count(*) AS blocks FROM ({runs}) r_ WHERE type = 'text' GROUP BY doc_id, run"
 
 
-PAGES = [(1, p) for p in (0, 1, 2, 4, 8, 9)] + [(2, 5)]
-
-
 @query
 def page_ranges(d: Dialect) -> str:
+    """The pages of a document on which a number is written, as ranges."""
+    listed = f"(SELECT DISTINCT doc_id, page FROM @blocks@ WHERE type = 'text' AND {d.matches('text', '[0-9]')})"
     said = "CASE WHEN min(page) = max(page) THEN CAST(min(page) + 1 AS VARCHAR(9)) ELSE CAST(min(page) + 1 AS VARCHAR(9)) || '-' || CAST(max(page) + 1 AS VARCHAR(9)) END"
-    islands = f"SELECT doc_id, min(page) AS p, {said} AS said FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS island FROM {rows(d, 'doc_id, page', PAGES)} p_) i_ GROUP BY doc_id, island"
+    islands = f"SELECT doc_id, min(page) AS p, {said} AS said FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS island FROM {listed} p_) i_ GROUP BY doc_id, island"
     return f"SELECT doc_id, {d.gathered('said', 'p', chr(39) + ', ' + chr(39))} AS pages FROM ({islands}) s_ GROUP BY doc_id"
 
 
 @query
 def damaged_text(d: Dialect) -> str:
-    """Devanagari with too few halants for its consonants."""
-    texts = [(1, "कखगघ" * 12), (2, "क्ख्ग" * 20), (3, "कख"), (4, "plain")]
+    """Devanagari with too few joining signs for its consonants, or with glyphs that weren't read."""
+    # The consonants, how many are needed to tell, and the two shares.
     consonants = d.size(d.find_all("s", "[\\x{0915}-\\x{0939}\\x{0958}-\\x{095F}]"))
-    halants = "(length(s) - length(replace(s, '्', '')))"
-    return f"SELECT t_id, {consonants} >= 40 AND {halants} < 0.015 * {consonants} AS damaged FROM {rows(d, 't_id, s', texts)} t_"
+    count = lambda sign: f"(length(s) - length(replace(s, {sign}, '')))"
+    joined, unread = count("'्'"), count("chr(0)")
+    return f"SELECT doc_id, {consonants} >= 40 AND ({joined} < 0.015 * {consonants} OR {unread} > 0.02 * length(s)) AS damaged FROM @damaged_texts@"
 
 
 @query
 def damaged_match(d: Dialect) -> str:
     """Whether a token can be a question's word that lost letters: a subsequence of it, long enough."""
-    pairs = [(1, "लेखापरीक्षणको", "लेखापरीणको"), (2, "नेपाल", "भारत"), (3, "abc", "ab"), (4, "विवरण", "वरण")]
     bare = lambda c: f"replace({c}, 'ि', '')"
     wild = "'%' || array_join(split(t, ''), '%') || '%'" if d.name == "spark" else "'%' || array_to_string(string_split(t, ''), '%') || '%'"
+    # The least lengths, and the shares of the word that must be left.
     rule = f"q = t OR (length(q) >= 4 AND length(t) >= 3 AND q LIKE {wild} AND ((left(q, 1) = left(t, 1) AND length(t) >= 0.35 * length(q)) OR (length(t) >= 4 AND length(t) >= 0.6 * length(q))))"
     script = lambda c: d.matches(c, "[\\x{0900}-\\x{097F}]")
-    return f"SELECT p_id, {script('q')} AND {script('t')} AND ({rule}) AS matched FROM (SELECT p_id, {bare('q0')} AS q, {bare('t0')} AS t FROM {rows(d, 'p_id, q0, t0', pairs)} p_) b_"
-
-
-WORDS = [(1, 1, 1, 10, 50, "Hello"), (1, 1, 2, 12, 60, "world"), (1, 2, 1, 40, 90, "Second"), (1, 2, 2, 41, -1, "noise"), (2, 1, 1, 5, 99, "First")]
+    return f"SELECT term, kind, {script('q')} AND {script('t')} AND ({rule}) AS matched FROM (SELECT term, kind, {bare('q0')} AS q, {bare('t0')} AS t FROM @damaged_pairs@) b_"
 
 
 @query
 def scanned_paragraphs(d: Dialect) -> str:
     """Recognised words, grouped into paragraphs with their place on the page."""
-    return f"SELECT block, par, min(top_) AS top_, {d.gathered('word', 'n', chr(39) + ' ' + chr(39))} AS text FROM {rows(d, 'block, par, n, top_, conf, word', WORDS)} w_ WHERE conf >= 0 AND word <> '' GROUP BY block, par"
-
-
-BOXES = [(1, 0, 0, 10, 10), (2, 20, 20, 80, 90)]
-GLYPHS = [(1, 2, 2, 4, 4), (2, 30, 30, 40, 50), (3, 100, 100, 110, 110), (4, 9, 9, 13, 13)]
+    return f"SELECT doc_id, par, min(y) AS top_, {d.gathered('word', 'n', chr(39) + ' ' + chr(39))} AS text FROM @scanned_words@ WHERE conf >= 0 AND word <> '' GROUP BY doc_id, par"
 
 
 @query
 def outside_boxes(d: Dialect) -> str:
-    """Page elements whose centre lies in no table box."""
-    inside = "(g.x0 + g.x1) / 2.0 BETWEEN b.bx0 AND b.bx1 AND (g.y0 + g.y1) / 2.0 BETWEEN b.by0 AND b.by1"
-    return f"SELECT g.g_id FROM {rows(d, 'g_id, x0, y0, x1, y1', GLYPHS)} g LEFT JOIN {rows(d, 'b_id, bx0, by0, bx1, by1', BOXES)} b ON {inside} WHERE b.b_id IS NULL"
+    """Words of a page whose centre lies in no table box: a word is 30 wide and 10 high."""
+    inside = "(w.x + w.x + 30) / 2.0 BETWEEN b.x0 AND b.x1 AND (w.y + w.y + 10) / 2.0 BETWEEN b.y0 AND b.y1"
+    return f"SELECT w.doc_id, w.par, w.n FROM @scanned_words@ w LEFT JOIN @table_boxes@ b ON w.doc_id = b.doc_id AND {inside} WHERE b.doc_id IS NULL"
 
 
 def modal_text(d: Dialect) -> str:
@@ -208,5 +184,6 @@ def modal_text(d: Dialect) -> str:
 
 @query
 def modal_answers(d: Dialect) -> str:
-    made = [(1, "table", 0, 2, "Budget", "| A |", ""), (2, "equation", 3, 5, "", "E=mc^2", ""), (3, "image", 0, 1, "A house", "", "red"), (4, "image", 0, 1, "", "", "")]
-    return f"SELECT m_id, {modal_text(d)} AS answer FROM (SELECT *, 'chunk' AS chunk FROM {rows(d, 'm_id, type, page, pages, caption, raw, description', made)} r_) a_"
+    """What is shown of each item that isn't text."""
+    pages = "SELECT doc_id, max(page) + 1 AS pages FROM @items@ GROUP BY doc_id"
+    return f"SELECT doc_id, idx, {modal_text(d)} AS answer FROM (SELECT i.*, p.pages FROM @items@ i JOIN ({pages}) p ON i.doc_id = p.doc_id WHERE i.type <> 'text') r_"

@@ -1,8 +1,8 @@
 """Items made of parsed blocks: texts with their sections and pages, tables, equations and figures.
 
 OVER_BLOCKS replaces the relations that read the documents table, so that a Corpus over @blocks@ (of parsed files, a
-content list or a stored table) answers questions as one over documents does. The queries here run over a small content
-list of their own, since the driver's documents hold texts only.
+content list or a stored table) answers questions as one over documents does. The queries here are registered over the blocks
+of plans.derived; LIST is a small content list for tests.
 
 @blocks@: doc_id long, filename, block_idx int, type (text, image, table, equation, warning, error or anything else),
 page int from 0, section, text, latex, table_body, caption, footnote, description (of a figure, by a model where there is
@@ -94,7 +94,7 @@ def docs(d: Dialect) -> str:
 
 OVER_BLOCKS: dict[str, Callable[[Dialect], str]] = {"real_blocks": real_blocks, "block_captions": block_captions, "named_blocks": named_blocks, "placed_blocks": placed_blocks, "items": items, "docs": docs}
 
-# --- the content list of the queries below ---
+# --- a content list for tests ---
 
 BUDGET = "| Office | Budget | Spent |\n|---|---:|---:|\n" + "\n".join(f"| Ward {i} | {i * 120} | {i * 95} |" for i in range(1, 11))
 FEES = "| Permit | Fee |\n|---|---|\n| Fishing \\| river | 40 |\n| Market stall | 75 |"

@@ -25,7 +25,7 @@ RELATIONS: dict[str, Callable[[Dialect], str]] = {}
 STORED = {
     "repeated_ids", "items", "item_words", "item_tokens", "vecs", "questions", "question_vecs", "top_dense", "spread", "top_words", "near_words", "question_near", "hits", "vector_order", "entity_tf",
     "mentions", "cooccur", "struct_edges", "question_entities", "local_scores", "global_scores", "hybrid_hits", "hybrid_rows", "sentence_rows",
-    "scope_docs", "asked", "decisions", "scope_words", "topics",
+    "source_docs", "real_blocks", "named_blocks", "placed_blocks", "order_tables", "scope_docs", "asked", "decisions", "scope_words", "topics",
 }
 REFERENCE = re.compile(r"@(\w+)@")
 

@@ -8,15 +8,16 @@ import pytest
 from oracle import differences, plain
 
 from docquarry.functions.dialect import SPARK
-from docquarry.plans import mixed, registry, relations, scopes
+from docquarry.plans import registry, relations, scopes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, token string, scope string, idx string"
 TABLES = {
     "documents": DOCUMENTS, "benchmark": "item_id long, text string, scope string, doc_id long",
     "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string",
-    "pages": "page_id long, url string, html string", "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "pages": "page_id long, url string, html string", "part": "p_partkey long, p_name string, p_size int",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string", "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
 }
-NAMES = [n for n in registry.queries() if n not in mixed.QUERIES]
+NAMES = list(registry.queries())
 
 
 def sentence(i, n=9):
@@ -32,6 +33,8 @@ def rows():
     return {
         "documents": docs, "benchmark": asked, "labels": [(1, 0, 1), (2, 1, 0), (2, 1, 0), (None, 0, None), (3, None, 1)],
         "conversations": [(1, 0, "user", "hello there word1"), (1, None, None, None), (None, 1, "user", "x"), (1, 0, "user", "hello there word1"), (2, 1, "assistant", "")],
+        "part": [(1, "red widget", 4), (2, None, None), (None, "x", 1), (1, "red widget", 4), (9, "blue ring", 7)],
+        "lineitem": [(1, 5, 6, n % 5, 2.0, 10.5, "A", "F") for n in range(11)] + [(2, 1, 1, None, None, None, None, None), (None, 1, 1, 1, 1.0, 1.0, "A", "F"), (2, 1, 1, 2, 3.0, 4.0, None, "O"), (3, 1, 1, 1, 1.0, 2.0, "N", "O")],
         "pages": [(1, "http://a/b.txt", "<p>"), (2, None, None), (1, "x.PDF", ""), (None, "a.exe", "y")], "events": [(1, None, None, None, None, None), (None, None, 1, "a", 1.0, "{not json"), (2, None, 3, "b", 2.0, '{"k": 1}'), (2, None, 3, "b", 2.0, '{"k": 1}')],
     }
 

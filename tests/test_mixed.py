@@ -1,14 +1,18 @@
 """Items of blocks and whole answers, over the content list of plans.mixed and over parsed files."""
 
+import os
+
 import pytest
 from oracle import differences
 
 import __spark_entry__ as entry
-from docquarry.functions.dialect import SPARK
-from docquarry.plans import answers, mixed
-from docquarry.plans.relations import Corpus
+from docquarry.functions.dialect import DUCK, SPARK
+from docquarry.plans import answers, mixed, registry
+from docquarry.plans.relations import Corpus, duck_sql
 from docquarry.sources import text_files
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def corpus(spark):
@@ -67,9 +71,27 @@ def test_parsed_files_answer_questions(spark):
     assert found[2].route == "answer" and "507" in found[2].answer
 
 
-@pytest.mark.parametrize("name", sorted(mixed.QUERIES))
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(registry.OVER_BLOCKS))
 def test_query_agrees_with_sql(spark, name):
-    df = entry.queries()[name](spark, "/nowhere").cache()
-    assert differences(df, entry.oracle_sql()[name], "/nowhere") == []
+    df = entry.queries()[name](spark, SF).cache()
+    assert differences(df, entry.oracle_sql()[name], SF) == []
     assert df.count() > 0
     df.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_blocks_of_tables_take_every_route(spark):
+    found = entry.queries()["mixed_answered"](spark, SF).collect()
+    assert {r.route for r in found} == {"formula", "not_found", "summary", "generic", "ambiguous", "answer"}
+    assert {r.answer[:8] for r in found if r.route == "formula"} == {"**Equati"}
+    told = {r.qid: r for r in found}
+    assert told[-3].route == "not_found" and told[-1].route == "summary"
+    assert {r.type for r in entry.queries()["mixed_items"](spark, SF).collect()} == {"text", "table", "equation", "image"}
+
+
+@pytest.mark.parametrize("name", sorted(mixed.QUERIES))
+def test_query_over_the_content_list(corpus, name):
+    """The small list has what the tables don't: Nepali, sections without a name, unknown kinds."""
+    df = corpus.statement(mixed.QUERIES[name](SPARK))
+    assert differences(df, duck_sql(mixed.QUERIES[name](DUCK), mixed.MIXED), "/nowhere") == []
