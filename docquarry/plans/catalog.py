@@ -7,6 +7,7 @@ from collections.abc import Callable
 from docquarry.functions import words as W
 from docquarry.functions.dialect import Dialect, quoted
 from docquarry.plans.relations import retrieved
+from docquarry.plans.upkeep import KINDS as UPLOADS, MOST_BYTES as UPLOAD_BYTES
 
 QUERIES: dict[str, Callable[[Dialect], str]] = {}
 
@@ -146,6 +147,6 @@ def summary_picks(d: Dialect) -> str:
 
 @query
 def upload_validation(d: Dialect) -> str:
-    """Rows of an upload with what is wrong with them: kind of file, size."""
+    """What is wrong with each row of an upload: kind of file, size."""
     ext = "lower(split_part(url, '.', -1))"
-    return f"SELECT page_id, CASE WHEN {ext} NOT IN ('txt', 'pdf', 'md', 'docx', 'png', 'jpg', 'jpeg', 'webp', 'bmp') THEN 'unsupported' WHEN length(html) > 52428800 THEN 'too large' ELSE 'ok' END AS verdict FROM @pages@"
+    return f"SELECT page_id, CASE WHEN {ext} NOT IN ({quoted(list(UPLOADS))}) THEN 'unsupported' WHEN length(html) > {UPLOAD_BYTES} THEN 'too large' ELSE 'ok' END AS verdict FROM @pages@"

@@ -83,7 +83,7 @@ def asked(d: Dialect) -> str:
         "SELECT CAST(-1 AS BIGINT), 'Summarize'", "SELECT CAST(-2 AS BIGINT), 'tell me about this'", "SELECT CAST(-3 AS BIGINT), 'what is the formula z9 = 12 q9 + 5555?'",
         "SELECT CAST(-4 AS BIGINT), 'लेखापरीक्षणको सूत्र के हो'",
     ]
-    return f"SELECT qid, question, {none} AS scope FROM ({' UNION ALL '.join(every)}) q_"
+    return f"SELECT qid, question, {none} AS scope, '' AS aux FROM ({' UNION ALL '.join(every)}) q_"
 
 
 def devanagari(d: Dialect, text: str) -> str:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions.dialect import DUCK, SPARK
-from docquarry.plans import answers, catalog, derived, fixtures, mixed, scopes
+from docquarry.plans import answers, attached, catalog, derived, fixtures, mixed, scopes, upkeep
 from docquarry.plans.relations import duck_sql, kept
 
-BUILDERS = catalog.QUERIES | answers.QUERIES
-OVER_BLOCKS = mixed.QUERIES | fixtures.QUERIES
+BUILDERS = catalog.QUERIES | answers.QUERIES | upkeep.QUERIES | upkeep.DELETED
+OVER_BLOCKS = mixed.QUERIES | fixtures.QUERIES | {"attachments": lambda d: "SELECT doc_id, aux FROM @attachments@"}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over_documents = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir).statement(b(SPARK)) for name, build in BUILDERS.items()}
     over_blocks = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "mixed", derived.MIXED).statement(b(SPARK)) for name, build in OVER_BLOCKS.items()}
     over_scopes = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "scoped", scopes.SCOPED).statement(b(SPARK)) for name, build in scopes.QUERIES.items()}
-    return over_documents | over_blocks | over_scopes
+    over_talk = {name: lambda spark, sf_dir, b=build: kept(spark, sf_dir, "attached", attached.ATTACHED).statement(b(SPARK)) for name, build in attached.QUERIES.items()}
+    return over_documents | over_blocks | over_scopes | over_talk
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: duck_sql(build(DUCK)) for name, build in BUILDERS.items()}
-    for over, changed in ((OVER_BLOCKS, derived.MIXED), (scopes.QUERIES, scopes.SCOPED)):
+    for over, changed in ((upkeep.DELETED, upkeep.REBUILT), (OVER_BLOCKS, derived.MIXED), (scopes.QUERIES, scopes.SCOPED), (attached.QUERIES, attached.ATTACHED)):
         found |= {name: duck_sql(build(DUCK), changed) for name, build in over.items()}
     return found

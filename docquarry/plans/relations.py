@@ -191,23 +191,25 @@ def vecs(d: Dialect) -> str:
 
 @relation
 def asked(d: Dialect) -> str:
-    """(qid, question, scope): one question an id, the first by its text; rows without an id are left out. A null scope is
-    all documents."""
+    """(qid, question, scope, aux): one question an id, the first by its text; rows without an id are left out. A null scope is
+    all documents; aux is the text of what is attached to the question, empty where nothing is."""
     first = "SELECT item_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(text, '')) AS nth FROM @benchmark@ WHERE item_id IS NOT NULL"
-    return f"SELECT item_id AS qid, text AS question, CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS scope FROM ({first}) f_ WHERE nth = 1"
+    return f"SELECT item_id AS qid, text AS question, CAST(NULL AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS scope, '' AS aux FROM ({first}) f_ WHERE nth = 1"
 
 
 @relation
 def questions(d: Dialect) -> str:
+    """Questions with their words. What is attached joins the question's vector, and stands in for its topic words where it has none."""
     kinds = [(k, w) for k, w in (("image", W.IMAGE_WORDS), ("table", W.TABLE_WORDS), ("equation", W.EQUATION_WORDS))]
     raw = d.raw_tokens("lower(question)")
     mods = ", ".join(f"{d.any('raw', 't', f't IN ({quoted(w)})')} AS asks_{k}" for k, w in kinds)
-    return f"SELECT qid, question, scope, words, terms, raw, {mods} FROM (SELECT qid, question, scope, {d.tokens('question')} AS words, {d.content_tokens('question')} AS terms, {raw} AS raw FROM @asked@) q_"
+    read = f"SELECT qid, question, scope, aux, {d.tokens('question')} AS words, {d.tokens(f'question || {chr(39)} {chr(39)} || aux')} AS all_words, {d.content_tokens('question')} AS own, {d.content_tokens('aux')} AS attached, {raw} AS raw FROM @asked@"
+    return f"SELECT qid, question, scope, aux, words, all_words, own, CASE WHEN {d.size('own')} > 0 THEN own ELSE attached END AS terms, raw, {mods} FROM ({read}) q_"
 
 
 @relation
 def question_vecs(d: Dialect) -> str:
-    return f"SELECT qid, scope, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid, scope', '@questions@')}) n_"
+    return f"SELECT qid, scope, v AS qv, CAST({dot(d, 'v', 'v')} AS BIGINT) AS qnorm2 FROM ({vector(d, 'qid, scope', '@questions@', 'all_words')}) n_"
 
 
 def cosine(d: Dialect, q: str, i: str) -> str:
@@ -352,17 +354,19 @@ def entity_df(d: Dialect) -> str:
     return "SELECT entity, count(*) AS df FROM @entity_tf@ GROUP BY entity"
 
 
-@relation
-def mentions(d: Dialect) -> str:
+def weighed(d: Dialect, tf: str, df: str, n: str) -> str:
+    """The eight entities of each item that weigh most, of its counts tf, document frequencies df and the number of items n."""
     weight = "round(tf * ln(1 + CAST(n AS DOUBLE) / df) * CASE WHEN entity LIKE '% %' THEN CAST(1.3 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END, 9)"
-    scored = (
-        f"SELECT t.doc_id, t.idx, t.entity, t.tf, f.df, c.n FROM @entity_tf@ t JOIN @entity_df@ f ON t.entity = f.entity "
-        "CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM @items@) c"
-    )
+    scored = f"SELECT t.doc_id, t.idx, t.entity, t.tf, f.df, c.n FROM {tf} t JOIN {df} f ON t.entity = f.entity CROSS JOIN ({n}) c"
     kept = f"SELECT doc_id, idx, entity, tf, {weight} AS weight FROM ({scored}) s_ WHERE n < {W.SMALL_CORPUS} OR df <= {W.TOO_COMMON} * n"
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY weight DESC, entity DESC) AS rank FROM ({kept}) k_) r_ WHERE rank <= {W.ENTITIES_PER_ITEM}"
 
 
+@relation
+def mentions(d: Dialect) -> str:
+    return weighed(d, "@entity_tf@", "@entity_df@", "SELECT greatest(count(*), 1) AS n FROM @items@")
+
+
 @relation
 def cooccur(d: Dialect) -> str:
     return "SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM @mentions@ a JOIN @mentions@ b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity <> b.entity GROUP BY a.entity, b.entity"
@@ -378,7 +382,7 @@ def struct_edges(d: Dialect) -> str:
 
 @relation
 def question_entities(d: Dialect) -> str:
-    stems = d.each("terms", "t", d.stem("t"))
+    stems = d.each("own", "t", d.stem("t"))
     words_ = d.each("raw", "t", d.stem("t"))
     single = d.explode("@questions@", "qid", stems, "spot", "entity")
     raw = d.explode("@questions@", "qid", words_, "spot", "entity")
@@ -495,7 +499,7 @@ def asked_formulas(d: Dialect) -> str:
     """(qid, formula): what of a question looks like a formula, for those that hold one."""
     pieces = d.split("replace(question, '?', ' ')", r"\s+")
     formula = d.join(d.keep(pieces, "t", f"length(t) > 0 AND NOT {d.matches('t', '^\\p{L}{2,}$')}"), "' '")
-    return f"SELECT qid, formula FROM (SELECT qid, {formula} AS formula FROM @questions@) f_ WHERE formula LIKE '%=%' AND length(replace(formula, ' ', '')) >= 3"
+    return f"SELECT qid, formula FROM (SELECT qid, {formula} AS formula FROM @questions@ WHERE aux = '') f_ WHERE formula LIKE '%=%' AND length(replace(formula, ' ', '')) >= 3"
 
 
 @relation
@@ -523,7 +527,7 @@ def decisions(d: Dialect) -> str:
     A formula that no equation holds isn't found."""
     summary = d.any("q.words", "t", f"t IN ({quoted(W.SUMMARY)})")
     return (
-        f"SELECT q.qid, CASE WHEN q.scope IS NOT NULL AND e.scope IS NULL THEN 'no_documents' WHEN f.qid IS NOT NULL AND h.qid IS NOT NULL THEN 'formula' WHEN f.qid IS NOT NULL THEN 'not_found' WHEN {summary} AND {d.size('q.terms')} = 0 THEN 'summary' "
+        f"SELECT q.qid, CASE WHEN q.scope IS NOT NULL AND e.scope IS NULL THEN 'no_documents' WHEN f.qid IS NOT NULL AND h.qid IS NOT NULL THEN 'formula' WHEN f.qid IS NOT NULL THEN 'not_found' WHEN {summary} AND {d.size('q.own')} = 0 AND q.aux = '' THEN 'summary' "
         f"WHEN {d.size('q.terms')} = 0 THEN 'generic' WHEN NOT g.supported THEN 'not_found' WHEN a.qid IS NOT NULL THEN 'ambiguous' ELSE 'answer' END AS route, "
         f"CASE WHEN {d.matches('q.question', '[\\x{0900}-\\x{097F}]')} THEN 'ne' ELSE 'en' END AS lang, g.confidence "
         "FROM @questions@ q LEFT JOIN (SELECT DISTINCT scope FROM @scope_docs@) e ON q.scope = e.scope LEFT JOIN @asked_formulas@ f ON q.qid = f.qid LEFT JOIN @formula_hits@ h ON q.qid = h.qid JOIN @gate@ g ON q.qid = g.qid LEFT JOIN (SELECT DISTINCT qid FROM @ambiguous@) a ON q.qid = a.qid"
@@ -536,7 +540,7 @@ def ambiguous(d: Dialect) -> str:
     line = "OVER (PARTITION BY h.qid ORDER BY h.hybrid DESC, h.doc_id, h.idx)"
     ranked = (
         f"SELECT h.qid, h.doc_id, h.idx, h.hybrid, h.coverage, coalesce(h.section, CAST(h.page AS VARCHAR(9))) AS spot, row_number() {line} AS r, first_value(h.hybrid) {line} AS best_h, first_value(h.coverage) {line} AS best_c "
-        f"FROM @hits@ h JOIN @questions@ q ON h.qid = q.qid WHERE {d.size('q.terms')} BETWEEN 1 AND {W.AMBIGUOUS_TERMS}"
+        f"FROM @hits@ h JOIN @questions@ q ON h.qid = q.qid WHERE q.aux = '' AND {d.size('q.terms')} BETWEEN 1 AND {W.AMBIGUOUS_TERMS}"
     )
     close = f"SELECT * FROM ({ranked}) r_ WHERE best_c > 0 AND hybrid >= best_h * {W.AMBIGUOUS_RATIO} AND coverage >= best_c"
     listed = f"SELECT c.qid, {d.collect(d.struct('r', 'doc_id', 'idx', 'spot', 'v', 'norm2'), 'r')} AS every FROM (SELECT k.qid, k.r, k.doc_id, k.idx, k.spot, v.v, v.norm2 FROM ({close}) k JOIN @vecs@ v ON k.doc_id = v.doc_id AND k.idx = v.idx) c GROUP BY c.qid"

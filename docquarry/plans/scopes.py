@@ -30,7 +30,7 @@ def asked(d: Dialect) -> str:
     first = "SELECT item_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(text, '')) AS nth FROM @benchmark@ WHERE item_id IS NOT NULL"
     also = " UNION ALL ".join(f"SELECT {n}, {d.text(text)}" for n, text in ALSO)
     names = "SELECT scope, row_number() OVER (ORDER BY scope) + 1 AS place FROM (SELECT DISTINCT scope FROM @scope_docs@) n_ UNION ALL SELECT NULL, 0 UNION ALL SELECT 'none', 1"
-    return f"SELECT CAST(q.item_id * 1000 + s.place AS BIGINT) AS qid, q.text AS question, s.scope FROM (SELECT item_id, text FROM ({first}) f_ WHERE nth = 1 UNION ALL {also}) q CROSS JOIN ({names}) s WHERE q.item_id < 0 OR s.scope IS NULL OR s.scope NOT LIKE 'newest:%'"
+    return f"SELECT CAST(q.item_id * 1000 + s.place AS BIGINT) AS qid, q.text AS question, s.scope, '' AS aux FROM (SELECT item_id, text FROM ({first}) f_ WHERE nth = 1 UNION ALL {also}) q CROSS JOIN ({names}) s WHERE q.item_id < 0 OR s.scope IS NULL OR s.scope NOT LIKE 'newest:%'"
 
 
 SCOPED: dict[str, Callable[[Dialect], str]] = {"scope_docs": scope_docs, "asked": asked}

@@ -2,7 +2,11 @@
 
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
+
+from docquarry.plans import relations
 from docquarry.sources import store, text_files
 from docquarry.streaming import folder
 
@@ -65,3 +69,43 @@ def test_files_store_and_stream(spark, tmp_path):
     assert [r.doc_id for r in store.add_new(store.current(spark, str(tmp_path / "store"), "docs"), again).collect()] == [6]
     assert store.delete_all(spark, str(tmp_path / "store"), "docs").count() == 0
     assert [r.doc_id for r in store.without_documents(rows, rows.where("doc_id = 1")).collect()] == [2]
+
+
+def test_versions_of_the_store(spark, tmp_path):
+    """Two writers from one version: one wins, the other is told and leaves nothing; old versions stay readable."""
+    root = str(tmp_path / "store")
+    rows = lambda *ids: spark.createDataFrame([(i, f"d{i}") for i in ids], "doc_id long, sha256 string")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    with pytest.raises(FileNotFoundError):
+        store.current(spark, root, "docs")
+    assert store.save(rows(1), root, "docs", after=0) == 1
+    with pytest.raises(store.Outrun):
+        store.save(rows(9), root, "docs", after=0)
+    assert store.save(rows(1, 2), root, "docs", after=1) == 2 and store.save(rows(), root, "docs") == 3
+    assert store.versions(spark, root, "docs") == [1, 2, 3]
+    assert [ids(store.read(spark, root, "docs", n)) for n in (1, 2, 3)] == [[1], [1, 2], []] and ids(store.current(spark, root, "docs")) == []
+    assert len([p for p in (tmp_path / "store" / "docs").iterdir() if p.name.startswith("v-")]) == 3
+    assert not [p for p in (tmp_path / "store" / "docs" / "log").iterdir() if p.name.startswith("_")]
+
+
+def test_many_writers_each_get_a_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    with ThreadPoolExecutor(6) as pool:
+        made = list(pool.map(lambda i: store.save(spark.createDataFrame([(i,)], "doc_id long"), root, "t"), range(6)))
+    assert sorted(made) == store.versions(spark, root, "t") == [1, 2, 3, 4, 5, 6]
+    assert sorted(store.read(spark, root, "t", n).first().doc_id for n in made) == list(range(6))
+
+
+def test_restored_equals_rebuilt(spark):
+    docs = spark.createDataFrame([(i, f"Words of document {i} that are enough for an item, and more of them {i * i}.", "a") for i in range(12)], "doc_id long, text string, source string")
+    corpus = relations.Corpus(spark, None, documents=docs)
+    words, vecs = corpus.frame("item_words"), corpus.frame("vecs")
+    seen = []
+
+    def embed(missing):
+        seen.extend(sorted(r.doc_id for r in missing.collect()))
+        return relations.Corpus(spark, None, item_words=missing).frame("vecs")
+
+    held = vecs.where("doc_id % 4 <> 1").unionByName(vecs.where("doc_id = 3").selectExpr("99 AS doc_id", "idx", "v", "norm2"))
+    found = store.restored(words, held, embed)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vecs.collect())) and seen == [1, 5, 9]
