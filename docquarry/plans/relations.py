@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.functions import words as W
 from docquarry.functions.dialect import CAPITALS, DUCK, SPARK, Dialect, quoted
-from docquarry.operators import dense_scan, overlap_scan
+from docquarry.operators import dense_scan, latent, overlap_scan
 from docquarry.sources import store
 
 DIM = 64
@@ -39,20 +39,34 @@ class Corpus:
     """The relations over one set of tables: the driver's, those of a deployment, or blocks of parsed files.
 
     sf_dir holds the tables as Parquet. changed maps names of relations or tables to statements that take their place
-    (plans.mixed.OVER_BLOCKS: items made of @blocks@), given maps names to DataFrames that stand for them.
+    (plans.mixed.OVER_BLOCKS: items made of @blocks@), given maps names to DataFrames that stand for them. fit makes a model of
+    item_words (operators.latent.fit, or anything with its vectors()) whose vectors take the place of hashed counts.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None = None, changed: dict[str, Callable[[Dialect], str]] | None = None, **given: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, changed: dict[str, Callable[[Dialect], str]] | None = None, fit: Callable[[DataFrame], latent.Latent] | None = None, **given: DataFrame) -> None:
         self.spark, self.sf_dir, self.relations = spark, sf_dir, RELATIONS | (changed or {})
         self._given, self._made = given, dict(given)
         self._folder: str | None = None
+        self._fit, self._model = fit, None
+
+    def _embedded(self, name: str) -> DataFrame:
+        """Vectors of the corpus's own model for items, questions and sentences."""
+        if self._model is None:
+            self._model = self._fit(self.frame("item_words"))
+        if name == "vecs":
+            return self._model.vectors(self.frame("item_words"), ["doc_id", "idx"], "words")
+        if name == "question_vecs":
+            return self._model.vectors(self.frame("questions"), ["qid", "scope"], "all_words", "qv", "qnorm2")
+        return self._model.vectors(self.frame("sentence_rows").withColumnRenamed("spot", "sat"), ["qid", "hit", "sat"], "words")
 
     def frame(self, name: str) -> DataFrame:
         """The relation as a DataFrame."""
         if name not in self._made:
             if name not in self.relations:
                 return self._table(name)
-            if name in dense_scan.SCANS:
+            if self._fit is not None and name in ("vecs", "question_vecs", "sentence_vecs"):
+                df = self._embedded(name)
+            elif name in dense_scan.SCANS:
                 df = dense_scan.SCANS[name](self.frame("vecs"), self.frame("question_vecs"), W.CANDIDATES, self.frame("scope_docs"))
             elif name == "top_words":
                 df = overlap_scan.top_overlap(self.frame("item_words"), self.frame("questions"), W.CANDIDATES // 2, self.frame("scope_docs"))
@@ -85,7 +99,7 @@ class Corpus:
 
     def release(self) -> None:
         """Forgets the relations that were made and deletes the folder of the stored ones."""
-        self._made = dict(self._given)
+        self._made, self._model = dict(self._given), None
         if self._folder is not None:
             store.remove(self.spark, self._folder)
             self._folder = None
@@ -101,7 +115,7 @@ def release() -> None:
     _KEPT.clear()
 
 
-def kept(spark: SparkSession, sf_dir: str, label: str = "", changed: dict[str, Callable[[Dialect], str]] | None = None) -> Corpus:
+def kept(spark: SparkSession, sf_dir: str, label: str = "", changed: dict[str, Callable[[Dialect], str]] | None = None, fit: Callable[[DataFrame], latent.Latent] | None = None) -> Corpus:
     """The session's corpus over the tables in sf_dir; a label for each set of changed relations.
 
     It holds as long as the files of the folder stay as they are: their paths, sizes and times are looked up each time.
@@ -110,7 +124,7 @@ def kept(spark: SparkSession, sf_dir: str, label: str = "", changed: dict[str, C
     if key in _KEPT and _KEPT[key][0] != state:
         _KEPT.pop(key)[1].release()
     if key not in _KEPT:
-        _KEPT[key] = (state, Corpus(spark, sf_dir, changed))
+        _KEPT[key] = (state, Corpus(spark, sf_dir, changed, fit))
     return _KEPT[key][1]
 
 

@@ -2,12 +2,14 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
 from oracle import differences, plain
 
 from docquarry.functions.dialect import SPARK
+from docquarry.operators import latent
 from docquarry.plans import registry, relations, scopes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, token string, scope string, idx string"
@@ -17,7 +19,7 @@ TABLES = {
     "pages": "page_id long, url string, html string", "part": "p_partkey long, p_name string, p_size int",
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string", "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
 }
-NAMES = list(registry.queries())
+NAMES = list(registry.oracle_sql())
 
 
 def sentence(i, n=9):
@@ -135,6 +137,52 @@ def test_near_words_are_all_matches(spark, tmp_path):
     assert {(x.qid, x.doc_id, x.idx): round(x.coverage, 9) for x in corpus.frame("hits").collect()}.items() <= {k: round(m / n, 9) for k, (n, m) in brute.items()}.items() | {(k, 0.0) for k in {(x.qid, x.doc_id, x.idx) for x in corpus.frame("hits").collect()} - set(brute)}
 
 
+@pytest.mark.parametrize("name", sorted(registry.LATENT))
+def test_trained_vectors_take_odd_tables(spark, awkward, nothing, name):
+    assert registry.queries()[name](spark, awkward).count() > 0
+    assert registry.queries()[name](spark, nothing).count() == 0
+
+
+def test_trained_vectors_against_a_dense_decomposition(spark):
+    r = np.random.default_rng(4)
+    topics = r.dirichlet(np.full(300, 0.05), 20)
+    said = [sorted({f"w{w}" for w in r.choice(300, 25, p=topics[i % 20])}) for i in range(700)]
+    items = spark.createDataFrame([(i // 4, i % 4, w) for i, w in enumerate(said)], "doc_id long, idx int, words array<string>").repartition(5)
+    model = latent.fit(items, rank=12, buckets=1024, passes=3)
+    dense = np.zeros((700, 1024))
+    for i, words in enumerate(said):
+        for w in words:
+            dense[i, zlib.crc32(w.encode()) % 1024] += 1
+    idf = np.log1p(700 / np.maximum((dense > 0).sum(axis=0), 1))
+    weighed = np.zeros_like(dense)
+    for i, words in enumerate(said):
+        entries = [zlib.crc32(w.encode()) % 1024 for w in words]
+        norm = np.sqrt(sum(idf[c] ** 2 for c in entries))
+        for c in entries:
+            weighed[i, c] += idf[c] / norm
+    _, strengths, turned = np.linalg.svd(weighed, full_matrices=False)
+    assert np.allclose(model.strengths, strengths[:12], rtol=1e-3)
+    assert np.allclose(model.directions @ model.directions.T, turned[:12].T @ turned[:12], atol=0.05)
+    found = {(x.doc_id, x.idx): np.array(x.v) for x in model.vectors(items, ["doc_id", "idx"], "words").collect()}
+    for i in (0, 13, 699):
+        expected = weighed[i] @ model.directions
+        assert np.allclose(found[i // 4, i % 4], expected / np.linalg.norm(expected) * latent.UNIT, atol=1)
+    asked = spark.createDataFrame([(1, ["w1", "unknown"]), (2, []), (3, None)], "qid long, words array<string>")
+    assert {x.qid for x in model.vectors(asked, ["qid"], "words").collect()} == {1}
+
+
+def test_trained_vectors_stand_out_more_on_questions_not_seen(spark):
+    """Half the words of an item ask for it: z of the trained vectors against that of hashed counts."""
+    r = random.Random(9)
+    groups = [[f"topic{g}word{n}" for n in range(40)] for g in range(12)]
+    docs = [(i, " ".join(r.sample(groups[i % 12], 14)) + " and so on it goes.", "en", "a", 1, None, None, None) for i in range(240)]
+    asked = [(q, " ".join(r.sample(groups[q % 12], 6))) for q in range(24)]
+    frames = {"documents": spark.createDataFrame(docs, DOCUMENTS), "benchmark": spark.createDataFrame(asked, "item_id long, text string")}
+    z = {fit: np.mean([x.z for x in relations.Corpus(spark, None, fit=fit, **frames).frame("spread").collect()]) for fit in (None, lambda items: latent.fit(items, rank=12))}
+    right = [x.doc_id % 12 == x.qid % 12 for x in relations.Corpus(spark, None, fit=lambda items: latent.fit(items, rank=12), **frames).frame("top_dense").where("r <= 10").collect()]
+    assert np.mean(right) > 0.99 and all(v > 1.5 for v in z.values())
+
+
 def test_scans_over_many_batches(spark):
     from docquarry.operators import dense_scan, overlap_scan
 
