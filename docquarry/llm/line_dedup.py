@@ -151,8 +151,8 @@ def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHAR
     probe = renamed.select("p_doc_id", "p_pos", F.explode(F.array(*_probe_keys(line, n, most))).alias("p_key"))
     shared = F.col("key") == F.col("p_key")
     other = (F.col("doc_id") != F.col("p_doc_id")) | (F.col("pos") != F.col("p_pos"))
-    sought = index.join(probe, shared & other, "left_semi")
-    seeking = probe.join(sought.select("key").distinct().hint("shuffle_hash"), shared, "left_semi")
+    seeking = probe.join(index.hint("shuffle_hash"), shared & other, "left_semi")
+    sought = index.join(seeking.select("p_key").distinct().hint("shuffle_hash"), shared, "left_semi")
     theirs = _marked(docs, seeking.select(F.col("p_doc_id").alias("doc_id"), F.col("p_pos").alias("pos"), F.col("p_key").alias("key")), most)
     theirs = theirs.select("key", F.col("doc_id").alias("p_doc_id"), F.col("pos").alias("p_pos"), F.col("mark").alias("p_mark"))
     met = _marked(docs, sought, most).join(theirs, "key").where(_may_be_near(most))
