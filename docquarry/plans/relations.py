@@ -49,6 +49,13 @@ class Corpus:
         self._folder: str | None = None
         self._fit, self._model = fit, None
 
+    def has(self, name: str) -> bool:
+        return name in self._made
+
+    def give(self, name: str, df: DataFrame) -> None:
+        """Lets a DataFrame stand for a relation or table from now on."""
+        self._given[name] = self._made[name] = df
+
     def _embedded(self, name: str) -> DataFrame:
         """Vectors of the corpus's own model for items, questions and sentences."""
         if self._model is None:
