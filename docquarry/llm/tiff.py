@@ -234,11 +234,16 @@ def pages(data: bytes) -> Iterator[Page]:
         raise ValueError("this isn't a TIFF file")
     (at,) = struct.unpack_from(order + "I", data, 4)
     seen: set[int] = set()
+    total = 0
     try:
         while at and at not in seen:
             seen.add(at)
             tags, following = _directory(data, at, order)
-            yield _page(data, tags, len(seen) - 1, order)
+            page = _page(data, tags, len(seen) - 1, order)
+            total += page.pixels.nbytes
+            if total > GROWTH * len(data):
+                raise ValueError(f"{len(seen)} pages of {total} bytes can't be in a file of {len(data)} bytes, or share their strips")
+            yield page
             at = following
     except (struct.error, KeyError, IndexError, OverflowError, zlib.error) as fault:
         raise ValueError(f"damaged TIFF file: {fault!r}") from fault
@@ -380,7 +385,8 @@ def tiff_pages(files: DataFrame, key: str = "doc_id", media: str = "media") -> D
     """One row per page of each file: its number from 0, its layout and its samples, row by row.
 
     A null file gives no row. A file that can't be read gives the pages before the fault, then one row with the fault
-    in `error` and nothing else; it stops no other file.
+    in `error` and nothing else; it stops no other file. Pages of a file that are larger together than its bytes could
+    hold, as directories that share their strips can be, are such a fault.
     """
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
 
@@ -390,15 +396,15 @@ def tiff_pages(files: DataFrame, key: str = "doc_id", media: str = "media") -> D
         )
         for part in parts:
             for row_key, file in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                data, rows = file.as_py(), []
+                data = file.as_py()
                 if data is None:
                     continue
+                told = lambda *r: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True))], schema)
                 try:
-                    for p in pages(data):
-                        rows.append((row_key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.predictor, p.pixels.tobytes(), None))
+                    for p in pages(data):  # a page at a time: of a file's pages no two are held
+                        yield told(row_key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.predictor, p.pixels.tobytes(), None)
                 except ValueError as fault:
-                    rows.append((row_key, *[None] * 9, str(fault)))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+                    yield told(row_key, *[None] * 9, str(fault))
 
     chosen = files.select(F.col(key).cast("long").alias("key"), F.col(media).alias("media"))
     return chosen.mapInArrow(batches, PAGE_SCHEMA).withColumnRenamed("key", key)

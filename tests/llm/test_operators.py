@@ -134,6 +134,23 @@ def test_foreign_and_hostile_tiffs(spark):
     assert {x.doc_id for x in found if not x.error} <= {9}  # rows per strip of 0 is read as 1, and then lacks strips
 
 
+def test_directories_that_share_a_strip_end_in_a_fault(spark):
+    """Many directories over one well packed strip: pages come until they are more than the file could hold."""
+    import struct
+    import zlib as z
+
+    packed = z.compress(bytes(1 << 20), 9)
+    head, body = 8, packed + b"\0" * (len(packed) % 2)
+    fields = [(256, 4, 1024), (257, 4, 1024), (258, 3, 8), (259, 3, 8), (273, 4, head), (277, 3, 1), (278, 4, 1024), (279, 4, len(packed))]
+    size = 2 + 12 * len(fields) + 4
+    at = [head + len(body) + size * i for i in range(60)]
+    directories = b"".join(struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in fields) + struct.pack("<I", following) for following in [*at[1:], 0])
+    data = struct.pack("<2sHI", b"II", 42, at[0]) + body + directories
+    found = tiff.tiff_pages(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(tiff.payload_to_tiff(tiff.pad(b"abc"))))], "doc_id long, media binary")).collect()
+    assert 0 < sum(x.doc_id == 1 and x.error is None for x in found) < 60 and [x.error is not None for x in found if x.doc_id == 1][-1]
+    assert [x.error for x in found if x.doc_id == 2] == [None]
+
+
 def test_media_digests(docs, rows):
     """The columns of the query, recomputed from the stored bytes."""
     texts = {i: t for i, t, *_ in rows}
