@@ -69,33 +69,37 @@ def _plain(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def _segment(n: Column, k: int, most: int) -> tuple[Column, Column]:
-    """(start from 0, length) of the k-th of most + 1 segments of a line of n characters; the last ones are longer."""
+def _cut(lines: DataFrame, most: int) -> DataFrame:
+    """lines(line, n) with the shorter segment's length and the number of longer ones, for lines of n to n - most characters.
+
+    As columns of their own they are computed once, and the keys stay so short that the JVM compiles them.
+    """
     parts = most + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n - short * parts
-    before = F.greatest(F.lit(k) - (F.lit(parts) - longer), F.lit(0))
-    return short * k + before, short + F.when(F.lit(k) >= F.lit(parts) - longer, 1).otherwise(0)
+    for gap in range(most + 1):
+        lines = lines.withColumn(f"s{gap}", F.expr(f"cast((n - {gap}) div {parts} as int)")).withColumn(f"r{gap}", F.expr(f"n - {gap} - {parts} * cast((n - {gap}) div {parts} as int)"))
+    return lines
 
 
-def _key(line: Column, number: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, F.substring(line, start + 1, size))
+def _key(k: int, gap: int, most: int, shift: int = 0) -> Column:
+    """The hash of what stands, shifted, where the k-th of most + 1 segments of a line `gap` characters shorter does; the last
+    segments are the longer ones."""
+    start = f"{k} * s{gap} + greatest(r{gap} + {k - most - 1}, 0) + {shift + 1}"
+    size = f"s{gap} + greatest(least(r{gap} + {k - most}, 1), 0)"
+    return F.expr(f"xxhash64({k}, n - {gap}, substring(line, {start}, {size}))")
 
 
-def _index_keys(line: Column, n: Column, most: int) -> list[Column]:
-    return [_key(line, k, n, *_segment(n, k, most)) for k in range(most + 1)]
+def _index_keys(most: int) -> list[Column]:
+    return [_key(k, 0, most) for k in range(most + 1)]
 
 
-def _probe_keys(line: Column, n: Column, most: int) -> list[Column]:
+def _probe_keys(most: int) -> list[Column]:
     """Substrings that can be the k-th segment of a line of n - gap characters, both ends' edits considered."""
     keys = []
     for gap in range(most + 1):
-        other = n - gap
         for k in range(most + 1):
-            start, size = _segment(other, k, most)
             low = max(-k, gap - (most - k))
             high = min(k, gap + (most - k))
-            keys += [_key(line, k, other, start + shift, size) for shift in range(low, high + 1)]
+            keys += [_key(k, gap, most, shift) for shift in range(low, high + 1)]
     return keys
 
 
@@ -144,11 +148,10 @@ def near_line_pairs(docs: DataFrame, most: int = MOST, min_chars: int = MIN_CHAR
     lines' first occurrences, with the later one as b. docs needs doc_id (not null) and text (not null)."""
     firsts = _firsts(docs, min_chars)
     lines = _texts_of(docs, firsts)
-    measured = lines.withColumn("n", F.length("line"))
-    line, n = F.col("line"), F.col("n")
-    index = measured.select("doc_id", "pos", F.explode(F.array(*_index_keys(line, n, most))).alias("key"))
+    measured = _cut(lines.withColumn("n", F.length("line")), most)
+    index = measured.select("doc_id", "pos", F.explode(F.array(*_index_keys(most))).alias("key"))
     renamed = measured.withColumnsRenamed({"doc_id": "p_doc_id", "pos": "p_pos"})  # before the explode, else a semi join moves below it and shuffles anew
-    probe = renamed.select("p_doc_id", "p_pos", F.explode(F.array(*_probe_keys(line, n, most))).alias("p_key"))
+    probe = renamed.select("p_doc_id", "p_pos", F.explode(F.array(*_probe_keys(most))).alias("p_key"))
     shared = F.col("key") == F.col("p_key")
     other = (F.col("doc_id") != F.col("p_doc_id")) | (F.col("pos") != F.col("p_pos"))
     seeking = probe.join(index.hint("shuffle_hash"), shared & other, "left_semi")
