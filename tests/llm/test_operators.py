@@ -354,6 +354,30 @@ def test_passages_with_unrelated_words_between(spark):
     assert sorted((x.doc_id, x.start, x.end, x.other_id, x.other_start, x.other_end) for x in found) == [(1, 40, 100, 0, 30, 90), (1, 200, 260, 0, 190, 250)]
 
 
+def test_edited_passages_are_found(spark):
+    """Passages of 60 words of which every so many-th is another, among other words; every pair that a plain alignment
+    finds alike is asked for."""
+    r = random.Random(31)
+    pool = words(r, 3000).split()
+    texts, planted = [], []
+    for agreement in (0.95, 0.92, 0.9, 0.88, 0.85):
+        for _ in range(40):
+            passage = r.choices(pool, k=60)
+            edits, at = round(60 * (1 - agreement)), r.random()
+            edited = passage[:]
+            for i in range(edits):
+                edited[int((i + at) * 60 / edits)] = f"zz{r.randrange(10**6)}"
+            planted.append((len(texts) + 1, len(texts), agreement))
+            texts += [" ".join(r.choices(pool, k=n) + p + r.choices(pool, k=m)) for p, n, m in ((passage, 80, 75), (edited, 66, 90))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by_pair = {(x.doc_id, x.other_id): x for x in found}
+    assert set(by_pair) <= {(a, b) for a, b, _ in planted}
+    for agreement in (0.95, 0.92, 0.9, 0.88, 0.85):
+        some = [by_pair.get((a, b)) for a, b, g in planted if g == agreement]
+        share = sum(x is not None and x.start <= 66 + 8 and x.end >= 126 - 8 for x in some) / len(some)
+        assert share >= 0.9, (agreement, share)
+
+
 def test_every_exact_run_is_covered(spark):
     """Partial first copies, each too short to be reported, a repeated phrase, and random cuts, against brute force."""
     r = random.Random(24)
