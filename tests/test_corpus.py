@@ -211,3 +211,17 @@ def test_scans_over_many_batches(spark):
     assert found == {q: x for q, x in near.items() if x} and shared == {q: x for q, x in words.items() if x}
     z = {x.qid: x.z for x in dense_scan.spread(frame, questions, 50, members).collect()}
     assert {q for q, x in z.items() if x is not None} == set(moments) and all(abs(z[q] - m) < 1e-9 for q, m in moments.items())
+
+
+def test_entities_are_counted_and_weighed_without_moving_them_all(spark):
+    docs = [(n, f"Harbour Council met on quay {n}. " + " ".join(f"word{n}x{k} lantern{k % 5} harbour" for k in range(n % 9))) for n in range(40)]
+    docs += [(100 + n, "The same harbour lantern text stands in several places, harbour lantern harbour lantern.") for n in range(6)] + [(200, None), (201, "Oslo"), (202, "x")]
+    corpus = relations.Corpus(spark, documents=spark.createDataFrame([(n, t, "s") for n, t in docs], "doc_id long, text string, source string"))
+    plan = corpus.statement(relations.RELATIONS["entity_tf"](SPARK))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, "counts of an item are made in its row"
+    plain = corpus.statement(relations.weighed(SPARK, "@entity_tf@", "@entity_df@", "SELECT greatest(count(*), 1) AS n FROM @items@"))
+    columns = ["doc_id", "idx", "entity", "tf", "weight", "rank"]
+    assert sorted(map(tuple, corpus.frame("mentions").select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    both = corpus.statement("SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM @mentions@ a JOIN @mentions@ b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity <> b.entity GROUP BY a.entity, b.entity")
+    assert sorted(map(tuple, corpus.frame("cooccur").collect())) == sorted(map(tuple, both.collect()))
+    corpus.release()
