@@ -225,3 +225,10 @@ def test_entities_are_counted_and_weighed_without_moving_them_all(spark):
     both = corpus.statement("SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM @mentions@ a JOIN @mentions@ b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity <> b.entity GROUP BY a.entity, b.entity")
     assert sorted(map(tuple, corpus.frame("cooccur").collect())) == sorted(map(tuple, both.collect()))
     corpus.release()
+
+
+def test_hits_are_ranked_without_their_texts(spark):
+    corpus = relations.Corpus(spark, documents=spark.createDataFrame([(1, "The harbour council met on the quay.", "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council")], "item_id long, text string"))
+    ranked = corpus.frame("vector_order")
+    assert ranked.count() == 1 and not {"chunk", "filename"} & set(ranked.columns)
+    corpus.release()
