@@ -51,9 +51,7 @@ def left_df(d: Dialect) -> str:
 @relation
 def left_mentions(d: Dialect) -> str:
     """The mentions of the remaining items. Weights change with the number of items, so they are weighed again: in Spark of their
-    texts, which moves a third of what meeting all counts kept with their df would."""
-    if d.name == "spark":
-        return relations.weighed_items(d, "@left_items@")
+    texts, by docquarry.operators.entity_counts."""
     n = f"SELECT greatest((SELECT count(*) FROM @items@) - (SELECT count(*) FROM ({_taken('items')}) t_), 1) AS n"
     return relations.weighed(d, "@left_tf@", "@left_df@", n)
 

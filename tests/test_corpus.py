@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from oracle import differences, plain
 
 from docquarry.functions.dialect import SPARK
-from docquarry.operators import latent
+from docquarry.operators import entity_counts, latent
 from docquarry.plans import registry, relations, scopes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, token string, scope string, idx string"
@@ -227,6 +228,19 @@ def test_entities_are_counted_and_weighed_without_moving_them_all(spark):
     corpus.release()
 
 
+def test_entities_stay_in_their_groups(spark):
+    """Items are moved once, and besides them only hashes and counts."""
+    rows = [(n, k, " ".join(f"harbour lantern{(n * k) % 7} quay{n}" for _ in range(k))) for n in range(30) for k in range(5)]
+    items = spark.createDataFrame(rows, "doc_id long, idx int, chunk string")
+    found = entity_counts.weighed(items, relations.tally(SPARK, "chunk"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and len(set(re.findall(r"Exchange hashpartitioning\(grp#\d+L, \d+\), REPARTITION_BY_COL, \[plan_id=\d+\]", plan))) == 1
+    assert "Window" not in plan and "Join" not in plan
+    said = entity_counts.weighed(items.where("idx = 0"), relations.tally(SPARK, "chunk"))
+    assert said.collect() == [] and entity_counts.weighed(items.where("FALSE"), relations.tally(SPARK, "chunk")).collect() == []
+
+
 def test_hits_are_ranked_without_their_texts(spark):
     corpus = relations.Corpus(spark, documents=spark.createDataFrame([(1, "The harbour council met on the quay.", "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council")], "item_id long, text string"))
     ranked = corpus.frame("vector_order")
