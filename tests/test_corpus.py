@@ -241,6 +241,17 @@ def test_entities_stay_in_their_groups(spark):
     assert said.collect() == [] and entity_counts.weighed(items.where("FALSE"), relations.tally(SPARK, "chunk")).collect() == []
 
 
+def test_fuzzy_pairs_are_counted_where_the_items_lie(spark):
+    docs = [(n, f"Harbour council number {n} met on the quay with lanterns and harbours.", "s") for n in range(20)] + [(50, "Nothing alike stands here today.", "s")]
+    corpus = relations.Corpus(spark, documents=spark.createDataFrame(docs, "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour lantern councils"), (2, "quays"), (3, "zebra")], "item_id long, text string"))
+    found = corpus.frame("fuzzy_overlap")
+    rows = found.collect()
+    assert sorted((x.qid, x.doc_id, x.n_terms, x.matched) for x in rows) == sorted([(1, n, 3, 3) for n in range(20)] + [(2, n, 1, 1) for n in range(20)])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.search(r"Exchange hashpartitioning\([^)]*qid#\d+L?, doc_id", plan), "pairs of questions and items are shuffled"
+    corpus.release()
+
+
 def test_hits_are_ranked_without_their_texts(spark):
     corpus = relations.Corpus(spark, documents=spark.createDataFrame([(1, "The harbour council met on the quay.", "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council")], "item_id long, text string"))
     ranked = corpus.frame("vector_order")
