@@ -35,6 +35,11 @@ def order_tables(d: Dialect) -> str:
     return f"SELECT CAST(l_orderkey AS BIGINT) AS doc_id, {head} || {d.gathered('cells', 'nth, part, cells', d.newline())} AS body FROM ({rows}) r_ GROUP BY l_orderkey"
 
 
+def doc_tables(d: Dialect) -> str:
+    """Spark: order_tables of the orders that are documents; lines of others go before they become text."""
+    return order_tables(d).replace("FROM @lineitem@", "FROM @lineitem@ LEFT SEMI JOIN @source_docs@ s ON l_orderkey = s.doc_id")
+
+
 def price_rules(d: Dialect) -> str:
     """(doc_id, about, latex): an equation for the part of that number."""
     return "SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'Price rule of the ' || min(p_name) AS about, 'v_' || CAST(p_partkey AS VARCHAR(20)) || ' = ' || CAST(min(p_size) AS VARCHAR(20)) || ' m + ' || CAST(p_partkey AS VARCHAR(20)) AS latex FROM @part@ WHERE p_partkey IS NOT NULL GROUP BY p_partkey"
@@ -54,10 +59,11 @@ def blocks(d: Dialect) -> str:
         return f"SELECT s.doc_id, c.filename, {at}, '{kind}', 0, 'Part 1', {said} FROM ({source}) s JOIN (SELECT doc_id, filename FROM @source_docs@) c ON s.doc_id = c.doc_id"
 
     number = "CAST(s.doc_id AS VARCHAR(20))"
+    tables = "SELECT * FROM @doc_tables@" if d.name == "spark" else "SELECT * FROM @order_tables@"
     every = [
         f"SELECT doc_id, filename, CAST(line_no * {STEP} AS INT) AS block_idx, 'text' AS type, CAST({page} AS INT) AS page, 'Part ' || CAST({section} + 1 AS VARCHAR(20)) AS section, line AS text, {none} AS latex, {none} AS table_body, {none} AS caption, {none} AS footnote, {none} AS description FROM @text_lines@",
-        one("SELECT * FROM @order_tables@", 1, "text", text=f"'Table ' || {number} || ': Lines of order ' || {number}"),
-        one("SELECT * FROM @order_tables@", 2, "table", table_body="s.body"),
+        one(tables, 1, "text", text=f"'Table ' || {number} || ': Lines of order ' || {number}"),
+        one(tables, 2, "table", table_body="s.body"),
         one("SELECT * FROM @price_rules@", 3, "equation", text="s.about", latex="s.latex"),
         one("SELECT * FROM @web_pages@", 4, "image", description="CASE WHEN s.url LIKE 'https://%' THEN 'A page at ' || s.url END", footnote="CASE WHEN s.url LIKE '%?%' THEN 'Source: ' || s.url END"),
         one("SELECT * FROM @web_pages@ WHERE url LIKE '%.com%'", 5, "text", text=f"'Figure ' || {number} || ': Page of ' || s.host"),
@@ -122,6 +128,6 @@ def table_boxes(d: Dialect) -> str:
 
 
 MIXED: dict[str, Callable[[Dialect], str]] = mixed.OVER_BLOCKS | {
-    "source_docs": relations.docs, "text_lines": text_lines, "order_tables": order_tables, "price_rules": price_rules, "web_pages": web_pages, "blocks": blocks, "asked": asked,
+    "source_docs": relations.docs, "text_lines": text_lines, "order_tables": order_tables, "doc_tables": doc_tables, "price_rules": price_rules, "web_pages": web_pages, "blocks": blocks, "asked": asked,
     "damaged_texts": damaged_texts, "damaged_pairs": damaged_pairs, "scanned_words": scanned_words, "table_boxes": table_boxes,
 }
