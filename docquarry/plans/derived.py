@@ -59,6 +59,7 @@ def blocks(d: Dialect) -> str:
         return f"SELECT s.doc_id, c.filename, {at}, '{kind}', 0, 'Part 1', {said} FROM ({source}) s JOIN (SELECT doc_id, filename FROM @source_docs@) c ON s.doc_id = c.doc_id"
 
     number = "CAST(s.doc_id AS VARCHAR(20))"
+    events = "@events@ LEFT SEMI JOIN @source_docs@ s_ ON event_id = s_.doc_id" if d.name == "spark" else "@events@"
     tables = "SELECT * FROM @doc_tables@" if d.name == "spark" else "SELECT * FROM @order_tables@"
     every = [
         f"SELECT doc_id, filename, CAST(line_no * {STEP} AS INT) AS block_idx, 'text' AS type, CAST({page} AS INT) AS page, 'Part ' || CAST({section} + 1 AS VARCHAR(20)) AS section, line AS text, {none} AS latex, {none} AS table_body, {none} AS caption, {none} AS footnote, {none} AS description FROM @text_lines@",
@@ -67,7 +68,7 @@ def blocks(d: Dialect) -> str:
         one("SELECT * FROM @price_rules@", 3, "equation", text="s.about", latex="s.latex"),
         one("SELECT * FROM @web_pages@", 4, "image", description="CASE WHEN s.url LIKE 'https://%' THEN 'A page at ' || s.url END", footnote="CASE WHEN s.url LIKE '%?%' THEN 'Source: ' || s.url END"),
         one("SELECT * FROM @web_pages@ WHERE url LIKE '%.com%'", 5, "text", text=f"'Figure ' || {number} || ': Page of ' || s.host"),
-        one("SELECT CAST(event_id AS BIGINT) AS doc_id, min(props) AS props FROM @events@ WHERE event_id IS NOT NULL GROUP BY event_id", 6, "code", text="s.props"),
+        one(f"SELECT CAST(event_id AS BIGINT) AS doc_id, min(props) AS props FROM {events} WHERE event_id IS NOT NULL GROUP BY event_id", 6, "code", text="s.props"),
         one("SELECT CAST(doc_id AS BIGINT) AS doc_id FROM @labels@ WHERE quality = 0 GROUP BY doc_id", 7, "warning", text="'damaged_text'"),
     ]
     return " UNION ALL ".join(every)
@@ -80,10 +81,12 @@ def asked(d: Dialect) -> str:
     first = "SELECT item_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(text, '')) AS nth FROM @benchmark@ WHERE item_id IS NOT NULL"
     items = f"(SELECT CAST(item_id AS BIGINT) AS item_id, text FROM ({first}) f_ WHERE nth = 1)"
     words = d.split("text", r"\s+")
+    # in Spark the orders of all lines don't become tables for it
+    ordered = "LEFT SEMI JOIN @lineitem@ t ON t.l_orderkey = b.item_id" if d.name == "spark" else "JOIN @order_tables@ t ON t.doc_id = b.item_id"
     every = [
         f"SELECT item_id * 10 AS qid, text AS question FROM {items} b",
         f"SELECT b.item_id * 10 + 1, 'what is the formula ' || e.latex || '?' FROM {items} b JOIN @price_rules@ e ON e.doc_id = b.item_id",
-        f"SELECT b.item_id * 10 + 2, 'show the table with the lines of order ' || CAST(b.item_id AS VARCHAR(20)) FROM {items} b JOIN @order_tables@ t ON t.doc_id = b.item_id",
+        f"SELECT b.item_id * 10 + 2, 'show the table with the lines of order ' || CAST(b.item_id AS VARCHAR(20)) FROM {items} b {ordered}",
         f"SELECT b.item_id * 10 + 3, 'show the figure: page of ' || w.host FROM {items} b JOIN @web_pages@ w ON w.doc_id = b.item_id",
         f"SELECT item_id * 10 + 4, {d.at('words_', '1')} || ' ' || {d.at('words_', '2')} || '?' FROM (SELECT item_id, {words} AS words_ FROM {items} b) w_ WHERE {d.size('words_')} > 2",
         "SELECT CAST(-1 AS BIGINT), 'Summarize'", "SELECT CAST(-2 AS BIGINT), 'tell me about this'", "SELECT CAST(-3 AS BIGINT), 'what is the formula z9 = 12 q9 + 5555?'",
