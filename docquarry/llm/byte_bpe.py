@@ -2,8 +2,7 @@
 
 A text is split by a pattern; each piece is merged on its own. The pairs that could merge wait in buckets, one per
 merge rank, that hold positions in a doubly linked list of parts. Which buckets hold anything is kept in a bitmap of
-three levels (a bit per rank, a bit per word of 64 ranks, a bit per 64 words), so the next rank is three
-find-first-set steps away. A merge changes the ranks of its two neighbours; their old entries stay where they are and
+two levels (a bit per rank, a bit per word of 256 ranks), so the next rank is two find-first-set steps away. A merge changes the ranks of its two neighbours; their old entries stay where they are and
 are skipped as stale when they come up. Work per piece is O(n log n) for n bytes, also for one piece of a whole text.
 """
 
@@ -23,62 +22,15 @@ from pyspark.sql import functions as F
 class RankQueue:
     """Positions by merge rank: the smallest rank comes first and, within it, the smallest position.
 
-    buckets[rank] is None, one position, or a heap of them. The three bitmap levels say which buckets hold something.
-    Draining leaves everything empty, so one queue serves all pieces.
+    buckets[rank] is None, one position, or a heap of them. The bitmap says which buckets hold something.
+    Draining leaves everything empty, so one queue serves all pieces. ByteBPE.merge enters and takes positions.
     """
 
-    __slots__ = ("buckets", "middle", "top", "words")
+    __slots__ = ("buckets", "words")
 
     def __init__(self, n_ranks: int) -> None:
         self.buckets: list[int | list[int] | None] = [None] * (n_ranks + 1)
-        self.words = [0] * ((n_ranks >> 6) + 1)
-        self.middle = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket is not None:
-            if type(bucket) is int:
-                self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
-            else:
-                heappush(bucket, position)
-            return
-        self.buckets[rank] = position
-        high = rank >> 6
-        word = self.words[high]
-        self.words[high] = word | 1 << (rank & 63)
-        if not word:
-            higher = rank >> 12
-            middle = self.middle[higher]
-            self.middle[higher] = middle | 1 << (high & 63)
-            if not middle:
-                self.top |= 1 << higher
-
-    def pop(self) -> tuple[int, int]:
-        """The first (rank, position); (-1, -1) when empty."""
-        top = self.top
-        if not top:
-            return -1, -1
-        higher = (top & -top).bit_length() - 1
-        middle = self.middle[higher]
-        high = (higher << 6) + (middle & -middle).bit_length() - 1
-        word = self.words[high]
-        low = word & -word
-        rank = (high << 6) + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if type(bucket) is not int:
-            position = heappop(bucket)
-            if bucket:
-                return rank, position
-        else:
-            position = bucket
-        self.buckets[rank] = None
-        self.words[high] = word = word ^ low
-        if not word:
-            self.middle[higher] = middle = middle & (middle - 1)
-            if not middle:
-                self.top = top & (top - 1)
-        return rank, position
+        self.words = [0] * ((n_ranks >> 8) + 1)
 
 
 class PieceMemo(dict):
@@ -110,7 +62,7 @@ class PieceMemo(dict):
 class ByteBPE:
     """Encoder and decoder for the ranks of a tiktoken file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = 250_000, memo_chars: int = 48) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = 400_000, memo_chars: int = 48) -> None:
         """memo_entries: pieces, of at most memo_chars characters, in a generation of the memo."""
         self.ranks = ranks
         self.parts = {str(i): b for b, i in ranks.items()}
@@ -132,16 +84,42 @@ class ByteBPE:
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         rank_of = ranks.get
-        push, pop = self.queue.push, self.queue.pop
         current = [rank_of(piece[i : i + 2], -1) for i in range(n)]
         current[n - 1] = -1
-        for i, rank in enumerate(current):
-            if rank >= 0:
-                push(rank, i)
+        # entering and taking are written out here: most pieces have a few bytes, and calls would take longer than the work
+        queue = self.queue
+        buckets, words, top = queue.buckets, queue.words, 0
+        waiting = [(rank, i) for i, rank in enumerate(current) if rank >= 0]
         while True:
-            rank, i = pop()
-            if rank < 0:
+            for rank, position in waiting:
+                bucket = buckets[rank]
+                if bucket is None:
+                    buckets[rank] = position
+                    high = rank >> 8
+                    words[high] |= 1 << (rank & 255)
+                    top |= 1 << high
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+                else:
+                    heappush(bucket, position)
+            if not top:
                 break
+            first = top & -top
+            high = first.bit_length() - 1
+            word = words[high]
+            low = word & -word
+            rank = (high << 8) + low.bit_length() - 1
+            i = buckets[rank]
+            left_over = None
+            if type(i) is not int:
+                left_over = i
+                i = heappop(left_over)
+            if not left_over:
+                buckets[rank] = None
+                words[high] = word = word ^ low
+                if not word:
+                    top ^= first
+            waiting = []
             if current[i] != rank:
                 continue
             gone = after[i]
@@ -152,14 +130,14 @@ class ByteBPE:
                 before[end] = i
                 current[i] = new = rank_of(piece[i : after[end]], -1)
                 if new >= 0:
-                    push(new, i)
+                    waiting.append((new, i))
             else:
                 current[i] = -1
             left = before[i]
             if left >= 0:
                 current[left] = new = rank_of(piece[left:end], -1)
                 if new >= 0:
-                    push(new, left)
+                    waiting.append((new, left))
         ids, i = [], 0
         while i < n:
             end = after[i]

@@ -69,6 +69,30 @@ def test_bpe_agrees_with_tiktoken(docs, rows):
         assert bpe.encode(text) == known.encode_ordinary(text)
 
 
+def test_bpe_memo_keeps_what_a_worker_meets_again():
+    """Of 390,000 different pieces those that come again aren't merged again."""
+    path = byte_bpe.public_pattern_and_path()[1]
+    with open(path, "rb") as lines:
+        memo = byte_bpe.ByteBPE.from_lines(lines, " ").memo
+    merged = []
+    memo.encode = lambda piece: merged.append(piece) or [0]
+    for _ in range(2):
+        for n in range(390_000):
+            memo[f"w{n}"]
+            if n % 1_000 == 0:
+                memo.turn()
+    assert len(merged) == 390_000
+
+
+def test_bpe_queue_is_empty_after_each_piece():
+    pattern, path = byte_bpe.public_pattern_and_path()
+    bpe, r = byte_bpe.tokenizer(path, pattern), random.Random(2)
+    for n in (2, 3, 60, 3000):
+        piece = bytes(r.choice(b"aab e1 ") for _ in range(n))
+        assert b"".join(bpe.parts[str(i)] for i in bpe.merge(piece)) == piece
+        assert not any(bpe.queue.words) and set(bpe.queue.buckets) == {None}
+
+
 def test_tiff_round_trip(docs, rows):
     found = {(x.doc_id, x.payload_sha256, x.n_bytes) for x in tiff.media_features(docs).collect()}
     assert found == {(i, hashlib.sha256(tiff.pad((t or "").encode())).hexdigest(), len((t or "").encode())) for i, t, *_ in rows}
