@@ -19,3 +19,17 @@ def test_orders_without_a_document_do_not_become_tables(spark):
     found = {r.doc_id: r.body for r in corpus.frame("doc_tables").collect()}
     assert set(found) == {2} and found[2] == {r.doc_id: r.body for r in corpus.frame("order_tables").collect()}[2]
     corpus.release()
+
+
+def test_questions_about_orders_do_not_make_all_orders_into_tables(spark):
+    corpus = relations.Corpus(spark, "/root/testdata/sf0.001", derived.MIXED)
+    assert corpus.frame("asked").where("question like 'show the table%'").count() > 0
+    assert not corpus.has("order_tables")
+    corpus.release()
+
+
+def test_items_of_blocks_move_texts_once_and_without_windows(spark):
+    corpus = relations.Corpus(spark, changed=mixed.MIXED)
+    assert corpus.frame("items").where("type = 'table'").count() > 0
+    assert not corpus.has("placed_blocks") and not corpus.has("named_blocks")
+    corpus.release()
