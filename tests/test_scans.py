@@ -52,3 +52,24 @@ def test_tasks_do_not_grow_with_blocks(spark, tables):
     frame = tables[2].repartition(64)
     assert dense_scan.few_tasks(frame, 1).rdd.getNumPartitions() == 64
     assert all(b * dense_scan.few_tasks(frame, b).rdd.getNumPartitions() < 4 * spark.sparkContext.defaultParallelism + b for b in (2, 9, 50))
+
+
+def test_pairs_of_questions_and_items_move_without_texts(spark):
+    """Hits meet their items once, and texts come only to the hits that are shown."""
+    from docquarry.functions.dialect import SPARK
+    from docquarry.plans import relations
+
+    docs = [(n, f"The harbour council number {n} met on the quay with lanterns.", "s") for n in range(9)]
+    corpus = relations.Corpus(spark, documents=spark.createDataFrame(docs, "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council"), (2, "quays")], "item_id long, text string"))
+    assert not {"chunk", "filename"} & set(corpus.frame("hybrid_rows").columns)
+    corpus.frame("item_words"), corpus.frame("vecs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus.statement(relations.RELATIONS["hits"](SPARK))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "doc_id" in joins[0] and "doc_id" in joins[1] and all("qid" in j for j in joins[2:4]), joins
+    shown = corpus.frame("evidence").collect()
+    assert shown and all(x.chunk.startswith("The harbour") and x.filename == "s" for x in shown)
+    corpus.release()
