@@ -73,3 +73,23 @@ def test_pairs_of_questions_and_items_move_without_texts(spark):
     shown = corpus.frame("evidence").collect()
     assert shown and all(x.chunk.startswith("The harbour") and x.filename == "s" for x in shown)
     corpus.release()
+
+
+def test_topics_are_found_in_rounds(spark, monkeypatch):
+    """Copies fill the first picks, so that further rounds are needed; no row a token is made for them."""
+    from docquarry.plans import answers, relations, scopes
+
+    docs = [(n, "The harbour council met on the quay with copper lanterns and ropes.", "en", "s") for n in range(12)]
+    docs += [(20 + n, f"Village {word} keeps {word}house receipts for the auditor each spring.", "en" if n % 2 else "de", "s") for n, word in enumerate("amber birch cedar delta ember".split())]
+    frames = {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), "benchmark": spark.createDataFrame([(1, "harbour")], "item_id long, text string")}
+    rounds = {}
+    for picks in (32, 2):
+        monkeypatch.setattr(answers, "PICKS", picks)
+        monkeypatch.setattr(answers, "MORE", 3)
+        corpus = relations.Corpus(spark, None, scopes.SCOPED, **frames)
+        rounds[picks] = sorted(map(tuple, corpus.frame("topics").collect()))
+        assert not corpus.has("item_tokens") and not corpus.has("scope_words")
+    plain = corpus.statement(answers.topics(answers.SPARK))
+    assert rounds[2] == rounds[32] == sorted(map(tuple, plain.collect()))
+    assert {x[0] for x in rounds[2]} == {"*", "lang:en", "lang:de", "source:s", "newest:s"} and sum(x[0] == "*" for x in rounds[2]) == 4
+    corpus.release()
