@@ -51,7 +51,9 @@ def left_df(d: Dialect) -> str:
 @relation
 def left_mentions(d: Dialect) -> str:
     """The mentions of the remaining items. Weights change with the number of items, so they are weighed again: in Spark of their
-    texts, by docquarry.operators.entity_counts."""
+    texts, by docquarry.operators.entity_counts, once for all that reads them (left_entities)."""
+    if d.name == "spark":
+        return "SELECT doc_id, idx, e.entity, e.tf, e.df, e.weight, at + 1 AS rank FROM @left_entities@ LATERAL VIEW posexplode(said) AS at, e"
     n = f"SELECT greatest((SELECT count(*) FROM @items@) - (SELECT count(*) FROM ({_taken('items')}) t_), 1) AS n"
     return relations.weighed(d, "@left_tf@", "@left_df@", n)
 
@@ -59,14 +61,36 @@ def left_mentions(d: Dialect) -> str:
 @relation
 def regrouped(d: Dialect) -> str:
     """(doc_id, idx): remaining items whose eight entities are others than before."""
+    if d.name == "spark":
+        return "SELECT doc_id, idx FROM @changed_entities@ WHERE NOT taken"
     old, new = f"SELECT doc_id, idx, entity FROM ({_left('mentions')}) o_", "SELECT doc_id, idx, entity FROM @left_mentions@"
     one_side = lambda a, b: f"SELECT a.doc_id, a.idx FROM ({a}) a LEFT JOIN ({b}) b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity = b.entity WHERE b.entity IS NULL"
     return f"SELECT DISTINCT doc_id, idx FROM ({one_side(old, new)} UNION ALL {one_side(new, old)}) c_"
 
 
+@relation
+def changed_entities(d: Dialect) -> str:
+    """Spark: (doc_id, idx, taken, before, after): removed items and remaining ones whose eight entities are others than before, with
+    their entities in order; an item without any has none."""
+    listed = lambda name: f"SELECT doc_id, idx, array_sort(transform(said, e -> e.entity)) AS every FROM @{name}@"
+    old = f"SELECT t.doc_id, t.idx, t.every, g.doc_id IS NOT NULL AS taken FROM ({listed('item_entities')}) t LEFT JOIN @gone@ g ON t.doc_id = g.doc_id"
+    both = f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.idx, n.idx) AS idx, coalesce(o.taken, FALSE) AS taken, o.every AS before, n.every AS after FROM ({old}) o FULL JOIN ({listed('left_entities')}) n ON o.doc_id = n.doc_id AND o.idx = n.idx"
+    return f"SELECT * FROM ({both}) b_ WHERE NOT before <=> after"
+
+
+@relation
+def left_links(d: Dialect) -> str:
+    """Spark: what is left of links, each pair once (a < b): less the pairs of removed and regrouped items, with the new ones of the
+    latter. An item's pairs are made of its list."""
+    pairs = lambda side, sign: f"SELECT x AS a, y AS b, {sign}1L AS weight FROM (SELECT {side} AS every, x FROM @changed_entities@ LATERAL VIEW explode({side}) AS x) x_ LATERAL VIEW explode(filter(every, z -> z > x)) AS y"
+    return f"SELECT a, b, sum(weight) AS weight FROM (SELECT a, b, weight FROM @links@ UNION ALL {pairs('before', '-')} UNION ALL {pairs('after', '')}) u_ GROUP BY a, b HAVING sum(weight) > 0"
+
+
 @relation
 def left_cooccur(d: Dialect) -> str:
     """Co-occurrence less the pairs of removed and regrouped items, and with the new pairs of the latter."""
+    if d.name == "spark":
+        return "SELECT a, b, weight FROM (SELECT inline(array(named_struct('a', a, 'b', b, 'weight', weight), named_struct('a', b, 'b', a, 'weight', weight))) FROM @left_links@) l_"
 
     def pairs(rows: str, sign: str) -> str:
         return f"SELECT a.entity AS a, b.entity AS b, {sign}count(*) AS weight FROM ({rows}) a JOIN ({rows}) b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity <> b.entity GROUP BY a.entity, b.entity"

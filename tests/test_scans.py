@@ -57,7 +57,7 @@ def test_tasks_do_not_grow_with_blocks(spark, tables):
 def test_pairs_of_questions_and_items_move_without_texts(spark):
     """Hits meet their items once, and texts come only to the hits that are shown."""
     from docquarry.functions.dialect import SPARK
-    from docquarry.plans import relations
+    from docquarry.plans import registry, relations  # noqa: F401  (registers all relations)
 
     docs = [(n, f"The harbour council number {n} met on the quay with lanterns.", "s") for n in range(9)]
     corpus = relations.Corpus(spark, documents=spark.createDataFrame(docs, "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council"), (2, "quays")], "item_id long, text string"))
@@ -93,3 +93,18 @@ def test_topics_are_found_in_rounds(spark, monkeypatch):
     assert rounds[2] == rounds[32] == sorted(map(tuple, plain.collect()))
     assert {x[0] for x in rounds[2]} == {"*", "lang:en", "lang:de", "source:s", "newest:s"} and sum(x[0] == "*" for x in rounds[2]) == 4
     corpus.release()
+
+
+def test_what_is_left_is_weighed_once_and_paired_by_item(spark, tmp_path):
+    from docquarry.plans import registry, relations  # noqa: F401  (registers all relations)
+
+    docs = [(n, f"Harbour council {n % 4} met on quay {n % 3} with lantern{n % 5} and rope{n}.", "s") for n in range(14)]
+    frames = {"documents": spark.createDataFrame(docs, "doc_id long, text string, source string"), "labels": spark.createDataFrame([(n, n % 3 % 2, 0) for n in range(14)], "doc_id long, quality int, toxic int")}
+    corpus = relations.Corpus(spark, **frames)
+    found = sorted(map(tuple, corpus.frame("left_cooccur").collect()))
+    plain = corpus.statement("SELECT a.entity, b.entity, count(*) AS weight FROM @left_mentions@ a JOIN @left_mentions@ b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.entity <> b.entity GROUP BY a.entity, b.entity")
+    assert found == sorted(map(tuple, plain.collect())) and found
+    assert corpus.frame("regrouped").count() > 0 and corpus.has("left_entities")
+    plan = corpus.frame("left_cooccur")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapGroups" not in plan and "CoGroup" not in plan
+    corpus.release()
