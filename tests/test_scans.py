@@ -108,3 +108,23 @@ def test_what_is_left_is_weighed_once_and_paired_by_item(spark, tmp_path):
     plan = corpus.frame("left_cooccur")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapGroups" not in plan and "CoGroup" not in plan
     corpus.release()
+
+
+def test_sums_of_directions_go_on_in_pieces(monkeypatch):
+    """A task adds to one sum, entry by entry in pieces, and takes no matrix of its own for each batch."""
+    import pyarrow as pa
+
+    from docquarry.operators import latent
+
+    r = np.random.default_rng(4)
+    words = pa.array([[f"w{w}" for w in sorted(set(r.integers(0, 300, n % 9)))] for n in range(50)], pa.list_(pa.string()))
+    idf, q = r.random(64) + 0.5, r.standard_normal((64, 5))
+    row, column, weight = latent._rows(words, idf, 64)
+    dense = np.zeros((50, 64))
+    np.add.at(dense, (row, column), weight)
+    for piece in (3, 1_000):
+        monkeypatch.setattr(latent, "PIECE", piece)
+        total = np.ones((64, 5))
+        latent._squared(words, total, idf, q)
+        assert np.allclose(total, 1 + dense.T @ (dense @ q))
+        assert np.allclose(latent._folded(row, column, weight, q, 50), dense @ q)
