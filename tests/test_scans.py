@@ -62,14 +62,10 @@ def test_pairs_of_questions_and_items_move_without_texts(spark):
     docs = [(n, f"The harbour council number {n} met on the quay with lanterns.", "s") for n in range(9)]
     corpus = relations.Corpus(spark, documents=spark.createDataFrame(docs, "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "harbour council"), (2, "quays")], "item_id long, text string"))
     assert not {"chunk", "filename"} & set(corpus.frame("hybrid_rows").columns)
-    corpus.frame("item_words"), corpus.frame("vecs")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = corpus.statement(relations.RELATIONS["hits"](SPARK))._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    joins = [line for line in plan.splitlines() if "Join" in line]
-    assert "doc_id" in joins[0] and "doc_id" in joins[1] and all("qid" in j for j in joins[2:4]), joins
+    plan = corpus.statement(relations.RELATIONS["hits"](SPARK))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert corpus.has("asking_hits") and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan, "few pairs are sent to the items"
+    held = corpus.frame("asking_hits")
+    assert held.where("dense IS NULL").count() < held.count() == corpus.frame("hits").count() and not {"words", "chunk"} & set(held.columns)
     shown = corpus.frame("evidence").collect()
     assert shown and all(x.chunk.startswith("The harbour") and x.filename == "s" for x in shown)
     corpus.release()
