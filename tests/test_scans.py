@@ -124,3 +124,15 @@ def test_sums_of_directions_go_on_in_pieces(monkeypatch):
         latent._squared(words, total, idf, q)
         assert np.allclose(total, 1 + dense.T @ (dense @ q))
         assert np.allclose(latent._folded(row, column, weight, q, 50), dense @ q)
+
+
+def test_tokens_are_cut_by_bytes_as_by_the_expression():
+    from docquarry.operators import text_scan
+
+    texts = ["", "Köln—Straße's x_1 naïve", "İX İX", "नेपालको बजेट २०८२/८३ Ab\0Cd", "…", "ȧb ét 漢字 ٣٤ ½ ²x", "​zero​width\xa0space"]
+    joined = text_scan._joined(texts).lower()
+    seen = []
+    row, codes = text_scan._numbered(joined, lambda token: seen.append(token) or len(seen) - 1)
+    expected = [(n, t) for n, text in enumerate(joined.split("\0")) for t in text_scan.TOKEN.findall(text)]
+    assert [(r, seen[c]) for r, c in zip(row.tolist(), codes.tolist(), strict=True)] == expected
+    assert [len(x) for x in text_scan._numbered("", len)] == [0, 0]
